@@ -19,3 +19,33 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
 ORACLES: dict[str, str] = {}
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.line_rules import line_frequency_rules
+
+    out = line_frequency_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op3_line_frequency"] = op3_line_frequency
+ORACLES["op3_line_frequency"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+k AS (SELECT doc_id, i, ws[i:i + 4] AS win FROM g),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM k) WHERE c > 1),
+rep AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, i + j AS p FROM dup, range(5) AS x(j)) GROUP BY doc_id),
+l AS (SELECT doc_id, host, t, unnest(ls) AS line FROM w),
+nl AS (SELECT doc_id, host, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  regexp_replace(regexp_replace(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS line FROM l),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
+common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS c FROM nl GROUP BY host, line) JOIN hosts USING (host) WHERE c >= 10 AND c > 0.1 * docs),
+rem AS (SELECT doc_id, sum(n) AS n FROM nl JOIN common USING (host, line) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, coalesce(rem.n, 0) AS gone
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN rem USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.5 * n_words AS kept FROM b
+"""
