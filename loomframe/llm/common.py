@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -146,6 +147,11 @@ def free_of(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def with_fields(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df with more columns."""
+    return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable from each id of the edges.
 

@@ -49,3 +49,24 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.5 * n_words AS kept FROM b
 """
+
+
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = table(spark, sf_dir, "labels").filter(quality.crc_rest(F.col("doc_id"), 5) != 0)
+    out = quality.score(docs, quality.train(docs, seen))
+    return out.select("doc_id", (quality.crc_rest(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import langid, quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(quality.crc_rest(F.col("doc_id"), 3) != 1))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (quality.crc_rest(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES |= {"op1_bradley_terry": op1_bradley_terry, "op9_language_id": op9_language_id}

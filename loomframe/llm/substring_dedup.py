@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import sketch
-from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, row_key, signed, steps
+from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, row_key, signed, steps, with_fields
 
 WINDOW = 35
 #: Rows that a task holds while it groups runs of equal anchors.
@@ -173,7 +173,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
     t_at = [c.lower() for c in joined.columns].index(text_col.lower())
-    schema = joined.drop("_lf_ranges").schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
-        schema = schema.add(name, kind)
-    return joined.mapInArrow(strip, schema)
+    return joined.mapInArrow(strip, with_fields(joined.drop("_lf_ranges"), n_words="long", n_removed="long", kept_text="string"))
