@@ -70,3 +70,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_bradley_terry": op1_bradley_terry, "op9_language_id": op9_language_id}
+
+
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op7_signature_trees"] = op7_signature_trees
