@@ -79,3 +79,20 @@ def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_signature_trees"] = op7_signature_trees
+
+
+def op5_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.embedding_dedup import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+QUERIES["op5_spherical_kmeans"] = op5_spherical_kmeans
+ORACLES["op5_spherical_kmeans"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL),
+n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
