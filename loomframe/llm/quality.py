@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit(11), "_lf_id"), F.lit(1_000_000)) / 1_000_000
     take = F.when(F.col("y") == 1, max_per_label / max(1, n.get(1, 0))).otherwise(max_per_label / max(1, n.get(0, 0)))
-    rows = ids.filter(draw < take).join(docs.select(F.col(id_col).alias("_lf_id"), F.col(text_col).alias("t")), "_lf_id").select("y", "t")
+    # Broadcast: about 2 * max_per_label ids and marks, so the texts stay where they are.
+    rows = F.broadcast(ids.filter(draw < take)).join(docs.select(F.col(id_col).alias("_lf_id"), F.col(text_col).alias("t")), "_lf_id").select("y", "t")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
