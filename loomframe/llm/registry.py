@@ -96,3 +96,20 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
+
+
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(pii.labelled_table(spark)))
+    return pii.digests(found, "pii_spans", pii.BASE).drop("text", "pii_spans")
+
+
+def op8_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import pii, secrets
+
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.digests(found, "secret_spans", secrets.BASE).drop("text", "secret_spans")
+
+
+QUERIES |= {"op6_crf_pii": op6_crf_pii, "op8_guess_cost": op8_guess_cost}
