@@ -113,3 +113,14 @@ def op8_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_crf_pii": op6_crf_pii, "op8_guess_cost": op8_guess_cost}
+
+
+def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm.mixing import mix_sources
+
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    rounded = {c: F.round(c, 6).alias(c) for c in ("weight", "probability")}
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", rounded["weight"], rounded["probability"], "sampled")
+
+
+QUERIES["op10_raking"] = op10_raking
