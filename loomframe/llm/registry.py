@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -124,3 +126,22 @@ def op10_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_raking"] = op10_raking
+
+
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import pieces
+
+    coder = pieces.Coder.load()
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), coder), coder)
+    n = F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long")
+    return out.select("doc_id", n.alias("n_pieces"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"), F.xxhash64("piece_ids").alias("ids_hash"))
+
+
+QUERIES["op4_merge_dropout"] = op4_merge_dropout
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
