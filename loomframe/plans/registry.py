@@ -1,2 +1,4 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the content-pipeline engine; the modules register theirs on import."""
+
+from loomframe.plans import joins, kpis, sequences  # noqa: F401
+from loomframe.plans.base import ORACLES, QUERIES  # noqa: F401
