@@ -19,7 +19,7 @@ CELL_BITS = 28
 SLICES = 64
 CELLS_PER_SLICE = (1 << CELL_BITS) // SLICES
 #: Keys that a task holds before it emits its partial sketch.
-HELD = 1 << 22
+HELD = 1 << 21
 SALTS = 16
 SCHEMA = "slice int, salt int, once binary, twice binary"
 
