@@ -23,21 +23,26 @@ UNKNOWN = "und"
 
 
 def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram at each byte (one array per order; -1 across texts), and where each text begins.
+    """Bucket of the n-gram at each byte (one array per order; BUCKETS where it would leave its text), and where each text begins.
 
-    Bytes are UTF-8 with ASCII letters in lower case; all other ASCII counts as a space.
+    Bytes are UTF-8 with ASCII letters in lower case; all other ASCII counts as a space, and spaces stand around a text.
     """
     table = np.full(256, 32, np.uint8)
     table[97:123] = table[65:91] = np.arange(97, 123)
     table[128:] = np.arange(128, 256)
-    buf = table[np.frombuffer(b" " + b"  ".join(texts) + b" " * (max(ORDERS) + 1), np.uint8)].astype(np.uint32)
-    at = np.cumsum([0] + [len(t) + 2 for t in texts])
+    tail = max(ORDERS) - 1
+    size = np.array([len(t) + 1 + tail for t in texts])
+    buf = table[np.frombuffer(b"".join(b" " + t + b" " * tail for t in texts) + b" " * tail, np.uint8)].astype(np.uint32)
+    at = np.concatenate([[0], np.cumsum(size)])
+    beyond = np.concatenate([at[1:] - k for k in range(1, tail + 1)])
     out = []
     for i, n in enumerate(ORDERS):
         key = buf[: at[-1]].copy()
         for j in range(1, n):
             key = (key << np.uint32(8)) | buf[j : at[-1] + j]
-        out.append(((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) + (i << BUCKET_BITS))
+        bucket = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) + (i << BUCKET_BITS)
+        bucket[beyond] = BUCKETS
+        out.append(bucket)
     return out, at[:-1]
 
 
@@ -49,7 +54,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_p
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n:
-        return {"langs": [], "log": np.zeros((BUCKETS, 0), np.float32), "prior": np.zeros(0)}
+        return {"langs": [], "log": np.zeros((BUCKETS + 1, 0), np.float32), "prior": np.zeros(0)}
     limits = F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, max_per_lang / c))])
     rows = rows.filter(F.pmod(F.xxhash64(F.lit(13), "t"), F.lit(1_000_000)) / 1_000_000 < limits[F.col("y")])
 
@@ -61,7 +66,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_p
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
                 for a, b in steps(own):
                     keys = np.concatenate(grams(own[a:b])[0])
-                    total.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(keys, minlength=BUCKETS)
+                    total.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(keys, minlength=BUCKETS + 1)[:BUCKETS]
         for lang, counts in total.items():
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["y", "bucket", "n"])
@@ -72,6 +77,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_p
     counts[sums["bucket"].to_numpy(int), sums["y"].map(langs.index).to_numpy(int)] = sums["n"].to_numpy()
     counts += SMOOTHING
     log = np.concatenate([np.log(c / c.sum(0)) for c in np.split(counts, len(ORDERS))])
+    log = np.concatenate([log, np.zeros((1, len(langs)))])
     prior = np.log(np.array([n[k] for k in langs]) / sum(n.values()))
     return {"langs": langs, "log": log.astype(np.float32), "prior": prior}
 
