@@ -57,18 +57,21 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, STEP_BYTES + 4096)
+            size = max(n, 2 * len(self.up), 1 << 16)
             inverse = pow(self.base, -1, 1 << 64)
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (self.base, inverse))
         return self.up[:n], self.down[:n]
 
 
+_POWERS: dict[int, Powers] = {}
+
+
 class Hasher:
     """Words and k-word windows of many texts at once, as 64-bit hashes (one array per base)."""
 
     def __init__(self, lower: bool = False, bases: int = 1):
-        self.bytes_ = [Powers(b) for b in BYTE_BASES[:bases]]
-        self.words_ = [Powers(b) for b in WORD_BASES[:bases]]
+        self.bytes_ = [_POWERS.setdefault(b, Powers(b)) for b in BYTE_BASES[:bases]]
+        self.words_ = [_POWERS.setdefault(b, Powers(b)) for b in WORD_BASES[:bases]]
         self.is_sep = np.zeros(256, bool)
         self.is_sep[list(SEPARATORS)] = True
         self.map = np.arange(1, 257, dtype=U)
@@ -121,6 +124,13 @@ def steps(texts: list[bytes | None]):
         yield begin, len(texts)
 
 
+def small(batches, rows: int = 512):
+    """The batches in slices of few rows, so that little of a batch is held twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -1,47 +1,64 @@
 """Count-min sketch of 64-bit keys, built per partition, merged by slices and kept as one bit a cell.
 
 A cell's bit says "counted twice or more". One hash row is used: cells only ever overestimate, so a key
-whose bit is clear occurs once. The size is fixed (CELLS bits, 32 MB), whatever the input; a fuller sketch lets more
-keys through to the exact pass that follows, and loses none.
+whose bit is clear occurs once. The size follows the expected number of keys up to MAX_BITS bits (32 MB), which
+bounds what is broadcast at any input size; a fuller sketch lets more keys through to the exact pass that follows, and loses none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import small
+
 U = np.uint64
-CELL_BITS = 28
+#: Cells are a power of two between these.
+MIN_BITS, MAX_BITS = 16, 28
 SLICES = 64
-CELLS_PER_SLICE = (1 << CELL_BITS) // SLICES
 #: Keys that a task holds before it emits its partial sketch.
 HELD = 1 << 21
-SALTS = 16
+#: Bytes of partial sketches of a slice that one task merges; with more, they are merged in two steps.
+MERGED = 1 << 26
 SCHEMA = "slice int, salt int, once binary, twice binary"
 
 
-def cells(keys: np.ndarray) -> np.ndarray:
+class Sketch(NamedTuple):
+    """One bit for each of 2**width cells."""
+
+    width: int
+    bits: np.ndarray
+
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are estimated to occur twice or more."""
+        c = cells(keys, self.width)
+        return (self.bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+
+
+def cells(keys: np.ndarray, width: int) -> np.ndarray:
     """Cell of each key (the key's upper bits)."""
-    return (keys >> U(64 - CELL_BITS)).astype(np.uint32)
+    return (keys >> U(64 - width)).astype(np.uint32)
 
 
-def repeated(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys are estimated to occur twice or more."""
-    c = cells(keys)
-    return (bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+def width_for(keys: float, cells_each: float) -> int:
+    """Bits of a cell's number for so many expected keys."""
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1.0, keys * cells_each)))))
 
 
-def _partial(held: list[np.ndarray], salt: int) -> pa.RecordBatch:
+def _partial(held: list[np.ndarray], salt: int, width: int) -> pa.RecordBatch:
     """The sketch of the held keys: per slice the sorted cells seen, and those seen twice."""
     found = np.sort(np.concatenate(held))
     same = found[1:] == found[:-1]
     once = found[np.concatenate([[True], ~same])] if len(found) else found
     twice = np.unique(found[1:][same])
-    at = lambda x: np.split(x % CELLS_PER_SLICE, np.searchsorted(x, np.arange(1, SLICES, dtype=np.int64) * CELLS_PER_SLICE))
+    each = (1 << width) // SLICES
+    at = lambda x: np.split(x % each, np.searchsorted(x, np.arange(1, SLICES, dtype=np.int64) * each))
     a, b = at(once), at(twice)
     keep = [i for i in range(SLICES) if len(a[i])]
     return pa.RecordBatch.from_arrays(
@@ -51,9 +68,9 @@ def _partial(held: list[np.ndarray], salt: int) -> pa.RecordBatch:
     )
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Add up the partial sketches of each (slice, salt); rows come sorted by them, one pair is held at a time."""
-    now, ones, twos = None, None, None
+    now, ones, twos, each = None, None, None, (1 << width) // SLICES
 
     def out():
         once, twice = (np.flatnonzero(x).astype(np.uint32).tobytes() for x in (ones, twos))
@@ -64,7 +81,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now != (s, salt):
                 if now:
                     yield out()
-                now, ones, twos = (s, salt), np.zeros(CELLS_PER_SLICE, bool), np.zeros(CELLS_PER_SLICE, bool)
+                now, ones, twos = (s, salt), np.zeros(each, bool), np.zeros(each, bool)
             once, twice = np.frombuffer(once, np.uint32), np.frombuffer(twice, np.uint32)
             twos[once[ones[once]]] = True
             twos[twice] = True
@@ -73,37 +90,41 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def build(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """Bits of the merged sketch over all keys that keys_of makes of the batches of rows."""
+def build(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: float, cells_each: float) -> tuple[int, np.ndarray]:
+    """The merged sketch over all keys that keys_of makes of the batches of rows, as the plain parts of a Sketch.
+
+    keys is about their number, and cells_each how many cells each should have.
+    """
+    width, salts = width_for(keys, cells_each), max(1, math.ceil(4 * keys / SLICES / MERGED))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, salt = [], 0, 0
-        for batch in batches:
-            for keys in keys_of(batch):
-                held.append(cells(keys))
-                n += len(keys)
+        for batch in small(batches):
+            for found in keys_of(batch):
+                held.append(cells(found, width))
+                n += len(found)
                 if n >= HELD:
-                    yield _partial(held, int(held[0][0]) % SALTS)
+                    yield _partial(held, int(held[0][0]) % salts, width)
                     held, n = [], 0
         if n:
-            yield _partial(held, int(next(x for x in held if len(x))[0]) % SALTS)
+            yield _partial(held, int(next(x for x in held if len(x))[0]) % salts, width)
 
     merged = rows.mapInArrow(partial, SCHEMA)
-    for salt in (F.col("salt"), F.lit(0)):
+    for salt in (F.col("salt"), F.lit(0)) if salts > 1 else (F.lit(0),):
         merged = merged.withColumn("salt", salt.cast("int")).repartition(SLICES, "slice", "salt").sortWithinPartitions("slice", "salt")
-        merged = merged.mapInArrow(_merge, SCHEMA)
-    bits = np.zeros(1 << CELL_BITS >> 3, np.uint8)
+        merged = merged.mapInArrow(lambda batches: _merge(batches, width), SCHEMA)
+    bits, each = np.zeros(1 << width >> 3, np.uint8), (1 << width) // SLICES
 
     def packed(batches):
         for batch in batches:
             out = []
             for twice in batch.column(1).to_pylist():
-                full = np.zeros(CELLS_PER_SLICE, bool)
+                full = np.zeros(each, bool)
                 full[np.frombuffer(twice, np.uint32)] = True
                 out.append(np.packbits(full, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["slice", "bits"])
 
-    # At most SLICES rows of CELLS_PER_SLICE bits: 32 MB in all, at any input size.
+    # At most SLICES rows, 32 MB in all, at any input size.
     for s, part in merged.select("slice", "twice").mapInArrow(packed, "slice int, bits binary").toLocalIterator():
-        bits[s * (CELLS_PER_SLICE >> 3) : (s + 1) * (CELLS_PER_SLICE >> 3)] = np.frombuffer(part, np.uint8)
-    return bits
+        bits[s * (each >> 3) : (s + 1) * (each >> 3)] = np.frombuffer(part, np.uint8)
+    return width, bits

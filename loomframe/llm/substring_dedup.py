@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import sketch
-from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, row_key, signed, steps, with_fields
+from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, row_key, signed, small, steps, with_fields
 
 WINDOW = 35
 #: Rows that a task holds while it groups runs of equal anchors.
@@ -73,17 +73,19 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             (h,), bounds = hasher.words(data[a:b])
             yield anchors(h, hasher, bounds, window)[0]
 
-    bits = spark.sparkContext.broadcast(sketch.build(texts.select("t"), sketch_keys))
+    # About 6 bytes a word, and an anchor for ten words; 16 cells for each.
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = spark.sparkContext.broadcast(sketch.build(texts.select("t"), sketch_keys, size / 60, 16))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(bases=2), {}
-        for batch in batches:
+        for batch in small(batches):
             data = as_bytes(batch.column(2))
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for a, b in steps(data):
                 hashes, bounds = hasher.words(data[a:b])
                 anchor, first, n, text = anchors(hashes[0], hasher, bounds, window)
-                hit = sketch.repeated(bits.value, anchor)
+                hit = sketch.Sketch(*bits.value).repeated(anchor)
                 anchor, first, n, text = anchor[hit], first[hit], n[hit], text[hit]
                 if not len(anchor):
                     continue
@@ -154,7 +156,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = keyed.join(ranges, (keyed["_lf_k1"] == ranges["_lf_r1"]) & (keyed["_lf_k2"] == ranges["_lf_r2"]), "left").drop("_lf_k1", "_lf_k2", "_lf_r1", "_lf_r2")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, found = as_bytes(batch.column(t_at)), batch.column(batch.num_columns - 1)
             n_words, n_removed, kept = [], [], []
             for raw, own in zip(data, found):
