@@ -165,3 +165,30 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1
 """
+
+
+def raking_sql(rounds: int = 8, halvings: int = 40, temper: float = 0.7, budget: float = 0.9) -> str:
+    """The SQL of op10_raking: one step of fitting, or of halving, a subquery."""
+    parts = [r"""d AS (SELECT doc_id, source, lang, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l,
+  CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(text, '@') OR contains(text, '+') THEN 'contact' WHEN contains(text, 'icensed under') OR contains(text, 'All rights reserved') THEN 'licence' WHEN length(coalesce(text, '')) < 500 THEN 'note' ELSE 'prose' END AS t,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents)""",
+        "r0 AS MATERIALIZED (SELECT s, l, t, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n) AS DOUBLE) AS m FROM d GROUP BY 1, 2, 3 HAVING sum(n) > 0)"]
+    for c in "slt":
+        parts.append(f"p{c} AS MATERIALIZED (SELECT {c}, pow(sum(n), {temper}) / (SELECT sum(p) FROM (SELECT pow(sum(n), {temper}) AS p FROM r0 GROUP BY {c})) AS share FROM r0 GROUP BY {c})")
+    k = 0
+    for _ in range(rounds):
+        for c in "slt":
+            parts.append(f"r{k + 1} AS MATERIALIZED (SELECT s, l, t, n, m * share / have AS m FROM r{k} JOIN p{c} USING ({c}) JOIN (SELECT {c}, sum(m) AS have FROM r{k} GROUP BY {c}) USING ({c}))")
+            k += 1
+    parts.append(f"w AS MATERIALIZED (SELECT s, l, t, n, m * (SELECT sum(n) FROM r0) / n AS w FROM r{k})")
+    parts.append("b AS MATERIALIZED (SELECT sum(w * n) / sum(n) AS w, sum(n) AS n FROM (SELECT round(w, 9) AS w, n FROM w) GROUP BY floor(ln(w) * 1000))")
+    parts.append("h0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS lo, (SELECT 1 / min(w) FROM b) AS hi)")
+    for i in range(halvings):
+        parts.append(f"h{i + 1} AS MATERIALIZED (SELECT CASE WHEN low THEN mid ELSE lo END AS lo, CASE WHEN low THEN hi ELSE mid END AS hi FROM (SELECT lo, hi, (lo + hi) / 2 AS mid, (SELECT sum(n * least(1.0, mid_ * w)) FROM b, (SELECT (lo + hi) / 2 AS mid_ FROM h{i})) < {budget} * (SELECT sum(n) FROM r0) AS low FROM h{i}))")
+    return f"""WITH {', '.join(parts)}, o AS (SELECT doc_id, source, lang, d.t AS topic, d.n AS n_tokens, CASE WHEN d.n = 0 THEN 1.0 ELSE coalesce(w, 0.0) END AS weight,
+  CASE WHEN d.n = 0 THEN 1.0 ELSE coalesce(least(1.0, (SELECT hi FROM h{halvings}) * w), 0.0) END AS probability FROM d LEFT JOIN w USING (s, l, t))
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled FROM o"""
+
+
+ORACLES["op10_raking"] = raking_sql()
