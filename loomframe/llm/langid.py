@@ -46,17 +46,18 @@ def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, at[:-1]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> dict:
-    """Log-probabilities by language from rows of docs with a text and a lang; about max_per_lang of each, by a hash of the text.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> dict:
+    """Log-probabilities by language from rows of docs with a text and a lang; about max_per_lang of each, by a hash of the id
+    (copies of one text are thus not drawn together).
 
     The matrix has one row per language and BUCKETS columns; it is all that reaches the driver.
     """
-    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n:
         return {"langs": [], "log": np.zeros((BUCKETS + 1, 0), np.float32), "prior": np.zeros(0)}
     limits = F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, max_per_lang / c))])
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit(13), "t"), F.lit(1_000_000)) / 1_000_000 < limits[F.col("y")])
+    rows = rows.filter(F.pmod(F.xxhash64(F.lit(13), "i"), F.lit(1_000_000)) / 1_000_000 < limits[F.col("y")]).select("t", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
