@@ -19,7 +19,7 @@ U = np.uint64
 BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text that one numpy step takes; a longer single text makes its own step.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
