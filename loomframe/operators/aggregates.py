@@ -29,8 +29,8 @@ def status_shares(jobs: DataFrame) -> DataFrame:
     """Jobs in four buckets with the rounded percentage of each."""
     bucket = F.when(F.col("status").isin("done", "error", "cancelled"), F.col("status")).otherwise("active")
     counts = jobs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("bucket", "n", js_round(F.try_divide(100.0 * F.col("n"), F.col("total"))).cast("bigint").alias("pct"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over four rows at most
+    return counts.select("bucket", "n", js_round(F.try_divide(100.0 * F.col("n"), total)).cast("bigint").alias("pct"))
 
 
 def success(jobs: DataFrame) -> DataFrame:
