@@ -38,7 +38,8 @@ def tempered(cells: DataFrame, column: str, power: float = TEMPER) -> DataFrame:
     """Target shares of the categories of a column: natural token shares to a power, rescaled to sum to 1."""
     totals = cells.groupBy(column).agg(F.sum("tokens").alias("t")).filter("t > 0")
     powers = totals.select(column, F.pow(F.col("t").cast("double"), F.lit(power)).alias("p"))
-    return powers.crossJoin(F.broadcast(powers.agg(F.sum("p").alias("all")))).select(column, (F.col("p") / F.col("all")).alias("share"))
+    every = powers.agg(F.sum("p")).first()[0] or 1.0  # one number
+    return powers.select(column, (F.col("p") / F.lit(every)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -75,15 +76,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = {"_lf_source": "source", "_lf_lang": "lang", "topic": "topic"}
     cells = written(rows.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
     mass = rake(cells, {c: written(tempered(cells, c, temper)) for c in MARGINS}, rounds)
-    total = cells.agg(F.sum("tokens").alias("_all"))
-    weights = mass.crossJoin(F.broadcast(total)).withColumn("weight", F.col("mass") * F.col("_all") / F.col("tokens"))
-    weights = written(weights.select(*MARGINS, "tokens", "_all", "weight"))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    weights = written(mass.select(*MARGINS, "tokens", (F.col("mass") * F.lit(total) / F.col("tokens")).alias("weight")))
 
     # c from the breakpoints 1 / weight: below it a cell gives c * weight of its tokens, from it on all of them.
-    at = weights.groupBy(F.round("weight", 9).alias("weight")).agg(F.sum("tokens").alias("tokens"), F.max("_all").alias("_all")).filter("weight > 0")
-    scale = calibrated(at, budget)
-    weights = weights.crossJoin(F.broadcast(scale))
-    picked = weights.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"), F.least(F.lit(1.0), F.col("c") * F.col("weight")).alias("_p"))
+    at = weights.groupBy(F.round("weight", 9).alias("weight")).agg(F.sum("tokens").alias("tokens")).filter("weight > 0")
+    scale = calibrated(at, budget * total)
+    picked = weights.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"), F.least(F.lit(1.0), F.lit(scale) * F.col("weight")).alias("_p"))
     out = rows.join(picked, (F.col("_lf_source") == F.col("_s")) & (F.col("_lf_lang") == F.col("_l")) & (F.col("topic") == F.col("_t")), "left")
     empty = F.col("n_tokens") == 0
     out = out.withColumns({"weight": F.when(empty, 1.0).otherwise(F.coalesce("_w", F.lit(0.0))), "probability": F.when(empty, 1.0).otherwise(F.coalesce("_p", F.lit(0.0)))})
@@ -92,16 +91,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("sampled", draw < F.col("probability")).select(*docs.columns, *added)
 
 
-def calibrated(at: DataFrame, budget: float, rounds: int = 40) -> DataFrame:
-    """The one-row table (c) at which the cells give the budgeted share of all tokens, by halving an interval.
+def calibrated(at: DataFrame, wanted: float, rounds: int = 40) -> float:
+    """The number c at which sampling with min(1, c * weight) gives the wanted tokens, by halving an interval.
 
-    All steps are one aggregate over the weights: the interval's ends move by a sum over a sorted array of (weight, tokens)
-    sums, one entry for each different weight; at most BINS of them, so the array stays small.
+    at: weight, tokens. Weights within a bin differ by less than one part in a thousand, and the bins' sums stand for them:
+    one array of (weight, tokens), folded over in one row.
     """
-    # Weights within a bin differ by less than one part in a thousand: their sums stand for them.
-    bins = at.groupBy(F.floor(F.log("weight") * 1000).alias("bin")).agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w"), F.sum("tokens").cast("double").alias("n"), F.max("_all").alias("_all"))
-    arrays = bins.agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("cells"), F.max("_all").cast("double").alias("_all"))
+    bins = at.groupBy(F.floor(F.log("weight") * 1000).alias("bin")).agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w"), F.sum("tokens").cast("double").alias("n"))
+    arrays = bins.agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("cells"))
     given = lambda c: F.aggregate("cells", F.lit(0.0), lambda a, x: a + x["n"] * F.least(F.lit(1.0), c * x["w"]))
-    halve = lambda s, _: F.when(given((s["lo"] + s["hi"]) / 2) < budget * F.col("_all"), F.struct(((s["lo"] + s["hi"]) / 2).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).alias("hi")))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        low = given(mid) < wanted
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
     top = F.coalesce(F.lit(1.0) / F.array_min(F.transform("cells", lambda x: x["w"])), F.lit(1.0))
-    return arrays.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), halve)["hi"].alias("c"))
+    start = F.struct(F.lit(0.0).alias("lo"), top.alias("hi"))
+    return float(arrays.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["hi"].alias("c")).first()["c"])
