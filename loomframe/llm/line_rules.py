@@ -45,8 +45,13 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(keys)) == F.size(keys), 0).otherwise(let(F.sort_array(pairs), of_sorted))
 
     def of_hashes(h: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(0), F.size(h) - NGRAM), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(NGRAM)]))
-        return let(keys, covered)
+        # Hashes of 2, then 4, then 5 words from neighbouring ones: fewer steps than from all five at each place.
+        n = F.size(h)
+        pair = lambda a, b: F.xxhash64(a, b)
+        twos = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), pair)
+        fours = let(twos, lambda t: F.zip_with(F.slice(t, F.lit(1), n - 3), F.slice(t, F.lit(3), n - 3), pair))
+        fives = F.zip_with(F.slice(fours, F.lit(1), n - 4), F.slice(h, F.lit(5), n - 4), pair)
+        return let(fives, covered)
 
     return F.when(F.size(words) < NGRAM, 0).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)).cast("long")
 
@@ -71,9 +76,11 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = keyed.select("_lf_k1", "_lf_k2", "_lf_host", F.xxhash64(F.lit(3), text_col).alias("fp"), F.posexplode(lines).alias("pos", "line"))
     rows = rows.select(
         "_lf_k1", "_lf_k2", "_lf_host", "fp", "pos",
-        F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.btrim("line", F.lit(WHITE))), WHITE_RUN, " "), "[0-9]+", "0")).alias("line"),
-        F.size(words_of(F.col("line"))).alias("n"),
+        F.regexp_replace(F.regexp_replace(F.lower(F.btrim("line", F.lit(WHITE))), WHITE_RUN, " "), "[0-9]+", "0").alias("line"),
     )
+    # Words stand between single spaces now.
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" ")))
+    rows = rows.select("_lf_k1", "_lf_k2", "_lf_host", "fp", "pos", F.xxhash64("line").alias("line"), (spaces + 1).alias("n"))
     hosts = keyed.groupBy("_lf_host").agg(F.count_distinct(F.xxhash64(F.lit(3), text_col)).alias("docs"))
     common = rows.groupBy("_lf_host", "line").agg(F.count_distinct("fp").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     common = common.join(hosts, "_lf_host").filter(F.col("n_docs") > max_share * F.col("docs")).select("_lf_host", "line")
