@@ -68,11 +68,17 @@ def _partial(held: list[np.ndarray], salt: int, width: int) -> pa.RecordBatch:
     )
 
 
-def _merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Add up the partial sketches of each (slice, salt); rows come sorted by them, one pair is held at a time."""
+def _merge(batches: Iterator[pa.RecordBatch], width: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Add up the partial sketches of each (slice, salt); rows come sorted by them, one pair is held at a time.
+
+    The last step gives (slice, bits of the cells seen twice); in one function, since a second one behind it would hold a
+    second Python worker in each task.
+    """
     now, ones, twos, each = None, None, None, (1 << width) // SLICES
 
     def out():
+        if last:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([np.packbits(twos, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
         once, twice = (np.flatnonzero(x).astype(np.uint32).tobytes() for x in (ones, twos))
         return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], names=["slice", "salt", "once", "twice"])
 
@@ -110,21 +116,12 @@ def build(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
             yield _partial(held, int(next(x for x in held if len(x))[0]) % salts, width)
 
     merged = rows.mapInArrow(partial, SCHEMA)
-    for salt in (F.col("salt"), F.lit(0)) if salts > 1 else (F.lit(0),):
+    for last in (False, True) if salts > 1 else (True,):
+        salt = F.lit(0) if last else F.col("salt")
         merged = merged.withColumn("salt", salt.cast("int")).repartition(SLICES, "slice", "salt").sortWithinPartitions("slice", "salt")
-        merged = merged.mapInArrow(lambda batches: _merge(batches, width), SCHEMA)
+        merged = merged.mapInArrow(lambda batches, last=last: _merge(batches, width, last), "slice int, bits binary" if last else SCHEMA)
     bits, each = np.zeros(1 << width >> 3, np.uint8), (1 << width) // SLICES
-
-    def packed(batches):
-        for batch in batches:
-            out = []
-            for twice in batch.column(1).to_pylist():
-                full = np.zeros(each, bool)
-                full[np.frombuffer(twice, np.uint32)] = True
-                out.append(np.packbits(full, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["slice", "bits"])
-
     # At most SLICES rows, 32 MB in all, at any input size.
-    for s, part in merged.select("slice", "twice").mapInArrow(packed, "slice int, bits binary").toLocalIterator():
+    for s, part in merged.toLocalIterator():
         bits[s * (each >> 3) : (s + 1) * (each >> 3)] = np.frombuffer(part, np.uint8)
     return width, bits
