@@ -107,13 +107,15 @@ def build(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
         held, n, salt = [], 0, 0
         for batch in small(batches):
             for found in keys_of(batch):
+                if not len(found):
+                    continue
                 held.append(cells(found, width))
                 n += len(found)
                 if n >= HELD:
                     yield _partial(held, int(held[0][0]) % salts, width)
                     held, n = [], 0
         if n:
-            yield _partial(held, int(next(x for x in held if len(x))[0]) % salts, width)
+            yield _partial(held, int(held[0][0]) % salts, width)
 
     merged = rows.mapInArrow(partial, SCHEMA)
     for last in (False, True) if salts > 1 else (True,):

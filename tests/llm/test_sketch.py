@@ -23,3 +23,18 @@ def test_nothing_to_sketch(spark):
     empty = spark.createDataFrame([], "k long")
     found = sketch.Sketch(*sketch.build(empty, lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), 0, 2))
     assert not found.repeated(np.array([1, 2], np.uint64)).any() and isinstance(pa.array([1]), pa.Array)
+
+
+def test_steps_without_keys_come_first(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "HELD", 500)
+    keys = np.concatenate([np.random.default_rng(2).integers(0, 1 << 63, 2000, dtype=np.int64)] * 2)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long").coalesce(1)
+
+    def steps(batch):  # nothing, then keys, then nothing again: before the first emission and after each
+        for part in np.array_split(batch.column(0).to_numpy().view(np.uint64), 8):
+            yield part[:0]
+            yield part
+            yield part[:0]
+
+    found = sketch.Sketch(*sketch.build(df, steps, len(keys), 16))
+    assert found.repeated(keys.view(np.uint64)).all()
