@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MIN_FRAME, HOLD = 3.0, 0.5
+#: Places, and then stretches of places, that one fold of a cut's moves takes.
+BLOCK = 1 << 14
 
 
 def smoothed(rows: DataFrame, key: str, order: str, flag: str, half: int = 2, above: float = 0.6) -> DataFrame:
@@ -41,21 +43,32 @@ def runs(rows: DataFrame, key: str, order: str, flag: str, least: int) -> DataFr
 def cut_points(bands: DataFrame, components: DataFrame, key: str, min_area: int = 40) -> DataFrame:
     """Cut of each band: its middle, moved away from components that reach into it, one after the other.
 
-    bands: key, lo, hi; components: key, y1, y2, area, place. The components of a band are few; they are folded in
-    the order of place.
+    bands: key, lo, hi; components: key, y1, y2, area, place. Components move the cut in the order of place. One that
+    lowers it takes min(cut, v), one that raises it max(cut, v); any run of them is max(least, min(most, cut)). So
+    stretches of BLOCK places are folded apart, then BLOCK of these at a time, and then what is left of a band.
     """
     c = components.filter(F.col("area") >= min_area).select(F.col(key).alias("_k"), "y1", "y2", "place")
-    touch = bands.join(c, (F.col(key) == F.col("_k")) & (F.col("y1") < F.col("hi")) & (F.col("y2") > F.col("lo")), "left")
-    grouped = touch.groupBy(key, "lo", "hi").agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("place", "y1", "y2")))).alias("near"))
-
-    def step(cut: Column, c: Column) -> Column:
-        top, bottom = c["y1"] - F.col("lo"), F.col("hi") - c["y2"]
-        up = F.least(cut, F.col("lo") + F.greatest(F.lit(2), F.floor(top / 2)))
-        down = F.greatest(cut, F.col("hi") - F.greatest(F.lit(2), F.floor(bottom / 2)))
-        return F.when((top > bottom) & (top > 4), up).when(bottom > 4, down).otherwise(cut).cast("bigint")
-
+    touch = bands.join(c, (F.col(key) == F.col("_k")) & (F.col("y1") < F.col("hi")) & (F.col("y2") > F.col("lo")))
+    top, bottom = F.col("y1") - F.col("lo"), F.col("hi") - F.col("y2")
+    up = (top > bottom) & (top > 4)
+    most = F.when(up, F.col("lo") + F.greatest(F.lit(2), F.floor(top / 2)))
+    least = F.when(~up & (bottom > 4), F.col("hi") - F.greatest(F.lit(2), F.floor(bottom / 2)))
+    order = F.struct("place", "y1", "y2").alias("_order")
+    folded = touch.select(key, "lo", "hi", "place", order, least.cast("bigint").alias("least"), most.cast("bigint").alias("most")).filter("least is not null or most is not null")
+
+    def then(s: Column, c: Column) -> Column:
+        # greatest and least pass over nulls, which stand for no bound.
+        bounded = F.when(s["least"].isNotNull(), F.least(s["least"], c["most"]))
+        return F.struct(F.greatest(bounded, c["least"]).alias("least"), F.least(s["most"], c["most"]).alias("most"))
+
+    none = F.struct(F.lit(None).cast("bigint").alias("least"), F.lit(None).cast("bigint").alias("most"))
+    for width in (BLOCK, BLOCK * BLOCK, None):
+        block = F.floor(F.col("place") / width) if width else F.lit(0)
+        moves = F.array_sort(F.collect_list(F.struct("_order", "least", "most")))
+        folded = folded.groupBy(key, "lo", "hi", block.alias("_block")).agg(F.min("place").alias("place"), F.min("_order").alias("_order"), F.aggregate(moves, none, then).alias("_all"))
+        folded = folded.select(key, "lo", "hi", "place", "_order", "_all.least", "_all.most")
     start = F.floor((F.col("lo") + F.col("hi")) / 2).cast("bigint")
-    return grouped.select(key, "lo", "hi", F.aggregate("near", start, step).alias("cut"))
+    return bands.join(folded, [key, "lo", "hi"], "left").select(key, "lo", "hi", F.greatest(F.least(start, F.col("most")), F.col("least")).alias("cut"))
 
 
 def frame_timeline(frames: DataFrame, segment: list[str], order: str, weight: str, total: Column, floor: float = MIN_FRAME, hold: float = HOLD) -> DataFrame:

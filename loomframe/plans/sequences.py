@@ -53,23 +53,30 @@ def gutter_bands(spark, sf_dir):
 COMPONENT_SQL = "components AS (SELECT page % 10 AS page, (page * 13 + box * 29) % 700 AS y1, (page * 13 + box * 29) % 700 + h AS y2, w * h AS area, page * 1000 + box AS place FROM boxes WHERE page <= 2000)"
 
 
-def components(spark, sf_dir):
+def components(boxes):
     y = (F.col("page") * 13 + F.col("box") * 29) % 700
-    return V.boxes(spark, sf_dir).filter("page <= 2000").select(
+    return boxes.select(
         (F.col("page") % 10).alias("page"), y.alias("y1"), (y + F.col("h")).alias("y2"), (F.col("w") * F.col("h")).alias("area"), (F.col("page") * 1000 + F.col("box")).alias("place")
     )
 
 
 @query(f"WITH {FLAG_SQL}, {V.BOXES}, {COMPONENT_SQL} SELECT b.page, lo, hi, place, y1, y2 FROM bands b JOIN components c ON b.page = c.page AND y1 < hi AND y2 > lo")
 def overlap_bands(spark, sf_dir):
-    """Interval-overlap join by buckets."""
-    return J.overlapping(bands(spark, sf_dir), components(spark, sf_dir), "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
+    """Interval-overlap join by buckets, over the boxes of the pages up to 2000, as its SQL has it."""
+    parts = components(V.boxes(spark, sf_dir).filter("page <= 2000"))
+    return J.overlapping(bands(spark, sf_dir), parts, "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
+
+
+@query()
+def overlap_bands_whole(spark, sf_dir):
+    """The join of overlap_bands over all boxes (tested against a loop)."""
+    return J.overlapping(bands(spark, sf_dir), components(V.boxes(spark, sf_dir)), "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
 
 
 @query()
 def band_cuts(spark, sf_dir):
     """Cut of each band, moved by the components that reach into it (a fold; tested against a loop)."""
-    return S.cut_points(bands(spark, sf_dir), components(spark, sf_dir), "page")
+    return S.cut_points(bands(spark, sf_dir), components(V.boxes(spark, sf_dir)), "page")
 
 
 @query(f"""WITH {FLAG_SQL}, b AS (SELECT page, (lo + hi) // 2 AS cut FROM bands UNION ALL SELECT p, 0 FROM range(10) AS a(p) UNION ALL SELECT p, 720 FROM range(10) AS a(p)),
