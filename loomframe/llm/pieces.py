@@ -14,20 +14,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, with_fields
+from loomframe.llm.common import free_of, mix, with_fields
 
 SPACE = "▁"
-#: Chance that a candidate merge is skipped, and how many different segmentations a corpus pass draws from.
-DROPOUT, VARIANTS = 0.1, 2
-#: Units that a worker remembers.
+#: Chance that a candidate merge is skipped.
+DROPOUT = 0.1
+#: Segmentations that a worker remembers, or twice as many.
 CACHE = 400_000
+#: Candidates of a unit whose draws are made for a whole text at once.
+DRAWN = 16
 #: Units up to so many characters are merged by scanning, and remembered; longer ones by a heap.
 SHORT = 48
 NEVER = 1 << 30
+ALL, STEP, LANE = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: A unit is a run of spaces with what follows up to the next space: no piece spans two units.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def mixed(x: int) -> int:
+    """common.mix of one number."""
+    x &= ALL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
 def default_model() -> str:
     return os.path.join(os.environ.get("LOOMFRAME_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 
@@ -39,7 +50,7 @@ class Coder:
         self.parts = {"pieces": pieces, "scores": scores, "bytes_at": bytes_at, "plain": plain, "dropout": dropout, "seed": seed}
         ids = {p: i for i, (p, ok) in enumerate(zip(pieces, plain)) if ok}
         self.bytes_at = bytes_at
-        self.limit, self.seed = int(dropout * (1 << 32)), seed
+        self.limit, self.seed = round(dropout * (1 << 16)), seed
         table = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(pieces, plain)]
         for value, i in enumerate(bytes_at):
             table[i] = bytes([value])
@@ -60,8 +71,10 @@ class Coder:
         self.others = {k: c for c, k in symbols.items() if k >= len(pieces)}
         self.made = sorted(order, key=order.get)
         self.n_pieces = len(pieces)
-        self.cache: list[dict[str, bytes]] = []
-        self.older: list[dict[str, bytes]] = []
+        # By word: segmentations and numbers of candidates by the candidates skipped (as bits).
+        self.cache: dict[str, dict[int, tuple[bytes, int]]] = {}
+        self.older: dict[str, dict[int, tuple[bytes, int]]] = {}
+        self.held = 0
 
     @staticmethod
     def of(shared: dict) -> Coder:
@@ -79,13 +92,36 @@ class Coder:
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], [not s for s in special], dropout, seed)
 
+    def keys(self, key: int, n: int) -> np.ndarray:
+        """Hash keys of the n units of a text, from the seed, the text's key and the unit's place."""
+        base = xxhash.xxh64_intdigest((key & ALL).to_bytes(8, "little"), self.seed & ALL)
+        return mix(np.uint64(base) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(STEP))
+
+    def draws(self, keys: np.ndarray) -> list[int]:
+        """For each unit's key the candidates that are skipped among the first DRAWN, as bits; skips() in numpy."""
+        lanes = mix(keys[:, None] + np.arange(1, DRAWN // 4 + 1, dtype=np.uint64) * np.uint64(LANE)).astype("<u8").view("<u2")
+        return np.packbits(lanes < self.limit, axis=1, bitorder="little").view("<u2")[:, 0].tolist()
+
+    def skips(self, key: int, at: int) -> int:
+        """Which of the candidates at, at + 1, at + 2 and at + 3 (at a multiple of 4) of a unit's key are skipped, as bits in their places."""
+        lanes, out = mixed(key + (at // 4 + 1) * LANE), 0
+        for k in range(4):
+            if lanes >> 16 * k & 0xFFFF < self.limit:
+                out |= 1 << at + k
+        return out
+
     def merged(self, text: str, key: int) -> list[int]:
         """Symbols of a unit after agenda processing (a character outside the model as -1 - its code point).
 
-        Candidate merges come up by rank, then by place. Each that comes up steps the keyed hash (of seed, variant and unit, of
-        the ranks so far and its own); if that falls below the dropout, the candidate is skipped until a neighbour changes.
+        Candidate merges come up by rank, then by place. Each that comes up has its own draw by the key; if that falls below the
+        dropout, the candidate is skipped until a neighbour changes.
         """
-        get, width, made, limit = self.pairs.get, self.width, self.made, self.limit
+        return self.agenda(text, 0, key)[0]
+
+    def agenda(self, text: str, skipped: int, key: int | None, drawn: int = 0) -> tuple[list[int], int]:
+        """Symbols of a unit whose candidates are skipped by these bits, and by the draws of the key from the one numbered drawn on; and the number of candidates."""
+        at, drawn = 0, drawn if self.limit and key is not None else NEVER
+        get, width, made = self.pairs.get, self.width, self.made
         known = self.symbols.get
         parts = [known(c, -1 - ord(c)) for c in text]
         n = len(parts)
@@ -96,19 +132,20 @@ class Coder:
                 if rank == NEVER:
                     break
                 i = ranks.index(rank)
-                if limit:
-                    key = (key ^ rank) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-                    key ^= key >> 32
-                    if key & 0xFFFFFFFF < limit:
-                        ranks[i] = NEVER
-                        continue
+                if at == drawn:
+                    skipped |= self.skips(key, at)
+                    drawn += 4
+                at += 1
+                if skipped >> at - 1 & 1:
+                    ranks[i] = NEVER
+                    continue
                 parts[i] = x = made[rank]
                 del parts[i + 1], ranks[i]
                 if i:
                     ranks[i - 1] = get(parts[i - 1] * width + x, NEVER)
                 if i < len(ranks):
                     ranks[i] = get(x * width + parts[i + 1], NEVER)
-            return parts
+            return parts, at
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         gone = -1 << 40
         agenda = [(r, i, i + 1) for i in range(n - 1) if (r := get(parts[i] * width + parts[i + 1], NEVER)) != NEVER]
@@ -117,11 +154,12 @@ class Coder:
             rank, i, j = heapq.heappop(agenda)
             if parts[i] == gone or parts[j] == gone or after[i] != j or get(parts[i] * width + parts[j], NEVER) != rank:
                 continue
-            if limit:
-                key = (key ^ rank) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-                key ^= key >> 32
-                if key & 0xFFFFFFFF < limit:
-                    continue
+            if at == drawn:
+                skipped |= self.skips(key, at)
+                drawn += 4
+            at += 1
+            if skipped >> at - 1 & 1:
+                continue
             parts[i], parts[j] = made[rank], gone
             h, t = before[i], after[j]
             after[i] = t
@@ -131,49 +169,74 @@ class Coder:
                     heapq.heappush(agenda, (r, i, t))
             if h >= 0 and (r := get(parts[h] * width + parts[i], NEVER)) != NEVER:
                 heapq.heappush(agenda, (r, h, i))
-        return [x for x in parts if x != gone]
+        return [x for x in parts if x != gone], at
+
+    def packed(self, parts: list[int]) -> bytes:
+        out: list[int] = []
+        for p in parts:
+            if 0 <= p < self.n_pieces:
+                out.append(p)
+            else:
+                c = chr(-1 - p) if p < 0 else self.others[p]
+                out += [self.bytes_at[b] for b in c.encode()]
+        return array("i", out).tobytes()
+
+    def unit(self, text: str, skipped: int, key: int) -> bytes:
+        """Ids of one unit by its key, of which skipped has the first draws.
 
-    def unit(self, text: str, variant: int) -> bytes:
-        """Ids of one unit, as 32-bit values; the last CACHE units, or more, are remembered."""
+        Up to a skip, candidates come up as they do without it. So a word's segmentations are found by adding the
+        skips one by one, each time among the candidates of the segmentation so far; the last CACHE, or more, are remembered.
+        """
         word = text[1:] if text[:1] == SPACE and text[1:2] != SPACE else None  # remembered by the word after the space
-        packed = (self.cache[variant].get(word) or self.older[variant].get(word)) if word else None
-        if packed is None:
-            base = xxhash.xxh64_intdigest(text, self.seed * 1_000_003 + variant) if self.limit else 0
-            out: list[int] = []
-            for p in self.merged(text, base):
-                if 0 <= p < self.n_pieces:
-                    out.append(p)
-                else:
-                    c = chr(-1 - p) if p < 0 else self.others[p]
-                    out += [self.bytes_at[b] for b in c.encode()]
-            packed = array("i", out).tobytes()
-        if word and len(word) < SHORT:
-            if len(self.cache[variant]) >= CACHE // VARIANTS:
-                self.older[variant], self.cache[variant] = self.cache[variant], {}
-            self.cache[variant][word] = packed
-        return packed
-
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        """Ids of a text as packed 32-bit values; a space stands before the text, as the model was made with."""
+        if not word or len(word) >= SHORT:
+            return self.packed(self.agenda(text, skipped, key, DRAWN)[0])
+        known = self.cache.get(word)
+        if known is None:
+            if self.held >= CACHE:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            known = self.cache[word] = self.older.pop(word, {})
+            self.held += len(known) + 1
+            if not known:  # nothing to remember before a word comes again
+                return self.packed(self.agenda(text, skipped, key, DRAWN)[0])
+        drawn, used = DRAWN, 0
+        while True:
+            found = known.get(used)
+            if found is None:
+                parts, n = self.agenda(text, used, None)
+                found = known[used] = self.packed(parts), n
+                self.held += 1
+            while self.limit and drawn < found[1]:
+                skipped |= self.skips(key, drawn)
+                drawn += 4
+            more = skipped & ((1 << found[1]) - 1) & ~used
+            if not more:
+                return found[0]
+            used |= more & -more
+
+    def encode(self, text: str, key: int = 0) -> bytes:
+        """Ids of a text as packed 32-bit values, its skips drawn by the key; a space stands before the text, as the model was made with."""
         if not text:
             return b""
-        while len(self.cache) <= variant:
-            self.cache.append({})
-            self.older.append({})
         words = text.split(" ")
         if SPACE not in text and "" not in words:  # single spaces: every word is a unit
-            out = list(map(self.cache[variant].get, words))
-            if None in out:
-                for i, packed in enumerate(out):
-                    if packed is None:
-                        out[i] = self.unit(SPACE + words[i], variant)
+            keys = self.keys(key, len(words))
+            out = []
+            for i, (word, known, skipped) in enumerate(zip(words, map(self.cache.get, words), self.draws(keys))):
+                if known:
+                    ids, n = known[0]
+                    if n <= DRAWN and not skipped & ((1 << n) - 1):
+                        out.append(ids)
+                        continue
+                out.append(self.unit(SPACE + word, skipped, int(keys[i])))
             return b"".join(out)
-        out = []
+        units: list[str | None] = []
         for k, own in enumerate(text.split(SPACE)):
             if k:  # the mark itself is not a space: its bytes keep it apart
-                out.append(array("i", [self.bytes_at[b] for b in SPACE.encode()]).tobytes())
-            out += [self.unit(u, variant) for u in UNIT.findall((SPACE if not k else "") + own.replace(" ", SPACE))]
-        return b"".join(out)
+                units.append(None)
+            units += UNIT.findall((SPACE if not k else "") + own.replace(" ", SPACE))
+        keys = self.keys(key, len(units))
+        mark = array("i", [self.bytes_at[b] for b in SPACE.encode()]).tobytes()
+        return b"".join(mark if u is None else self.unit(u, d, k) for u, d, k in zip(units, self.draws(keys), keys.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
@@ -181,27 +244,27 @@ class Coder:
         return b"".join(map(self.table.__getitem__, ids.tolist()))[1:].decode()
 
 
-def encode(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str = "text", variants: int = VARIANTS) -> DataFrame:
-    """docs with piece_ids, the ids of each text under the variant that a hash of its id draws.
+def encode(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with piece_ids, the ids of each text.
 
-    With dropout 0 the ids are the model's own; with dropout the segmentation varies by seed and variant, and decodes to
-    the same text. A null text gives null ids, an empty one an empty array; equal rows give equal ids. Columns of docs
+    With dropout 0 the ids are the model's own; with dropout each candidate merge is skipped by a hash of the seed, the
+    document's id and text, the unit's place and the candidate's, and the ids decode to the same text. A null text gives null ids, an empty one an empty array; equal rows give equal ids. Columns of docs
     with the name of the added one are replaced.
     """
     docs = free_of(docs, "piece_ids")
     names = [c.lower() for c in docs.columns]
     at = names.index(text_col.lower())
     shared = docs.sparkSession.sparkContext.broadcast({"parts": coder.parts})
-    draw = F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(variants)).cast("int")
+    key = F.xxhash64(F.lit(29), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(shared.value)
         for batch in batches:
-            texts, chosen = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
+            texts, keys = batch.column(at), batch.column(batch.num_columns - 1).to_pylist()
             lo, size, held = 0, 0, []
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                held.append(None if text is None else coder.encode(text, chosen[i]))
+                held.append(None if text is None else coder.encode(text, keys[i]))
                 size += len(held[-1] or b"")
                 if size > 8 << 20 or i + 1 == batch.num_rows:
                     offsets = np.cumsum([0] + [len(h or b"") // 4 for h in held]).astype(np.int32)
@@ -209,7 +272,7 @@ def encode(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(held)) for c in batch.columns[:-1]), ids], names=[*batch.schema.names[:-1], "piece_ids"])
                     lo, size, held = i + 1, 0, []
 
-    return docs.withColumn("_lf_variant", draw).mapInArrow(run, with_fields(docs, piece_ids="array<int>"))
+    return docs.withColumn("_lf_key", key).mapInArrow(run, with_fields(docs, piece_ids="array<int>"))
 
 
 def decode(encoded: DataFrame, coder: Coder, ids_col: str = "piece_ids") -> DataFrame:

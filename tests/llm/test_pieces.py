@@ -50,6 +50,27 @@ def test_scanning_and_heap_agree():
             pieces.SHORT = keep
 
 
+def test_occurrences_of_a_word_vary():
+    coder, r = Coder.load(seed=4), random.Random(8)
+    word = "understanding"
+    forms = {ids for key in range(200) if (ids := coder.encode(word, key))}
+    assert len(forms) > 10
+    within = coder.encode(" ".join([word] * 200), 1)
+    assert len(within) > 200 * len(Coder.load(dropout=0).encode(word))
+    # By the cache, without it, and by single agendas.
+    words = ["".join(r.choice(["the", "tion", "é", "under", "stand", "9", "漢"]) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    for key in range(30):
+        text = " ".join(words)
+        units = [coder.packed(coder.merged("▁" + w, k)) for w, k in zip(words, coder.keys(key, len(words)).tolist())]
+        assert coder.encode(text, key) == b"".join(units) == Coder(**coder.parts).encode(text, key)
+
+
+def test_a_word_varies_over_documents(spark):
+    df = spark.createDataFrame([(i, "understanding") for i in range(100)], "doc_id long, text string")
+    rows = encode(df, Coder.load()).collect()
+    assert len({tuple(x.piece_ids) for x in rows}) > 4
+
+
 def test_frames(spark):
     coder = Coder.load()
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, "no id", 2), (99, None, 3)]
