@@ -15,8 +15,9 @@ from loomframe.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and line-frequency rules keep; null and empty texts go."""
-    return line_rules.line_frequency_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that the base and line-frequency rules keep, without the lines above the limits and with n_chars counted again; null and empty texts go."""
+    found = line_rules.line_frequency_rules(docs).filter("kept")
+    return found.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

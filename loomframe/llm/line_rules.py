@@ -57,23 +57,25 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed, base_failed and kept.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed, base_failed, kept and kept_text.
 
     A line is what stands between newlines, lower-cased, with white space runs as one space and digit runs as 0; lines
     without a word do not count. Its frequency is the number of different texts of its host that have it, so copies
     of one text are one document. n_removed is the number of words in lines above both limits; kept is false if
-    base_failed, or if n_removed is more than max_removed of the words. A null or empty text has zeros, fails the base rule
-    and is not kept; null hosts are one host; equal rows get equal verdicts. Columns of docs with the names of the
+    base_failed, or if n_removed is more than max_removed of the words. kept_text is the text without the lines above both
+    limits, its other lines (those without a word too) as they are; all other columns are of the whole text. A null or empty text has zeros, fails the base rule
+    and is not kept, and its kept_text is itself; null hosts are one host; equal rows get equal verdicts. Columns of docs with the names of the
     added ones are replaced. Only DataFrame functions are used.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept", "kept_text"]
     docs = free_of(docs, *added)
     bare = lambda c: F.translate(c, WHITE, "")
     keyed = docs.select("*", *row_key(F.col(id_col), F.col(text_col)), F.xxhash64(host_col).alias("_lf_host"))
     lines = F.filter(F.split(text, "\n"), lambda x: bare(x) != "")
 
-    rows = keyed.select("_lf_k1", "_lf_k2", "_lf_host", F.xxhash64(F.lit(3), text_col).alias("fp"), F.posexplode(lines).alias("pos", "line"))
+    # Places are among all lines of the text.
+    rows = keyed.select("_lf_k1", "_lf_k2", "_lf_host", F.xxhash64(F.lit(3), text_col).alias("fp"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).filter(bare(F.col("line")) != "")
     rows = rows.select(
         "_lf_k1", "_lf_k2", "_lf_host", "fp", "pos",
         F.regexp_replace(F.regexp_replace(F.lower(F.btrim("line", F.lit(WHITE))), WHITE_RUN, " "), "[0-9]+", "0").alias("line"),
@@ -87,7 +89,7 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str
     removed = rows.select("_lf_k1", "_lf_k2", "_lf_host", "line", "pos", "n").join(common, ["_lf_host", "line"])
     # A set of (line, words): equal rows add the same members, so nothing is counted twice.
     removed = removed.groupBy(F.col("_lf_k1").alias("_lf_r1"), F.col("_lf_k2").alias("_lf_r2")).agg(F.collect_set(F.struct("pos", "n")).alias("_lf_lines"))
-    removed = removed.select("_lf_r1", "_lf_r2", F.aggregate("_lf_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("_lf_removed"))
+    removed = removed.select("_lf_r1", "_lf_r2", F.aggregate("_lf_lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("_lf_removed"), F.transform("_lf_lines", lambda x: x["pos"]).alias("_lf_gone"))
 
     words = words_of(F.col(text_col))
     base = keyed.select(
@@ -102,4 +104,9 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = base.join(removed, (F.col("_lf_k1") == F.col("_lf_r1")) & (F.col("_lf_k2") == F.col("_lf_r2")), "left")
     out = out.withColumns({"n_removed": F.coalesce("_lf_removed", F.lit(0).cast("long")), "base_failed": failed})
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed") <= max_removed * F.col("n_words")))
+    # The stretches of lines between removed places.
+    places = F.array_sort("_lf_gone")
+    between = lambda x, p: F.zip_with(F.concat(F.array(F.lit(-1)), p), F.concat(p, F.array(F.size(x))), lambda a, b: F.slice(x, a + 2, b - a - 1))
+    left = let(F.split(text, "\n"), lambda x: F.array_join(F.flatten(let(places, lambda p: between(x, p))), "\n"))
+    out = out.withColumn("kept_text", F.when(F.col("_lf_gone").isNull(), F.col(text_col)).otherwise(left))
     return out.select(*docs.columns, *added)

@@ -34,6 +34,25 @@ def test_equals_brute_force(spark):
     assert any(not x.kept and not x.base_failed for x in got)
 
 
+def test_removed_lines_leave_the_text(spark):
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda w{0}"
+    rows = [(i, f"Home | Page {i}\n\n {own.format(chr(97 + i))} \nhome |  page 0\r\n", "a", 0) for i in range(6)]
+    rows += [(10, "Home | Page 1\n" + own.format("q"), "b", 0), (11, None, "a", 0), (12, "", "a", 0), (13, "Home | Page 3", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {x.doc_id: x for x in line_frequency_rules(docs, min_docs=3).collect()}
+    assert all(got[i].kept_text == f"\n {own.format(chr(97 + i))} \n" and got[i].text == rows[i][1] and got[i].n_removed == 8 for i in range(6))
+    assert got[10].kept_text == rows[6][1] and got[11].kept_text is None and got[12].kept_text == got[13].kept_text == ""
+
+
+def test_the_pipeline_hands_on_what_is_left(spark):
+    import corpus_pipeline
+
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda w{0}"
+    docs = spark.createDataFrame([(i, f"Home page\n{own.format(chr(97 + i))}", "a", 0) for i in range(12)], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert len(out) == 12 and all(x.text == own.format(chr(97 + x.doc_id)) and x.n_chars == len(x.text) for x in out)
+
+
 def test_odd_tables(spark):
     assert line_frequency_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     odd = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id long, text string, source string, kept int, _lf_x int")
