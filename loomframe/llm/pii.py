@@ -17,10 +17,9 @@ from loomframe.llm.spans import Span, cards, digest, emails, ips, listed, luhn,
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
 BASE = KINDS[:4]
 TAGS = ("O", *BASE)
-#: Words on either side of a word with a digit or @ that are decoded with it, and how much of each is looked at.
-CONTEXT, SEEN = 3, 64
-WHITE = re.compile(r"[\x20\x09-\x0D]+")
-LOUD = re.compile(r"[0-9@]+|\bdot\b")
+#: Words on either side of a word that is not plain that are decoded with it.
+CONTEXT = 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CUES = frozenset(("tel", "phone", "call", "mobile", "fax", "mail", "email", "contact", "card", "visa", "ip", "address", "host", "at", "dot", "version", "license", "id", "isbn", "order", "year", "page", "date"))  # fixed values
 EDGE = ".,;:!?\"'"
 
@@ -206,57 +205,25 @@ def train(labelled: DataFrame, epochs: int = 100, rate: float = 0.5, ridge: floa
     return model
 
 
+def loud(word: str) -> bool:
+    """Whether the word's features are not the plain ones: a cue, or with a character that is no letter within its outer marks."""
+    core = word.strip(EDGE)
+    return not core.isalpha() or core.lower() in CUES
+
+
 def stretches(text: str) -> Iterator[list[tuple[int, str]]]:
-    """(start, word) lists around the words with a digit or @: with CONTEXT words on either side, joined where these meet."""
-    now: list[tuple[int, str]] = []
-    done = 0
-    for m in LOUD.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and not WHITE.match(text[a - 1]):
-            a -= 1
-        stop = WHITE.search(text, b)
-        b = stop.start() if stop else len(text)
-        done = b
-
-        before: list[tuple[int, str]] = []
-        at = a
-        while at > 0 and len(before) < CONTEXT:
-            end = at
-            while end > 0 and WHITE.match(text[end - 1]):
-                end -= 1
-            begin = end
-            while begin > 0 and end - begin < SEEN and not WHITE.match(text[begin - 1]):
-                begin -= 1
-            if begin == end:
-                break
-            before.insert(0, (begin, text[begin:end]))
-            at = begin
-            if end - begin == SEEN:
-                break
-        if now:
-            last = now[-1][0] + len(now[-1][1])
-            fresh = [w for w in before if w[0] >= last]
-            if len(fresh) == CONTEXT and not (text[last : fresh[0][0]].strip(" \t\n\r\x0b\x0c") == ""):
-                yield now + _after(text, last)
-                now = before
-            else:
-                now += fresh
-        else:
-            now = before
-        now.append((a, text[a:b]))
-    if now:
-        yield now + _after(text, now[-1][0] + len(now[-1][1]))
-
-
-def _after(text: str, at: int) -> list[tuple[int, str]]:
-    out = []
-    for m in re.compile(r"[^\x20\x09-\x0D]+").finditer(text, at, min(len(text), at + CONTEXT * (SEEN + 8))):
-        out.append((m.start(), m[0]))
-        if len(out) == CONTEXT:
-            break
-    return out
+    """(start, word) lists around the loud words: with CONTEXT words on either side, joined where these meet."""
+    words = [(m.start(), m[0]) for m in WORD.finditer(text)]
+    lo = hi = 0
+    for i, (_, word) in enumerate(words):
+        if loud(word):
+            if i - CONTEXT > hi:
+                if hi:
+                    yield words[lo:hi]
+                lo = i - CONTEXT
+            hi = i + 1 + CONTEXT
+    if hi:
+        yield words[lo:hi]
 
 
 def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[list[Span]]:

@@ -71,6 +71,26 @@ def test_field_adds_spans_and_leaves_plain_text_alone(spark):
     assert sum(right) / len(right) > 0.97
 
 
+def test_decoding_stretches_equals_decoding_whole_texts(spark):
+    model = pii.train(pii.labelled_table(spark))
+    r = random.Random(9)
+    plain = ["er", "onden", "Keit,", "ouar.", "que", "shing", "x" * 90]
+    odd = ["anna at mailbox dot com", "anna AT mailbox DOT com", "Anna At Mailbox Dot Com", "anna[at]mailbox.net", "Tel. 0212 555 0187", "(212) 555-0187", "x@y.org", "1.2.3.4", "-", "Card", "y_" * 50, "visa 4111 1111 1111 1111"]
+    texts = [" ".join(r.choice(odd) if r.random() < 0.12 else r.choice(plain) for _ in range(r.randrange(1, 60))) for _ in range(300)] + ["Onden " + x for x in odd]
+    whole = []
+    for text in texts:
+        words = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+        tags = model.decode([pii.sequence_features([w for _, w in words])])[0]
+        whole.append({at for (at, _), t in zip(words, tags) if t})
+    assert sum(map(len, whole)) > 100
+    for text, want in zip(texts, whole):
+        runs = list(pii.stretches(text))
+        got = model.decode([pii.sequence_features([w for _, w in x]) for x in runs])
+        assert {at for x, tags in zip(runs, got) for (at, _), t in zip(x, tags) if t} == want, text
+    for form in ("anna at mailbox dot com", "anna AT mailbox DOT com", "Anna At Mailbox Dot Com", "anna[at]mailbox.net"):
+        assert any("mailbox" in w.lower() for x in pii.stretches(f"onden que er {form} er que onden") for _, w in x)
+
+
 def test_guess_cost():
     cost = secrets.guess_cost
     assert cost("password") < cost("P@ssw0rd") < 3
