@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +22,38 @@ STEP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one of our own that is then set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local session uses one beside its tables; on a cluster it must be set."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "loomframe")
-        sc.setCheckpointDir(path)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lf_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        folder, files = _folder(table.sparkSession, table._lf_path)
+        files.delete(folder, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,17 +66,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """base**i and its inverse modulo 2**64, grown on demand."""
+    """base**i and its inverse modulo 2**64 for i up to STEP_BYTES and a bit more, made once."""
 
     def __init__(self, base: int):
         self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = pow(self.base, -1, 1 << 64)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (self.base, inverse))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        size = max(n, STEP_BYTES + (1 << 16))
+        up, down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        if size < 2 * STEP_BYTES:  # those of a longer word are not kept
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _POWERS: dict[int, Powers] = {}
@@ -79,8 +97,30 @@ class Hasher:
             self.map[65:91] += U(32)
 
     def words(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Hashes of all words in order, and the index of the first word of each text (one more at the end)."""
+        """Hashes of all words in order, and the index of the first word of each text (one more at the end).
+
+        A word's hash does not depend on its place, so a long text is taken in stretches that end with a separator.
+        """
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        found: list[list[np.ndarray]] = [[] for _ in self.bytes_]
+        starts: list[np.ndarray] = []
+        lo = 0
+        while lo < len(buf):
+            hi = len(buf)
+            if hi - lo > 2 * STEP_BYTES:
+                hi = lo + STEP_BYTES
+                while not (cut := np.flatnonzero(self.is_sep[buf[hi : hi + STEP_BYTES]])).size:
+                    hi += STEP_BYTES
+                hi += int(cut[0]) + 1
+            at, hashes = self._words(buf[lo:hi])
+            starts.append(at + lo)
+            for held, h in zip(found, hashes):
+                held.append(h)
+            lo = hi
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return [np.concatenate(h) for h in found], np.searchsorted(np.concatenate(starts), first)
+
+    def _words(self, buf: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         sep = self.is_sep[buf]
         word = ~sep
         first = word.copy()
@@ -97,18 +137,21 @@ class Hasher:
             total = np.zeros(len(buf) + 1, U)
             np.cumsum(vals * up[: len(buf)], out=total[1:])
             hashes.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U)))
-        at = np.cumsum([0] + [len(t) + 1 for t in texts])
-        return hashes, np.searchsorted(starts, at)
+        return starts, hashes
 
     def windows(self, hashes: list[np.ndarray], k: int) -> list[np.ndarray]:
         """Hash of the k words from each position on (also across texts; mask those with inside())."""
         out = []
-        for h, powers in zip(hashes, self.words_):
-            n = max(0, len(h) - k + 1)
-            up, down = powers.get(len(h) + 1)
-            total = np.zeros(len(h) + 1, U)
-            np.cumsum(h * up[: len(h)], out=total[1:])
-            out.append(mix((total[k : k + n] - total[:n]) * down[:n]))
+        for all_, powers in zip(hashes, self.words_):
+            parts = [np.zeros(0, U)]
+            for lo in range(0, max(0, len(all_) - k + 1), STEP_BYTES):
+                h = all_[lo : lo + STEP_BYTES + k - 1]
+                n = len(h) - k + 1
+                up, down = powers.get(len(h) + 1)
+                total = np.zeros(len(h) + 1, U)
+                np.cumsum(h * up[: len(h)], out=total[1:])
+                parts.append(mix((total[k : k + n] - total[:n]) * down[:n]))
+            out.append(parts[1] if len(parts) == 2 else np.concatenate(parts))
         return out
 
 
@@ -146,46 +189,96 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def row_key(*columns: Column) -> list[Column]:
-    """Two long columns that stand for a row's identity, nulls included."""
-    return [F.xxhash64(F.lit(seed), *columns).alias(f"_lf_k{seed}") for seed in (1, 2)]
-
-
 def free_of(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add (compared as Spark compares names)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two long columns that stand for a row's identity, nulls included."""
+    return [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+
+
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df with more columns."""
     return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in kinds.items())])
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of equal first columns of sorted batches, as tables."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for i in range(keys):
+            col = batch.column(i).to_numpy(zero_copy_only=False)
+            same[1:] &= col[1:] == col[:-1]
+            same[0] &= last is not None and last[i] == col[0]
+        cuts = np.flatnonzero(~same).tolist()
+        edges = [0, *[c for c in cuts if c], batch.num_rows]
+        for n, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            if held and (n or not same[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(keys)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: An id with more edges than this, and more than one in HUBS of all edges, is joined by broadcast; there are at most 2 * HUBS.
+HUB, HUBS = 1_000, 10_000
+
+
+def with_lowest(edges: DataFrame, low: DataFrame, limit: float) -> DataFrame:
+    """edges (u, v) with the m of their u in low (u, m, n).
+
+    The edges of a hub, an id whose n is above the limit, stay where they are: the hubs, few by the limit, are
+    broadcast. All others meet their m by a shuffle.
+    """
+    hubs = F.broadcast(low.filter(F.col("n") > limit).select(F.col("u").alias("h"), F.col("m").alias("hm")))
+    marked = edges.join(hubs, F.col("u") == F.col("h"), "left")
+    others = marked.filter("h is null").select("u", "v").join(low.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return others.select("u", "v", "m").union(marked.filter("h is not null").select("u", "v", F.col("hm").alias("m")))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable from each id of the edges.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder. An id's star
-    never gathers in one task: both steps are sums and minima by key, joined back to the edges.
+    Alternating large-star and small-star rounds; each round is written to the shared folder, and the one before removed. Both
+    steps are minima by id, summed before the shuffle, joined back to the edges; see with_lowest for ids with very many edges.
     """
-    spark = edges.sparkSession
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    )
+    lowest = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    n = now.count()
     while True:
+        limit = max(HUB, n / HUBS)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = lowest(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_lowest(both.filter("v > u"), low, limit).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = with_lowest(large, lowest(large), limit)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         nxt = written(small.filter("u <> v").distinct())
-        # Stars only: no id is both a centre and a leaf, and each leaf has one centre.
-        unsettled = nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        if not unsettled.take(1) and nxt.count() == nxt.select("u").distinct().count():
-            break
+        discard(now, large)
+        # Stars only: each id is a centre, or a leaf of one.
+        ends = nxt.select(F.col("u").alias("i"), F.lit(1).alias("leaf")).union(nxt.select(F.col("v").alias("i"), F.lit(0).alias("leaf")))
+        ends = ends.groupBy("i").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("n"))
+        n, tangled = ends.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.max((F.col("leaf") > 0) & (F.col("n") > 1))).first()
         now = nxt
-    leaves = nxt.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    centres = nxt.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return leaves.union(centres)
+        if not tangled:
+            break
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import components, free_of, written
-from loomframe.llm.jaccard_join import _grouped
+from loomframe.llm.common import components, discard, free_of, fresh, grouped, written
 
 THRESHOLD = 0.93
 #: Vectors that the centroids are fitted on, in all, by a hash of the vector; every vector is then assigned.
@@ -47,18 +46,20 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     exactly one cell, and no pair is lost. Equal vectors of a label are compared once and counted as often as they occur.
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing, nor do
     vectors of different lengths. Rows with a null id link with nothing and have a null component. Rows that repeat an id and
-    a vector are separate vectors. Columns of vectors with the names of the added ones are replaced.
+    a vector are separate vectors. An empty table gives an empty one. Columns of vectors with the names of the added ones are
+    replaced.
     """
     spark = vectors.sparkSession
     vectors = free_of(vectors, "n_links", "component_id", "kept")
+    vec, key, of_label, of_key, of_vec, links, group = fresh(vectors, "_lf_v", "_lf_h", "_lf_l", "_lf_g", "_lf_w", "_lf_n", "_lf_c")
     e = F.col(vector_col)
     finite = F.forall(e, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(e, lambda v: v != 0), F.lit(False))
     # -0.0 and 0.0 are one value.
     exact = F.transform(e, lambda v: v.cast("double") + F.lit(0.0))
-    rows = vectors.select("*", F.when(usable, exact).alias("_lf_v"), F.when(usable, F.xxhash64(exact, label_col)).alias("_lf_h"))
-    good = rows.filter("_lf_h is not null")
-    distinct = good.groupBy(F.col(label_col).alias("label"), F.col("_lf_h").alias("h"), F.col("_lf_v").alias("v")).agg(F.count("*").alias("copies"), F.min(F.col(id_col).cast("long")).alias("rep"))
+    rows = vectors.select("*", F.when(usable, exact).alias(vec), F.when(usable, F.xxhash64(exact, label_col)).alias(key))
+    good = rows.filter(F.col(key).isNotNull())
+    distinct = good.groupBy(F.col(label_col).alias("label"), F.col(key).alias("h"), F.col(vec).alias("v")).agg(F.count("*").alias("copies"), F.min(F.col(id_col).cast("long")).alias("rep"))
     distinct = written(distinct.withColumn("g", F.xxhash64("label", F.size("v"))))
 
     # One small row per label, and a bounded sample for the centroids.
@@ -107,7 +108,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     blocks = blocks.repartition("g", "cell", "lo", "hi").sortWithinPartitions("g", "cell", "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, 4):
+        for table in grouped(batches, 4):
             lo, hi = (table.column(i)[0].as_py() for i in (2, 3))
             part, home, h, copies = (table.column(i).to_numpy() for i in (4, 5, 6, 7))
             rep = table.column(8).to_numpy()
@@ -150,11 +151,12 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     # One edge for each vector and block, to the first of its component there.
     found = written(blocks.mapInArrow(compare, "h long, g long, links long, rep long, root long"))
+    discard(cells)
     comp = components(found.select("rep", "root"), "rep", "root")
     counted = found.groupBy("g", "h").agg(F.sum("links").alias("links"))
     per = distinct.join(counted, ["g", "h"]).join(comp, F.col("rep") == F.col("id"), "left")
-    per = per.select(F.col("label").alias("_lf_l"), F.col("h").alias("_lf_g"), F.col("v").alias("_lf_w"), (F.col("links") + F.col("copies") - 1).alias("_lf_n"), F.coalesce("component", "rep").alias("_lf_c"))
-    out = rows.join(per, (F.col("_lf_h") == F.col("_lf_g")) & (F.col(label_col) == F.col("_lf_l")) & (F.col("_lf_v") == F.col("_lf_w")), "left")
+    per = per.select(F.col("label").alias(of_label), F.col("h").alias(of_key), F.col("v").alias(of_vec), (F.col("links") + F.col("copies") - 1).alias(links), F.coalesce("component", "rep").alias(group))
+    out = rows.join(per, (F.col(key) == F.col(of_key)) & (F.col(label_col) == F.col(of_label)) & (F.col(vec) == F.col(of_vec)), "left")
     own = F.col(id_col).cast("long")
-    out = out.withColumns({"n_links": F.coalesce("_lf_n", F.lit(0).cast("long")), "component_id": F.when(own.isNotNull(), F.coalesce("_lf_c", own))})
+    out = out.withColumns({"n_links": F.coalesce(links, F.lit(0).cast("long")), "component_id": F.when(own.isNotNull(), F.coalesce(group, own))})
     return out.withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(True))).select(*vectors.columns, "n_links", "component_id", "kept")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, written
+from loomframe.llm.common import discard, free_of, fresh, written
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Raking rounds; one round fits every marginal once.
@@ -14,6 +16,8 @@ ROUNDS = 8
 TEMPER = 0.7
 #: Share of all tokens to sample.
 BUDGET = 0.9
+#: A larger relative distance of a marginal from its target is reported.
+MAX_RESIDUAL = 0.01
 MARGINS = ("source", "lang", "topic")
 
 
@@ -49,16 +53,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     category is no single task. Each round is written, since its plan holds the
     one before several times.
     """
-    now = cells.withColumn("mass", F.col("tokens").cast("double"))
+    now, last = cells.withColumn("mass", F.col("tokens").cast("double")), None
     for _ in range(rounds):
         for column, target in targets.items():
             sums = now.groupBy(column).agg(F.sum("mass").alias("_have"))
             factor = sums.join(target, column, "left").select(F.col(column).alias("_c"), F.coalesce(F.try_divide("share", "_have"), F.lit(0.0)).alias("_f"))
             now = now.join(factor, F.col(column).eqNullSafe(F.col("_c"))).select(*cells.columns, (F.col("mass") * F.col("_f")).alias("mass"))
         now = written(now)
+        if last is not None:
+            discard(last)
+        last = now
     return now
 
 
+def residual(mass: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest relative distance of a category's share of the mass from its target, over all marginals (0 for no cells)."""
+    far, total = None, mass.agg(F.sum("mass")).first()[0] or 1.0
+    for column, target in targets.items():
+        have = mass.groupBy(column).agg(F.sum("mass").alias("have")).join(target, column)
+        have = have.select(F.abs(F.col("have") / F.lit(total) / F.col("share") - 1).alias("far"))
+        far = have if far is None else far.union(have)
+    return float(far.agg(F.max("far")).first()[0] or 0.0)
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """docs with topic, n_tokens, weight, probability and sampled.
 
@@ -71,21 +88,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     added = ["topic", "n_tokens", "weight", "probability", "sampled"]
     docs = free_of(docs, *added)
+    source, lang, s, l, t, w, p = fresh(docs, "_lf_source", "_lf_lang", "_lf_s", "_lf_l", "_lf_t", "_lf_w", "_lf_p")  # noqa: E741
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    rows = docs.withColumns({"topic": topic_of(F.col(text_col)), "n_tokens": n_tokens(F.col(text_col)), "_lf_source": named(source_col), "_lf_lang": named(lang_col)})
-    keys = {"_lf_source": "source", "_lf_lang": "lang", "topic": "topic"}
+    rows = docs.withColumns({"topic": topic_of(F.col(text_col)), "n_tokens": n_tokens(F.col(text_col)), source: named(source_col), lang: named(lang_col)})
+    keys = {source: "source", lang: "lang", "topic": "topic"}
     cells = written(rows.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
-    mass = rake(cells, {c: written(tempered(cells, c, temper)) for c in MARGINS}, rounds)
+    targets = {c: written(tempered(cells, c, temper)) for c in MARGINS}
+    mass = rake(cells, targets, rounds)
+    if (far := residual(mass, targets)) > MAX_RESIDUAL:
+        warnings.warn(f"raking has not converged: a marginal is off by {far:.1%}", stacklevel=2)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     weights = written(mass.select(*MARGINS, "tokens", (F.col("mass") * F.lit(total) / F.col("tokens")).alias("weight")))
 
     # c from the breakpoints 1 / weight: below it a cell gives c * weight of its tokens, from it on all of them.
     at = weights.groupBy(F.round("weight", 9).alias("weight")).agg(F.sum("tokens").alias("tokens")).filter("weight > 0")
     scale = calibrated(at, budget * total)
-    picked = weights.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"), F.least(F.lit(1.0), F.lit(scale) * F.col("weight")).alias("_p"))
-    out = rows.join(picked, (F.col("_lf_source") == F.col("_s")) & (F.col("_lf_lang") == F.col("_l")) & (F.col("topic") == F.col("_t")), "left")
+    picked = weights.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("weight").alias(w), F.least(F.lit(1.0), F.lit(scale) * F.col("weight")).alias(p))
+    out = rows.join(picked, (F.col(source) == F.col(s)) & (F.col(lang) == F.col(l)) & (F.col("topic") == F.col(t)), "left")
     empty = F.col("n_tokens") == 0
-    out = out.withColumns({"weight": F.when(empty, 1.0).otherwise(F.coalesce("_w", F.lit(0.0))), "probability": F.when(empty, 1.0).otherwise(F.coalesce("_p", F.lit(0.0)))})
+    out = out.withColumns({"weight": F.when(empty, 1.0).otherwise(F.coalesce(w, F.lit(0.0))), "probability": F.when(empty, 1.0).otherwise(F.coalesce(p, F.lit(0.0)))})
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), key).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return out.withColumn("sampled", draw < F.col("probability")).select(*docs.columns, *added)

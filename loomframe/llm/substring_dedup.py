@@ -3,8 +3,9 @@
 Pass 1 sketches the windows: each window is counted under its anchor, the smallest hash among its K_ANCHOR-word
 subsequences. Equal windows have equal anchors, so an anchor's count is never below its windows' counts, and
 neighbouring windows share an anchor, so there are about ten times fewer of them. Pass 2 takes only windows
-whose anchor is estimated repeated, shuffles them by anchor as runs, and groups them exactly. Pass 3 joins the
-repeated ranges back to the texts.
+whose anchor is estimated repeated, shuffles them by anchor as runs, and groups them exactly; the windows of a very frequent
+anchor, such as a common phrase with other words around it, are shuffled one by one. Pass 3 joins the repeated ranges back to
+the texts.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import sketch
-from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, row_key, signed, small, steps, with_fields
+from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, fresh, mix, row_key, signed, small, steps, with_fields
 
 WINDOW = 35
+#: Cells of the sketch for each anchor, in all, and its hash rows.
+CELLS, HASH_ROWS = 16, 2
+#: An anchor estimated as often as this has each of its windows shuffled by its own hash.
+FREQUENT = 10_000
 #: Rows that a task holds while it groups runs of equal anchors.
 HELD_ROWS = 20_000
 #: Distinct runs that a task remembers to thin out copies before the shuffle (thinning changes no result).
@@ -61,11 +66,14 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all its words. Windows are judged on the input. Words are runs of anything but ASCII white space, unchanged.
     A null text has no words and gives an empty kept_text; texts shorter than a window are kept whole; equal rows
     are separate documents, so both lose what they share. Columns of docs with the names of the added ones are
-    replaced; rows with a null id are documents like any other. Hashes of 128 bits stand for windows.
+    replaced; rows with a null id are documents like any other; an empty table gives an empty one. Very long texts are hashed in
+    stretches and are rows like any other. Hashes of 128 bits stand for windows.
     """
     spark = docs.sparkSession
-    keyed = free_of(docs, "n_words", "n_removed", "kept_text").select("*", *row_key(F.col(id_col), F.col(text_col)))
-    texts = keyed.select(F.col("_lf_k1").alias("k1"), F.col("_lf_k2").alias("k2"), F.col(text_col).alias("t"))
+    docs = free_of(docs, "n_words", "n_removed", "kept_text")
+    key1, key2, own1, own2, spans = fresh(docs, "_lf_k1", "_lf_k2", "_lf_r1", "_lf_r2", "_lf_ranges")
+    keyed = docs.select("*", *(k.alias(n) for k, n in zip(row_key(F.col(id_col), F.col(text_col)), (key1, key2))))
+    texts = keyed.select(F.col(key1).alias("k1"), F.col(key2).alias("k2"), F.col(text_col).alias("t"))
 
     def sketch_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         data, hasher = as_bytes(batch.column(0)), Hasher()
@@ -73,19 +81,19 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             (h,), bounds = hasher.words(data[a:b])
             yield anchors(h, hasher, bounds, window)[0]
 
-    # About 6 bytes a word, and an anchor for ten words; 16 cells for each.
+    # About 6 bytes a word, and an anchor for ten words.
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = spark.sparkContext.broadcast(sketch.build(texts.select("t"), sketch_keys, size / 60, 16))
+    bits = spark.sparkContext.broadcast(sketch.build(texts.select("t"), sketch_keys, size / 60, CELLS, HASH_ROWS, counted=True))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen = Hasher(bases=2), {}
+        hasher, seen, sk = Hasher(bases=2), {}, sketch.Sketch(*bits.value)
         for batch in small(batches):
             data = as_bytes(batch.column(2))
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for a, b in steps(data):
                 hashes, bounds = hasher.words(data[a:b])
                 anchor, first, n, text = anchors(hashes[0], hasher, bounds, window)
-                hit = sketch.Sketch(*bits.value).repeated(anchor)
+                hit = sk.repeated(anchor)
                 anchor, first, n, text = anchor[hit], first[hit], n[hit], text[hit]
                 if not len(anchor):
                     continue
@@ -94,6 +102,15 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ends = np.cumsum(n)
                 take = np.repeat(first - np.concatenate([[0], ends[:-1]]), n) + np.arange(ends[-1])
                 w = w[take]
+                often = sk.frequent(anchor, FREQUENT)
+                if often.any():  # runs of one window each, under an anchor of their own
+                    alone = np.repeat(often, n)
+                    opens = np.ones(len(take), bool)
+                    opens[1:] = alone[1:] | (np.repeat(np.arange(len(n)), n)[1:] != np.repeat(np.arange(len(n)), n)[:-1])
+                    anchor = np.where(alone, mix(np.repeat(anchor, n) + w), np.repeat(anchor, n))[opens]
+                    text, first = np.repeat(text, n)[opens], take[opens]
+                    ends = np.append(np.flatnonzero(opens)[1:], len(take))
+                    n = np.diff(ends, prepend=0)
                 edges = np.concatenate([[0], ends])
                 total = np.add.reduceat(w, edges[:-1]) + anchor * U(3)
                 known = np.zeros(len(anchor), bool)
@@ -152,8 +169,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     runs = texts.mapInArrow(candidates, RUNS).repartition("anchor").sortWithinPartitions("anchor")
     ranges = runs.mapInArrow(group, "k1 long, k2 long, lo int, hi int")
-    ranges = ranges.groupBy(F.col("k1").alias("_lf_r1"), F.col("k2").alias("_lf_r2")).agg(F.collect_list(F.struct("lo", "hi")).alias("_lf_ranges"))
-    joined = keyed.join(ranges, (keyed["_lf_k1"] == ranges["_lf_r1"]) & (keyed["_lf_k2"] == ranges["_lf_r2"]), "left").drop("_lf_k1", "_lf_k2", "_lf_r1", "_lf_r2")
+    ranges = ranges.groupBy(F.col("k1").alias(own1), F.col("k2").alias(own2)).agg(F.collect_list(F.struct("lo", "hi")).alias(spans))
+    joined = keyed.join(ranges, (F.col(key1) == F.col(own1)) & (F.col(key2) == F.col(own2)), "left").drop(key1, key2, own1, own2)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -175,4 +192,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], "n_words", "n_removed", "kept_text"])
 
     t_at = [c.lower() for c in joined.columns].index(text_col.lower())
-    return joined.mapInArrow(strip, with_fields(joined.drop("_lf_ranges"), n_words="long", n_removed="long", kept_text="string"))
+    return joined.mapInArrow(strip, with_fields(joined.drop(spans), n_words="long", n_removed="long", kept_text="string"))

@@ -46,3 +46,5 @@ def test_odd_tables(spark):
     assert embedding_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 2.0], 1, "a"), (4, [1.0, 2.0], 1, "b")], SCHEMA + ", kept string")
     assert sorted((x.n_links, x.component_id or 0, x.kept) for x in embedding_groups(odd).collect()) == [(0, 0, True), (0, 4, True)]
+    named = odd.selectExpr("vec_id", "embedding", "label", "1 as _lf_v", "2 as _LF_H", "3 as _lf_c", "4 as rep")
+    assert all(tuple(x)[3:7] == (1, 2, 3, 4) for x in embedding_groups(named).collect())

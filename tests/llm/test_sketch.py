@@ -19,6 +19,24 @@ def test_no_repeated_key_is_lost(spark, merged, held, monkeypatch):
     assert found.bits.nbytes * 8 == 1 << found.width
 
 
+def test_two_rows_and_counts(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "HELD", 500)
+    r = np.random.default_rng(3)
+    # Smallest of many hashes: these crowd at the low end of the range.
+    keys = r.integers(0, 1 << 63, (60_000, 19), dtype=np.int64).min(1)
+    keys = np.concatenate([keys, keys[:500], np.repeat(keys[7:9], 3000)])
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(5)
+    of = lambda rows: sketch.Sketch(*sketch.build(df, lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), len(keys), 16, rows, counted=True))
+    for rows in (1, 2):
+        found = of(rows)
+        assert found.bits.shape[0] == rows and found.counts.sum() == len(keys)
+        estimated = found.repeated(keys[:60_000].view(np.uint64))
+        load = 60_000 / (1 << found.width)
+        assert estimated[:500].all() and estimated[500:].mean() < 1.2 * (1 - np.exp(-load)) ** rows
+        often = found.frequent(keys[:60_000].view(np.uint64), 2000)
+        assert often[7:9].all() and often.sum() < 10
+
+
 def test_nothing_to_sketch(spark):
     empty = spark.createDataFrame([], "k long")
     found = sketch.Sketch(*sketch.build(empty, lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), 0, 2))

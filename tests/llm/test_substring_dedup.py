@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from loomframe.llm import common, substring_dedup
 from loomframe.llm.substring_dedup import remove_repeated
 
 
@@ -39,6 +40,28 @@ def test_equals_brute_force(spark, seed):
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeated(empty).count() == 0
-    odd = spark.createDataFrame([(1, "a b", 5, "k")], "doc_id long, text string, n_words long, _k1 string")
+    odd = spark.createDataFrame([(1, "a b", 5, "k")], "doc_id long, text string, n_words long, _lf_k1 string").selectExpr("*", "1 as _LF_r1", "2 as _lf_ranges")
     row = remove_repeated(odd).first()
     assert (row.n_words, row.n_removed, row.kept_text) == (2, 0, "a b")
+    assert (row["_lf_k1"], row["_LF_r1"], row["_lf_ranges"]) == ("k", 1, 2)
+
+
+def test_windows_of_frequent_anchors(spark, monkeypatch):
+    """A phrase with other words around it in many documents, and one whole passage."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 20)
+    r = random.Random(5)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(4000))
+    phrase, passage = [word() for _ in range(20)], [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(30)] + (passage if i % 4 == 0 else phrase) + [word() for _ in range(30)])) for i in range(120)]
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted([(x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got.collect()], key=str) == brute(rows, 35)
+
+
+def test_stretches_of_long_texts_change_nothing(monkeypatch):
+    texts = [b"aa bb  cc\n" * 40, b"", b" ", b"z" * 300, b"dd " * 200]
+    plain = common.Hasher(bases=2).words(texts)
+    windows = common.Hasher(bases=2).windows(plain[0], 5)
+    monkeypatch.setattr(common, "STEP_BYTES", 64)
+    cut = common.Hasher(bases=2).words(texts)
+    assert all((a == b).all() for a, b in zip(plain[0], cut[0])) and (plain[1] == cut[1]).all()
+    assert all((a == b).all() for a, b in zip(windows, common.Hasher(bases=2).windows(cut[0], 5)))
