@@ -41,8 +41,8 @@ rep AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, i + j AS p FR
 l AS (SELECT doc_id, host, t, unnest(ls) AS line FROM w),
 nl AS (SELECT doc_id, host, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   regexp_replace(regexp_replace(lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS line FROM l),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS c FROM nl GROUP BY host, line) JOIN hosts USING (host) WHERE c >= 10 AND c > 0.1 * docs),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
+common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS c FROM nl GROUP BY host, line) JOIN hosts USING (host) WHERE c >= 10 AND c > 0.1 * docs),
 rem AS (SELECT doc_id, sum(n) AS n FROM nl JOIN common USING (host, line) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -9,10 +9,10 @@ def brute(rows):
     norm = lambda line: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.strip(" \t\n\x0b\x0c\r").lower()))
     lines = [[x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for _, t, _ in rows]
     seen, hosts = {}, {}
-    for (_, t, h), ls in zip(rows, lines):
-        hosts.setdefault(h, set()).add(t)
+    for (i, t, h), ls in zip(rows, lines):
+        hosts.setdefault(h, set()).add((i, t))
         for x in ls:
-            seen.setdefault((h, norm(x)), set()).add(t)
+            seen.setdefault((h, norm(x)), set()).add((i, t))
     out = []
     for (i, t, h), w, ls in zip(rows, words, lines):
         wins = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
@@ -55,5 +55,6 @@ def test_the_pipeline_hands_on_what_is_left(spark):
 
 def test_odd_tables(spark):
     assert line_frequency_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
-    odd = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id long, text string, source string, kept int, _lf_x int")
-    assert line_frequency_rules(odd).first().kept is False
+    odd = spark.createDataFrame([(1, "a b", "s", 3, 4)], "doc_id long, text string, source string, kept int, _lf_k1 int").selectExpr("*", "5 as _LF_R1", "6 as _lf_gone", "7 as _lf_host")
+    row = line_frequency_rules(odd).first()
+    assert row.kept is False and (row["_lf_k1"], row["_LF_R1"], row["_lf_gone"], row["_lf_host"]) == (4, 5, 6, 7)
