@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,42 +10,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import as_bytes, free_of, steps, with_fields
+from loomframe.llm.common import free_of, small, with_fields
 
-ORDERS = (2, 3, 4)
+ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 BUCKETS = len(ORDERS) << BUCKET_BITS
 #: At most about this many labelled documents of each language are used for fitting.
 MAX_PER_LANG = 4_000
+#: Most languages: the matrix that is broadcast has a column for each (1 MB).
+MAX_LANGS = 256
 SMOOTHING = 0.5
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Characters of text that one numpy step takes; a longer single text is taken in stretches.
+STEP_CHARS = 1 << 18
+_LETTERS: list[np.ndarray] = []
 
 
-def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram at each byte (one array per order; BUCKETS where it would leave its text), and where each text begins.
+def letters() -> np.ndarray:
+    """The small letter of each code point that is a letter or a mark on one (categories L and M), a space for any other; made once in each worker."""
+    if not _LETTERS:
+        table = np.full(0x110000, 32, np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if unicodedata.category(c)[0] in "LM":
+                table[i] = ord(low) if len(low := c.lower()) == 1 else i
+        _LETTERS.append(table)
+    return _LETTERS[0]
 
-    Bytes are UTF-8 with ASCII letters in lower case; all other ASCII counts as a space, and spaces stand around a text.
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of category L (a first short look decides for most)."""
+    return any(map(str.isalpha, text[:200])) or any(map(str.isalpha, text[200:]))
+
+
+def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bucket of the n-gram of characters that begins at each place (one array per order; BUCKETS where it would leave its text or has no letter), and where each
+    text begins.
+
+    Letters are small, all other characters count as spaces, and spaces stand around a text.
     """
-    table = np.full(256, 32, np.uint8)
-    table[97:123] = table[65:91] = np.arange(97, 123)
-    table[128:] = np.arange(128, 256)
     tail = max(ORDERS) - 1
-    size = np.array([len(t) + 1 + tail for t in texts])
-    buf = table[np.frombuffer(b"".join(b" " + t + b" " * tail for t in texts) + b" " * tail, np.uint8)].astype(np.uint32)
-    at = np.concatenate([[0], np.cumsum(size)])
+    joined = "".join(f" {t}{' ' * tail}" for t in texts) + " " * tail
+    buf = letters()[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+    at = np.cumsum([0] + [len(t) + 1 + tail for t in texts])
     beyond = np.concatenate([at[1:] - k for k in range(1, tail + 1)])
-    out = []
+    size, out = at[-1], []
+    key, blank = np.zeros(size, np.uint32), np.ones(size, bool)
     for i, n in enumerate(ORDERS):
-        key = buf[: at[-1]].copy()
-        for j in range(1, n):
-            key = (key << np.uint32(8)) | buf[j : at[-1] + j]
-        bucket = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) + (i << BUCKET_BITS)
+        for j in range(ORDERS[i - 1] if i else 0, n):
+            key = key * np.uint32(0x01000193) + buf[j : size + j]
+            blank &= buf[j : size + j] == 32
+        bucket = (((key ^ (key >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64) + (i << BUCKET_BITS)
+        bucket[blank] = BUCKETS
         bucket[beyond] = BUCKETS
         out.append(bucket)
     return out, at[:-1]
 
 
+def stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Lists of (number of the text, text or a stretch of it) of about STEP_CHARS; n-grams across a cut are left out."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t)), STEP_CHARS):
+            held.append((i, t[lo : lo + STEP_CHARS]))
+            size += len(held[-1][1])
+            if size >= STEP_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> dict:
     """Log-probabilities by language from rows of docs with a text and a lang; about max_per_lang of each, by a hash of the id
     (copies of one text are thus not drawn together).
@@ -54,6 +89,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null")
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) > MAX_LANGS:
+        raise ValueError(f"{len(n)} languages; the matrix of log-probabilities is made for {MAX_LANGS} at most")
     if not n:
         return {"langs": [], "log": np.zeros((BUCKETS + 1, 0), np.float32), "prior": np.zeros(0)}
     limits = F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, max_per_lang / c))])
@@ -61,12 +98,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = as_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
+        for batch in small(batches):
+            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
-                own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for a, b in steps(own):
-                    keys = np.concatenate(grams(own[a:b])[0])
+                for part in stretches([texts[i] for i in np.flatnonzero(langs == lang)]):
+                    keys = np.concatenate(grams([t for _, t in part])[0])
                     total.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(keys, minlength=BUCKETS + 1)[:BUCKETS]
         for lang, counts in total.items():
             some = np.flatnonzero(counts)
@@ -83,32 +119,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {"langs": langs, "log": log.astype(np.float32), "prior": prior}
 
 
-def log_scores(texts: list[bytes], model: dict) -> np.ndarray:
-    out = []
-    for a, b in steps(texts):
-        keys, at = grams(texts[a:b])
-        out.append(model["prior"] + sum(np.add.reduceat(model["log"][k], at, axis=0, dtype=np.float64) for k in keys))
-    return np.concatenate(out) if out else np.zeros((0, len(model["langs"])))
+def log_scores(texts: list[str], model: dict) -> np.ndarray:
+    out = np.tile(model["prior"], (len(texts), 1))
+    for part in stretches(texts):
+        keys, at = grams([t for _, t in part])
+        np.add.at(out, [i for i, _ in part], sum(np.add.reduceat(model["log"][k], at, axis=0, dtype=np.float64) for k in keys))
+    return out
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred, 0 to 1).
 
     Only the text is read. A null text, one without a letter, or a model that learned no language gives `und` with score 0;
-    ties go to the language first in order. Columns of docs with the names of the added ones are replaced.
+    ties go to the language first in order; equal rows get equal answers, whatever their ids, and an empty table gives an empty one. A very
+    long text is counted in stretches. Columns of docs with the names of the added ones are replaced.
     """
     docs = free_of(docs, "lang_pred", "score")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model, texts = shared.value, as_bytes(batch.column(at))
+        for batch in small(batches):
+            model, texts = shared.value, [t or "" for t in batch.column(at).to_pylist()]
             if model["langs"]:
                 logs = log_scores(texts, model)
                 best = logs.argmax(1)
                 p = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-                known = [bool(LETTER.search(t.decode())) for t in texts]
+                known = [has_letter(t) for t in texts]
                 pred = [model["langs"][i] if k else UNKNOWN for i, k in zip(best, known)]
                 p = np.where(known, p, 0.0)
             else:

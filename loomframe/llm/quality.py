@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Hasher, as_bytes, free_of, steps, with_fields
+from loomframe.llm.common import Hasher, as_bytes, free_of, small, steps, with_fields
 
 #: At most about this many labelled documents of each label are used for fitting.
 MAX_PER_LABEL = 8_000
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = F.broadcast(ids.filter(draw < take)).join(docs.select(F.col(id_col).alias("_lf_id"), F.col(text_col).alias("t")), "_lf_id").select("y", "t")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = features(as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from SCORE_AT_THRESHOLD on).
 
     Only the text is read. A null text counts as empty; an empty text has all measures 0 and a score like any other. Equal
-    texts get equal scores. Columns of docs with the names of the added ones are replaced. Without labels of both
+    texts get equal scores, whatever their ids, and an empty table gives an empty one; a very long text is measured whole. Columns of docs with the names of the added ones are replaced. Without labels of both
     kinds the model ranks nothing: every document then gets the same score.
     """
     docs = free_of(docs, "score", "predicted")
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = scores(features(as_bytes(batch.column(at))), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= SCORE_AT_THRESHOLD).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 

@@ -1,4 +1,6 @@
 import random
+import unicodedata
+from collections import Counter
 
 import numpy as np
 
@@ -26,6 +28,28 @@ def test_quality_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.98
 
 
+def test_pairwise_fit_finds_the_best_order():
+    """The Newton steps end where the penalised logistic loss on feature differences has no slope."""
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, quality.FEATURES))
+    y = (x[:, 0] + 0.3 * r.normal(size=400) > -0.8).astype(int)
+    model = quality.fit(x, y, 0.2)
+    s = quality.spread(x, model["knots"]) @ model["w"]
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None]) > 0.98
+    order = np.argsort(s)
+    low = quality.scores(x, model) < quality.SCORE_AT_THRESHOLD
+    assert low[order].tolist() == sorted(low.tolist(), reverse=True)
+    # Plain gradient descent on the same pairs ends at no lower loss.
+    good, bad = x[y == 1], x[y == 0]
+    pairs = np.random.default_rng(0).integers(0, len(good), len(bad) * quality.PAIRS_EACH)
+    diff = quality.spread(good[pairs], model["knots"]) - quality.spread(np.repeat(bad, quality.PAIRS_EACH, 0), model["knots"])
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 1e-3 * (w @ w) / 2
+    w = np.zeros_like(model["w"])
+    for _ in range(4000):
+        w += 0.5 * (diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff) - 1e-3 * w)
+    assert loss(model["w"]) <= loss(w) + 1e-3
+
+
 def test_quality_odd_rows(spark):
     df = spark.createDataFrame(corpus(60), "doc_id long, text string, lang string, quality int")
     odd = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "a", "z"), (2, "z" * 50000, "q")], "doc_id long, text string, score string")
@@ -41,16 +65,47 @@ def test_language_held_out(spark):
     assert np.mean([x.lang_pred == x.lang for x in out]) > 0.98
 
 
-def test_language_scores_equal_plain_naive_bayes(spark):
+def plain_buckets(text):
+    """Buckets of the n-grams of a text, one by one."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in f" {text}   "]
+    chars = [c if unicodedata.category(c)[0] in "LM" else " " for c in low]
+    for i, n in enumerate(langid.ORDERS):
+        for k in range(len(text) + 1):
+            gram = chars[k : k + n]
+            if any(c != " " for c in gram):
+                key = 0
+                for c in gram:
+                    key = (key * 0x01000193 + ord(c)) % (1 << 32)
+                yield ((key ^ key >> 15) * 0x9E3779B1 % (1 << 32) >> 16) + (i << 16)
+
+
+def test_language_scores_equal_plain_naive_bayes(spark, monkeypatch):
     rows = corpus(40)
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     model = langid.train(df)
-    texts = [r[1].encode() for r in rows[:7]] + [b"", "é".encode(), b"x" * 3000]
+    langs = sorted({r[2] for r in rows})
+    counts = {y: Counter(b for r in rows if r[2] == y for b in plain_buckets(r[1])) for y in langs}
+    texts = [r[1] for r in rows[:7]] + ["", "é", "Ärger ÉTÉ", "漢字 and ½ ²", "x" * 3000]
     got = langid.log_scores(texts, model)
     for i, t in enumerate(texts):
-        keys, _ = langid.grams([t])
-        want = model["prior"] + sum(model["log"][k].astype(float).sum(0) for k in keys)
-        assert np.allclose(got[i], want, rtol=1e-6)
+        for j, y in enumerate(langs):
+            want = np.log(sum(r[2] == y for r in rows) / len(rows))
+            for b in plain_buckets(t):
+                own = range(b >> 16 << 16, (b >> 16) + 1 << 16)
+                total = sum(v for k, v in counts[y].items() if k in own) + langid.SMOOTHING * len(own)
+                want += np.log((counts[y][b] + langid.SMOOTHING) / total)
+            assert np.isclose(got[i, j], want, rtol=1e-5)
+    monkeypatch.setattr(langid, "STEP_CHARS", 50)
+    assert np.allclose(langid.log_scores(texts[7:11], model), got[7:11])
+    assert langid.predict(df, model).count() == 40
+
+
+def test_only_letters_make_a_language(spark):
+    df = spark.createDataFrame([r[:3] for r in corpus(40)], "doc_id long, text string, lang string")
+    odd = [(1, "²½ 12"), (2, "_ __"), (3, "9é"), (4, "9" * 300 + "ß"), (4, "9" * 300 + "ß")]
+    out = langid.predict(spark.createDataFrame(odd, "lang_pred long, text string"), langid.train(df)).collect()
+    assert [x.lang_pred == "und" for x in out] == [True, True, False, False, False] and out[3] == out[4]
+    assert langid.predict(df.limit(0), langid.train(df)).count() == 0
 
 
 def test_language_odd_rows(spark):
@@ -73,6 +128,7 @@ def test_raking_meets_the_marginals(spark):
     for c, t in targets.items():
         for x in t.collect():
             assert abs(sum(y.mass for y in raked if y[c] == x[c]) - x.share) < 1e-6
+    assert mixing.residual(mixing.rake(cells, targets), targets) < 1e-6 < mixing.residual(cells.withColumn("mass", mixing.F.col("tokens")), targets)
     out = mixing.mix_sources(df).collect()
     assert len(out) == 600 and abs(sum(x.n_tokens * x.probability for x in out) / sum(x.n_tokens for x in out) - 0.9) < 0.01
     assert abs(sum(x.n_tokens for x in out if x.sampled) / sum(x.n_tokens for x in out) - 0.9) < 0.06
@@ -83,3 +139,5 @@ def test_mixing_odd_rows(spark):
     out = mixing.mix_sources(odd, budget=1.0).collect()
     assert len(out) == 4 and all(x.sampled for x in out) and [x.n_tokens for x in out if x.doc_id == 2] == [2, 2]
     assert mixing.mix_sources(odd.limit(0)).count() == 0
+    named = odd.selectExpr("*", "1 as _p", "2 as _lf_p", "3 as _lf_source", "4 as _s", "5 as _LF_W")
+    assert [x[5:10] for x in mixing.mix_sources(named).select("doc_id", "text", "source", "lang", "text", "_p", "_lf_p", "_lf_source", "_s", "_LF_W").collect()] == [(1, 2, 3, 4, 5)] * 4
