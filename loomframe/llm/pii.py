@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,94 +13,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, with_fields
+from loomframe.llm.common import free_of, small, with_fields
 from loomframe.llm.spans import Span, cards, digest, emails, ips, listed, luhn, phones
 
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
 BASE = KINDS[:4]
 TAGS = ("O", *BASE)
-#: Words on either side of a word that is not plain that are decoded with it.
-CONTEXT = 3
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CUES = frozenset(("tel", "phone", "call", "mobile", "fax", "mail", "email", "contact", "card", "visa", "ip", "address", "host", "at", "dot", "version", "license", "id", "isbn", "order", "year", "page", "date"))  # fixed values
+#: Words on either side whose features a position sees.
+AROUND = 2
+#: Words that have a feature of their own.
+CUES = (
+    "at dot com org net phone tel telephone call mobile cell fax sms whatsapp hotline mail email contact write card visa mastercard credit debit "
+    "ip address host server ping ipv version release license id isbn order invoice year page date price section chapter"
+).split()
 EDGE = ".,;:!?\"'"
+#: Digits of an added span, least and most (others are dropped, as base spans that fail their test are).
+DIGITS = {"phone": (7, 15), "card": (13, 19)}
+#: Words with features of their own that a worker remembers; beyond it starts anew.
+REMEMBERED = 50_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def labelled_table(spark: SparkSession, seed: int = 5, each: int = 40) -> DataFrame:
-    """The small labelled table (sentence, pos, word, tag): sentences made by rule, with a fixed seed."""
-    r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    syl = ["the", "ond", "er", "en", "keit", "tion", "ou", "ar", "dos", "que", "ich", "le", "ment", "sh", "a", "ing", "é", "ü", "ñ"]
-
-    def word() -> str:
-        w = "".join(r.choice(syl) for _ in range(r.randrange(1, 5)))
-        return r.choice([w, w, w, w.capitalize(), w + ",", w + "."])
-
-    def card_number() -> str:
-        body = "4" + d(14)
-        return next(body + c for c in "0123456789" if luhn(body + c))
-
-    def not_card() -> str:
-        number = card_number()
-        return number[:-1] + str((int(number[-1]) + r.randrange(1, 10)) % 10)
+def labelled_table(spark: SparkSession, seed: int = 5, each: int = 20) -> DataFrame:
+    """The small labelled table (sentence, pos, word, tag): sentences made by rule, with a fixed seed.
 
-    marks = ["$$$", "&&&", "***", "%%%", "!!", "|", "#"]
-    name = lambda: "".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randrange(3, 9)))
-    grouped = lambda s, by: by.join(s[i : i + 4] for i in range(0, 16, 4))
+    Formats are those in common use in several countries, written here without looking at any corpus; half of them are of
+    things that are no personal data but look alike.
+    """
+    r = random.Random(seed)
+    d = lambda n, first="": (first or r.choice("123456789")) + "".join(r.choice("0123456789") for _ in range(n - 1))
+    zero = lambda n: "0" + d(n - 1)
+    syllables = "ba ker lo min ta son ri vel du pa nor ish eth ing ment ou le un der auf schl ja mo que ción ña é ü ö ç st ly".split()
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 5)))
+    said = lambda: (w := word()) and r.choice([w, w, w, w.capitalize(), w + ",", w + ".", f"({w})", w + "-" + word()])
+    name = lambda: r.choice([word(), word() + r.choice("._-") + word(), word() + d(r.randrange(1, 4))])
+    host = lambda: r.choice([word(), word() + "-" + word(), word() + d(1)])
+    tld = lambda: r.choice("com org net edu gov io de fr es it uk info".split())
+    at = lambda: r.choice(["at", "AT", "(at)", "[at]", "{at}"])
+    dot = lambda: r.choice(["dot", "DOT", "(dot)", "[dot]"])
+    octet = lambda: str(r.randrange(256))
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+
+    def card_number(right: bool = True) -> str:
+        body = r.choice(["4", "5", "37", "6011"])
+        body += d(15 - len(body))
+        last = next(c for c in "0123456789" if luhn(body + c))
+        return body + (last if right else str((int(last) + r.randrange(1, 10)) % 10))
+
+    fours = lambda n, by: by.join(n[i : i + 4] for i in range(0, len(n), 4))
+    some = lambda n: " ".join(said() for _ in range(n))
     made = [
-        (lambda: f"{name()}.{d(2)}@mail{d(1)}.example.com", "email"), (lambda: f"{name()}@{name()}.org", "email"),
-        (lambda: f"{name()} at {name()} dot com", "email"), (lambda: f"{name()}[at]{name()}{d(1)}.net", "email"),
-        (lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "ip"), (lambda: ".".join(str(r.randrange(256)) for _ in range(4)) + ":8080", "ip"),
-        (lambda: card_number(), "card"), (lambda: grouped(card_number(), " "), "card"), (lambda: grouped(card_number(), "."), "card"),
-        (lambda: f"+1 ({d(3)}) 555-{d(4)}", "phone"), (lambda: f"({d(3)}) 555-{d(4)}", "phone"), (lambda: f"{d(3)}-555-{d(4)}", "phone"), (lambda: f"tel. 0{d(3)} {d(3)} {d(4)}", "phone"),
-        (lambda: "version " + d(1) + "." + d(1), "O"), (lambda: "License, Version 2.0.", "O"), (lambda: "CC BY-NC 4.0.", "O"), (lambda: "version 3.", "O"),
-        (lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)), "O"), (lambda: "password=" + "".join(r.choice("0123456789abcdef") for _ in range(18)), "O"),
-        (lambda: 'token = "' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"', "O"), (lambda: str(r.randrange(1900, 2030)), "O"), (lambda: d(r.randrange(1, 4)), "O"),
-        (lambda: f"20{d(2)}-0{r.randrange(1, 10)}-1{d(1)}", "O"), (lambda: f"{d(1)},{d(3)}.{d(2)}", "O"), (lambda: f"page {d(2)} of {d(3)}", "O"), (lambda: f"order {d(8)}", "O"), (lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", "O"),
-        (lambda: f"{d(1)}. {word()}", "O"), (lambda: f"{d(2)}:{d(2)}", "O"), (lambda: d(16) if (x := d(16)) and not luhn(x) else "12 34", "O"), (lambda: " ".join(word() for _ in range(9)), "O"),
-        (lambda: " ".join(word() + r.choice(marks) for _ in range(3)) + " " + d(r.choice([8, 16, 16])) + r.choice(marks) + " " + word() + r.choice(marks), "O"), (lambda: d(r.randrange(6, 21)) + r.choice(marks), "O"), (lambda: not_card(), "O"), (lambda: f"{word()} at the dot {word()}", "O"),
+        ("email", lambda: f"{name()}@{host()}.{tld()}", 2), ("email", lambda: f"{name()} {at()} {host()} {dot()} {tld()}", 3), ("email", lambda: f"{name()}{r.choice(['(at)', '[at]', '{at}', '_at_'])}{host()}.{tld()}", 2),
+        ("email", lambda: f"{name()}[at]{host()}[dot]{tld()}", 1), ("email", lambda: f"<{name()}@{host()}.{word()}.{tld()}>", 1), ("email", lambda: f"{name()} @ {host()} . {tld()}", 1),
+        ("ip", lambda: ".".join(octet() for _ in range(4)), 2), ("ip", lambda: ".".join(octet() for _ in range(4)) + r.choice([":80", ":8443", "/24", "/8"]), 1), ("ip", lambda: "[.]".join(octet() for _ in range(4)), 1),
+        ("ip", lambda: ":".join(hexes(r.randrange(1, 5)) for _ in range(8)), 1), ("ip", lambda: f"{hexes(4)}:{hexes(3)}::{hexes(r.randrange(1, 5))}", 1), ("ip", lambda: f"fe80::{hexes(4)}:{hexes(4)}", 1),
+        ("card", lambda: card_number(), 2), ("card", lambda: fours(card_number(), r.choice(" -")), 2), ("card", lambda: fours(card_number(), r.choice("._/")), 2),
+        ("phone", lambda: f"+{d(2)} {d(2)} {d(4)} {d(4)}", 1), ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}.{d(3)}.{d(4)}", 1), ("phone", lambda: f"1-{r.choice(['800', '888'])}-{d(3)}-{d(4)}", 1),
+        ("phone", lambda: f"{zero(3)} {d(7)}", 1), ("phone", lambda: f"{zero(4)}/{d(7)}", 1), ("phone", lambda: f"{zero(2)} {d(2)} {d(2)} {d(2)} {d(2)}", 2), ("phone", lambda: f"{zero(3)} {d(4)} {d(4)}", 1), ("phone", lambda: f"00{d(2)} {d(2)} {d(7)}", 1),
+        ("O", lambda: f"{r.choice(['version', 'release', 'v'])} {d(1)}.{d(1)}" + r.choice(["", f".{d(1)}", f".{d(1)}.{d(2)}"]), 2), ("O", lambda: f"{d(4, r.choice('12'))}-{zero(2)}-{d(2, '1')}", 1), ("O", lambda: f"{d(2, '1')}/{zero(2)}/{d(4, '2')}", 1), ("O", lambda: f"{d(2, '1')}:{d(2, '3')}" + r.choice(["", f":{d(2, '2')}"]), 1),
+        ("O", lambda: f"{r.choice('$€£')}{d(r.randrange(1, 4))},{d(3)}.{d(2)}", 1), ("O", lambda: f"{d(1)}.{d(3)}.{d(3)},{d(2)} {r.choice(['euros', '€'])}", 1), ("O", lambda: f"page {d(2)} of {d(3)}", 1), ("O", lambda: f"{d(4, '1')}-{d(4, '1')}", 1), ("O", lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", 2),
+        ("O", lambda: f"order {d(r.choice([6, 8, 10]))}", 2), ("O", lambda: f"id {d(r.randrange(5, 20))}", 2), ("O", lambda: card_number(False), 3), ("O", lambda: fours(card_number(False), r.choice(" -")), 2), ("O", lambda: d(r.randrange(1, 8)), 3), ("O", lambda: d(r.randrange(8, 22)), 2),
+        ("O", lambda: hexes(r.choice([16, 32, 40])), 1), ("O", lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randrange(6, 24))), 1), ("O", lambda: f"{word()}={hexes(12)}", 1), ("O", lambda: f"{word()}_{word()} = '{hexes(8)}'", 1), ("O", lambda: f"#{d(3)}", 1), ("O", lambda: f"{d(1)}. {said()}", 1),
+        ("O", lambda: f"{said()} at {said()} {r.choice(['at', 'dot', 'the', word()])} {said()}", 4), ("O", lambda: f"at at {said()}", 1), ("O", lambda: " ".join([r.choice([*CUES, word(), d(2), "At", "at."])] * r.randrange(2, 9)), 5), ("O", lambda: f"{said()} dot {said()} net {said()}", 1), ("O", lambda: f"{said()} at {d(r.randrange(1, 5))} {said()}", 2), ("O", lambda: f"@{word()}", 1), ("O", lambda: f"{word()} @ {d(2)}", 1),
+        ("O", lambda: f"{word()}.{tld()}", 1), ("O", lambda: f"https://{host()}.{tld()}/{word()}/{d(4)}", 1), ("O", lambda: " | ".join(r.choice([word(), d(r.randrange(1, 7))]) for _ in range(5)), 2), ("O", lambda: " ".join(d(r.randrange(1, 5)) for _ in range(r.randrange(2, 4))), 2), ("O", lambda: " ".join(d(r.randrange(1, 5)) for _ in range(r.randrange(6, 14))), 2), ("O", lambda: (k := r.randrange(1, 5)) and " ".join(d(k) for _ in range(r.randrange(6, 14))), 2), ("O", lambda: f"{d(2)}.{d(4)}, {d(2)}.{d(4)}", 1), ("O", lambda: f"{d(2)} x {d(2)} x {d(3)} cm", 1),
+        ("O", lambda: f"{word()}{r.choice('$&*%|#<>')}{word()} {r.choice('$&*%|#<>') * 3} {d(r.randrange(3, 18))}{r.choice('$&*%|#')}", 3), ("O", lambda: f"{r.choice(['and', '*', '-', '|', '&', '...', '--'])} {said()}", 3), ("O", lambda: some(r.randrange(6, 12)), 12),
     ]
     rows, n = [], 0
-    for make, tag in made:
-        for _ in range(each):
-            pairs = [(word(), "O") for _ in range(r.randrange(0, 5))]
-            body = make().split()
-            pairs += [(w, "O" if w == "tel." else tag) for w in body]
+    for tag, make, times in made:
+        for _ in range(each * times):
+            pairs = [(w, "O") for w in some(r.randrange(0, 5)).split()]
             if tag != "O" and r.random() < 0.3:
-                pairs[-1] = (pairs[-1][0] + r.choice(",."), tag)
-            pairs += [(word(), "O") for _ in range(r.randrange(0, 5))]
+                cue = {"email": ["mail", "email:", "contact"], "ip": ["host", "ip", "address"], "card": ["card", "visa:", "credit card"], "phone": ["tel.", "phone:", "call", "mobile"]}[tag]
+                pairs += [(w, "O") for w in r.choice(cue).split()]
+            pairs += [(w, tag) for w in make().split()]
+            if r.random() < 0.3:
+                pairs[-1] = (pairs[-1][0] + r.choice(",.;"), pairs[-1][1])
+            pairs += [(w, "O") for w in some(r.randrange(0, 5)).split()]
             rows += [(n, i, w, t) for i, (w, t) in enumerate(pairs)]
             n += 1
     return spark.createDataFrame(rows, "sentence long, pos int, word string, tag string")
 
 
-def shape(word: str) -> str:
-    """The word's kinds of characters, runs collapsed: A capital, a small, 9 digit, others themselves."""
-    out = ""
-    for c in word:
-        k = "9" if c in "0123456789" else "a" if c.islower() else "A" if c.isalpha() else c
-        if not out or k != out[-1]:
+def kind_of(c: str) -> str:
+    return "9" if c in "0123456789" else "a" if c.islower() else "A" if c.isalpha() else c
+
+
+def shape(word: str, longest: int) -> str:
+    """The word's kinds of characters, runs collapsed to so many: A capital, a small, 9 digit, others themselves."""
+    out, run, last = "", 0, ""
+    for c in word[:200]:
+        k = kind_of(c)
+        run = run + 1 if k == last else 1
+        last = k
+        if run <= longest:
             out += k
-    return out[:24]
+    return out[:32]
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """Features of one word; a plain word (letters and outer marks alone) has one of few values."""
+    """Features of one word. A plain word (letters within outer marks) has but one, or its cue."""
     core = word.strip(EDGE)
-    digits = sum(c in "0123456789" for c in core)
     low = core.lower()
-    if not digits and core.isalpha():
-        return ("plain", f"cue={low}" if low in CUES else "plain")
-    number = core.replace("-", "").replace(".", "")
-    return (f"shape={shape(core)}", f"digits={min(digits, 20)}", "luhn" if 14 <= len(number) <= 19 and number.isdecimal() and number.isascii() and luhn(number) else "x", "@" if "@" in core else "-")
+    if core.isalpha():
+        return (f"cue={low}" if low in CUES else "plain",)
+    digits = sum(c in "0123456789" for c in core)
+    number = re.sub("[-._/]", "", core)
+    bare = re.sub(r"[^\w]", "", low)
+    return (
+        f"shape={shape(core, 1)}", f"form={shape(core, 4)}", f"digits={min(digits, 20)}", f"zero={core[:1] == '0'}", f"bare={bare if bare in CUES else ''}",
+        "luhn" if 14 <= len(number) <= 19 and number.isascii() and number.isdecimal() and luhn(number) else "no luhn",
+        f"at={'@' in core or any(x in low for x in ('(at)', '[at]', '{at}', '_at_'))}", f"colons={min(core.count(':'), 3)}",
+    )
 
 
 def sequence_features(words: list[str]) -> list[tuple[str, ...]]:
-    """Features at each position, from the word and its two neighbours (none beyond the ends: plain)."""
-    own = [word_features(w) for w in words]
-    edge = ("plain", "plain")
-    around = [edge, *own, edge]
-    return [(*(f"0:{f}" for f in around[i + 1]), *(f"-1:{f}" for f in around[i]), *(f"+1:{f}" for f in around[i + 2])) for i in range(len(own))]
+    """Features at each position, from the word and AROUND neighbours on either side (beyond the ends: plain)."""
+    own = [("plain",)] * AROUND + [word_features(w) for w in words] + [("plain",)] * AROUND
+    return [tuple(f"{o - AROUND}:{f}" for o in range(2 * AROUND + 1) for f in own[i + o]) for i in range(len(words))]
 
 
 class Crf:
@@ -123,6 +154,11 @@ class Crf:
         if not sequences:
             return []
         emit, size = self.scores(sequences)
+        tags = self.viterbi(emit, size)
+        return [tags[i, :n] for i, n in enumerate(size)]
+
+    def viterbi(self, emit: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Best tags for emissions padded to the longest sequence."""
         best, back = emit[:, 0], []
         for t in range(1, emit.shape[1]):
             total = best[:, :, None] + self.move
@@ -134,10 +170,10 @@ class Crf:
             tags[:, t] = now
             if t:
                 now = np.where(t < size, back[t - 1][np.arange(len(now)), now], now)
-        return [tags[i, :n] for i, n in enumerate(size)]
+        return tags
 
 
-def train(labelled: DataFrame, epochs: int = 100, rate: float = 0.5, ridge: float = 1e-3) -> Crf:
+def train(labelled: DataFrame, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> Crf:
     """Maximum likelihood by gradient steps (forward-backward over all sentences at once) on the small labelled table."""
     by: dict[int, list] = {}
     for row in labelled.orderBy("sentence", "pos").collect():
@@ -196,70 +232,221 @@ def train(labelled: DataFrame, epochs: int = 100, rate: float = 0.5, ridge: floa
         seen_m += grad_m**2
         emit += rate * grad_e / np.sqrt(seen_e)
         move += rate * grad_m / np.sqrt(seen_m)
-    model = Crf(index, emit, move)
-    # Runs of plain words among plain words decode to O whatever surrounds them, so they need no decoding.
-    plain = model.scores([[sequence_features(["a", "a", "a"])[1]]])[0][0, 0]
-    gain = 2 * (move.max() - move[0].min() + move.max() - move[:, 0].min())
-    if len(sentences) and (plain[0] - plain[1:].max()) * CONTEXT <= gain / 2:
-        raise ValueError("the labelled table has too few plain words to leave them out")
-    return model
+    return Crf(index, emit, move)
 
 
-def loud(word: str) -> bool:
-    """Whether the word's features are not the plain ones: a cue, or with a character that is no letter within its outer marks."""
-    core = word.strip(EDGE)
-    return not core.isalpha() or core.lower() in CUES
+#: Classes of characters: separator, letter, outer mark, any other.
+_CLASSES: list[np.ndarray] = []
+
 
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point (0 separator, 1 letter, 2 outer mark, 3 other) and its small letter; made once in each worker."""
+    if not _CLASSES:
+        kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if unicodedata.category(c)[0] == "L":
+                kind[i] = 1
+                if len(small_one := c.lower()) == 1:
+                    low[i] = ord(small_one)
+        kind[[32, *range(9, 14)]] = 0
+        kind[[ord(c) for c in EDGE]] = 2
+        _CLASSES.extend((kind, low))
+    return _CLASSES[0], _CLASSES[1]
 
-def stretches(text: str) -> Iterator[list[tuple[int, str]]]:
-    """(start, word) lists around the loud words: with CONTEXT words on either side, joined where these meet."""
-    words = [(m.start(), m[0]) for m in WORD.finditer(text)]
-    lo = hi = 0
-    for i, (_, word) in enumerate(words):
-        if loud(word):
-            if i - CONTEXT > hi:
-                if hi:
-                    yield words[lo:hi]
-                lo = i - CONTEXT
-            hi = i + 1 + CONTEXT
-    if hi:
-        yield words[lo:hi]
 
+class Tagger:
+    """Tags all words of many texts with the field's best sequence.
+
+    The emission of a position is a sum over the words around it, kept as one table row for each word with features of its own
+    (row 0: plain). A position is quiet if its emission prefers O to each other tag by floor at least. Stretches of
+    length or more quiet positions are O in every best sequence (see quiet), and what lies between them is decoded by itself:
+    so the result is that of decoding whole texts.
+    """
 
-def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[list[Span]]:
+    def __init__(self, model: Crf):
+        self.model, n = model, 2 * AROUND + 1
+        # Weights by feature without its offset: one table of offsets and tags each.
+        self.names: dict[str, int] = {}
+        for f in model.index:
+            self.names.setdefault(f.split(":", 1)[1], len(self.names))
+        self.weights = np.zeros((len(self.names), n, len(TAGS)))
+        for f, i in model.index.items():
+            offset, name = f.split(":", 1)
+            self.weights[self.names[name], int(offset) + AROUND] = model.emit[i]
+        self.rows, self.n = np.zeros((64, n, len(TAGS))), 0
+        self.known: dict[str, int] = {}
+        self.row(("plain",))
+        self.cues = {self.hashed(w): self.row((f"cue={w}",)) for w in CUES}
+        self.fixed = self.n
+        self.floor, self.length = self.quiet(self.rows[0].sum(0), model.move)
+
+    @staticmethod
+    def quiet(plain: np.ndarray, move: np.ndarray) -> tuple[float, int]:
+        """A preference for O, and how many neighbouring positions that all have it are O in every best sequence.
+
+        Take a best sequence with other tags at some places of such a stretch, and write O there instead. Each place gains floor
+        or more; each move between two such places loses at most inner; the moves into and out of them lose most where
+        the other tags go on beyond the stretch, less where they begin or end in it. If the gain is larger for one place of tags that
+        end in the stretch, and for the whole stretch, it is so for all cases between. Plain words among plain words are
+        quiet if that is possible at all.
+        """
+        slack = 1e-6
+        inner = float((move[1:, 1:] - move[0, 0]).max())
+        into, out = float((move[1:, 1:] - move[1:, :1]).max()), float((move[1:, 1:] - move[:1, 1:]).max())
+        from_o, to_o = float((move[0, 1:] - move[0, 0]).max()), float((move[1:, 0] - move[0, 0]).max())
+        into, out, from_o, to_o = (max(x, 0.0) for x in (into, out, from_o, to_o))
+        least = max(inner, into + to_o, from_o + out) + slack
+        floor = max(least, inner + max(0.0, into + out - inner) / 3 + slack)
+        own = float((plain[0] - plain[1:]).min())
+        if least < own < floor:
+            floor = own
+        return floor, max(1, int((into + out - inner + slack) // (floor - inner)) + 1)
+
+    @staticmethod
+    def hashed(word: str) -> int:
+        h = 0
+        for c in word:
+            h = (h * 0x100000001B3 + ord(c)) & (1 << 64) - 1
+        return h
+
+    def row(self, features: tuple[str, ...]) -> int:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = self.weights[[self.names[f] for f in features if f in self.names]].sum(0)
+        self.n += 1
+        return self.n - 1
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and table row of each word of the joined texts, and the index of the first word of each text."""
+        joined = "\n".join(texts) + "\n"
+        kind_at, low_at = classes()
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = kind_at[points]
+        inside = np.concatenate([[False], kind > 0, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        row = np.zeros(len(start), np.int64)
+        if not len(start):
+            return start, end, row, first
+        letters = np.concatenate([[0], np.cumsum(kind == 1)])
+        n_letters = letters[end] - letters[start]
+        # The outermost letters of each word; a word is plain if all between them are letters and no other mark is outside.
+        place = np.flatnonzero(kind == 1)
+        lo, hi = letters[start], letters[end] - 1
+        some = n_letters > 0
+        span = np.zeros(len(start), np.int64)
+        span[some] = place[hi[some]] - place[lo[some]] + 1
+        odd = np.concatenate([[0], np.cumsum(kind == 3)])
+        plain = some & (span == n_letters) & (odd[end] == odd[start])
+        # Short plain words may be cues.
+        for size in sorted({len(w) for w in CUES}):
+            own = np.flatnonzero(plain & (n_letters == size))
+            h = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                h = h * np.uint64(0x100000001B3) + low_at[points[place[lo[own]] + k]]
+            keys = np.array(sorted(k for k in self.cues), np.uint64)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            row[own[hit]] = np.array([self.cues[k] for k in keys.tolist()])[at[hit]]
+        for i in np.flatnonzero(~plain).tolist():
+            word = joined[start[i] : end[i]]
+            k = self.known.get(word)
+            if k is None:
+                k = self.known[word] = self.row(word_features(word))
+            row[i] = k
+        return start, end, row, first
+
+    def tags(self, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The tag of each word."""
+        out = np.zeros(len(row), np.int64)
+        if not len(row):
+            return out
+        gaps = np.repeat(np.arange(len(first) - 1) * AROUND, np.diff(first)) + AROUND  # plain words stand between the texts
+        padded = np.zeros(len(row) + AROUND * len(first), np.int64)
+        at = np.arange(len(row)) + gaps
+        padded[at] = row
+        loud = padded > 0
+        near = loud.copy()
+        for o in range(1, AROUND + 1):
+            near[o:] |= loud[:-o]
+            near[:-o] |= loud[o:]
+        plain = self.rows[0].sum(0)
+        quiet = np.full(len(row), (plain[0] - plain[1:]).min() >= self.floor)
+        where = np.flatnonzero(near[at]) if quiet[0] else np.arange(len(row))
+        emit = sum(self.rows[padded[at[where] + o - AROUND], o] for o in range(2 * AROUND + 1))
+        quiet[where] = (emit[:, :1] - emit[:, 1:]).min(1) >= self.floor
+        text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        edge = np.flatnonzero(np.concatenate([[True], (quiet[1:] != quiet[:-1]) | (text_of[1:] != text_of[:-1])]))
+        length = np.diff(np.append(edge, len(row)))
+        where = np.flatnonzero(~np.repeat(quiet[edge] & (length >= self.length), length))
+        if not len(where):
+            return out
+        emit = sum(self.rows[padded[at[where] + o - AROUND], o] for o in range(2 * AROUND + 1))
+        text = np.searchsorted(first, where, side="right")
+        begins = np.concatenate([[True], (where[1:] != where[:-1] + 1) | (text[1:] != text[:-1])])
+        head = np.flatnonzero(begins)
+        size = np.diff(np.append(head, len(where)))
+        last = head + size - 1
+        before, after = where[head] > first[text[head] - 1], where[last] < first[text[head]] - 1
+        emit[head[before]] += self.model.move[0]
+        emit[last[after]] += self.model.move[:, 0]
+        order = np.argsort(size, kind="stable")
+        for lo in range(0, len(order), 512):
+            part = order[lo : lo + 512]
+            padded_emit = np.zeros((len(part), int(size[part[-1]]), len(TAGS)))
+            inside = np.arange(padded_emit.shape[1]) < size[part, None]
+            places = (head[part, None] + np.arange(padded_emit.shape[1]))[inside]
+            padded_emit[inside] = emit[places]
+            out[where[places]] = self.model.viterbi(padded_emit, size[part])[inside]
+        return out
+
+    def spans(self, texts: list[str]) -> list[list[Span]]:
+        """Spans of neighbouring words with one tag, in code points of each text, outer marks left out."""
+        out: list[list[Span]] = [[] for _ in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.n = {}, self.fixed
+        start, end, row, first = self.words(texts)
+        tags = self.tags(row, first)
+        hit = np.flatnonzero(tags)
+        if not len(hit):
+            return out
+        text = np.searchsorted(first, hit, side="right") - 1
+        new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (text[1:] != text[:-1]) | (tags[hit[1:]] != tags[hit[:-1]])])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(hit)) - 1
+        offset = np.cumsum([0] + [len(t) + 1 for t in texts])
+        for i, j in zip(head.tolist(), tail.tolist()):
+            k = int(text[i])
+            a, b = int(start[hit[i]] - offset[k]), int(end[hit[j]] - offset[k])
+            own = texts[k][a:b]
+            a, b = a + len(own) - len(own.lstrip(EDGE)), b - len(own) + len(own.rstrip(EDGE))
+            kind = TAGS[tags[hit[i]]]
+            least, most = DIGITS.get(kind, (0, b - a))
+            if a < b and least <= sum(c in "0123456789" for c in texts[k][a:b]) <= most:
+                out[k].append((a, b, f"crf_{kind}"))
+        return out
+
+
+def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """Spans of tagged words that touch no base span, for all texts at once."""
-    owners, runs = [], []
-    for i, text in enumerate(texts):
-        for words in stretches(text):
-            owners.append(i)
-            runs.append(words)
-    out: list[list[Span]] = [[] for _ in texts]
-    order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-    for lo in range(0, len(order), 512):
-        part = order[lo : lo + 512]
-        tags = model.decode([sequence_features([w for _, w in runs[i]]) for i in part])
-        for i, own in zip(part, tags):
-            words, j = runs[i], 0
-            while j < len(own):
-                e = j + 1
-                while e < len(own) and own[e] == own[j]:
-                    e += 1
-                if own[j]:
-                    first, last = words[j], words[e - 1]
-                    a = first[0] + len(first[1]) - len(first[1].lstrip(EDGE))
-                    b = last[0] + len(last[1].rstrip(EDGE))
-                    if a < b and all(b <= s or e_ <= a for s, e_, _ in base[owners[i]]):
-                        out[owners[i]].append((a, b, f"crf_{TAGS[own[j]]}"))
-                j = e
+    out = []
+    for own, found in zip(base, tagger.spans(texts)):
+        taken = sorted((a, b) for a, b, _ in own)
+        reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+        # Of the base spans that begin before a span ends, none reaches beyond its start.
+        out.append([s for s in found if not (n := bisect_left(taken, (s[1],))) or reach[n - 1] <= s[0]])
     return out
 
 
 def find(docs: DataFrame, model: Crf, text_col: str = "text", mask: bool = False) -> DataFrame:
     """docs with pii_spans, an array of (start, end, kind); with mask, also with the spans in the text replaced by <KIND>.
 
-    Offsets are code points, ends exclusive. A null or empty text has no spans and stays as it is. Base spans come
-    first where spans would overlap; added spans of the field never touch them. Columns of docs with the name of the added one
-    are replaced.
+    Offsets are code points, ends exclusive. A null or empty text has no spans and stays as it is; ids are not looked at, so null
+    and repeated ones are like any other; equal rows give equal spans, and an empty table an empty one. Base spans come
+    first where spans would overlap; added spans of the field never touch them. A very long text is one step, in time that grows with its
+    length. Columns of docs with the name of the added one are replaced.
     """
     docs = free_of(docs, "pii_spans")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
@@ -267,11 +454,11 @@ def find(docs: DataFrame, model: Crf, text_col: str = "text", mask: bool = False
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Crf(*shared.value)
-        for batch in batches:
+        tagger = Tagger(Crf(*shared.value))
+        for batch in small(batches, 128):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             base = [emails(t) + ips(t) + cards(t) + phones(t) for t in texts]
-            more = added_spans(texts, base, model)
+            more = added_spans(texts, base, tagger)
             found = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for b, m in zip(base, more)]
             columns = list(batch.columns)
             if mask:
