@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomframe.functions import exprs as X
@@ -80,22 +78,21 @@ def hosted_elsewhere(spark, sf_dir):
     return V.table(spark, sf_dir, "part").filter(F.coalesce(url, F.lit("")) == "").select(F.col("p_partkey").alias("id"))
 
 
-REPLIES = [
-    (1, '```json\n[{"index":1,"text":"a"},{"index":2,"text":"b"}]\n```', 2),
-    (2, 'Here: ["x","y","z"] done', 3),
-    (3, '[{"index":0,"text":"zero"},{"index":1,"text":"one"},"bare"]', 3),
-    (4, '[{"index":9,"text":"far"},{"text":"none"}]', 2),
-    (5, "no array here", 2),
-    (6, '[{"index":1}, "s"]', 1),
-    (7, "", 1),
-]
-REPLY_SLOTS = [(1, 0, "a"), (1, 1, "b"), (2, 0, "x"), (2, 1, "y"), (2, 2, "z"), (3, 0, "one"), (3, 2, "bare"), (4, 0, "far"), (4, 1, "none"), (6, 0, "")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({r}, CAST({s} AS BIGINT), '{t}')" for r, s, t in REPLY_SLOTS) + ") v(reply, slot, text)")
+@query(f"""WITH {V.TURNS}, t AS (SELECT chapter * 1000 + pos AS reply, (chapter + pos) % 6 AS form, coalesce(text, '') AS text, coalesce(role, '') AS role FROM turns)
+SELECT reply, CAST(0 AS BIGINT) AS slot, CASE form WHEN 5 THEN '' ELSE text END AS text FROM t WHERE form <> 4
+UNION ALL SELECT reply, 1, CASE form WHEN 3 THEN 'none' ELSE role END FROM t WHERE form IN (0, 1, 3) UNION ALL SELECT reply, 2, CASE form WHEN 1 THEN 'z' ELSE 'bare' END FROM t WHERE form IN (1, 2)""")
 def json_slots(spark, sf_dir):
-    """Items of mixed JSON replies at their slots."""
-    raw = spark.createDataFrame(REPLIES, "reply int, raw string, expected int")
+    """Items of mixed JSON replies at their slots: fenced, in prose, bare, out of range, without a text, and none at all."""
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    item = lambda index, value: F.to_json(F.struct(*([F.lit(index).alias("index")] if index is not None else []), *([value.alias("text")] if value is not None else [])))
+    quoted = lambda value: F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    listed = lambda *items: F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    forms = F.array(
+        F.concat(F.lit("```json\n"), listed(item(1, text), item(2, role)), F.lit("\n```")), F.concat(F.lit("Here: "), listed(quoted(text), quoted(role), F.lit('"z"')), F.lit(" done")),
+        listed(item(0, F.lit("zero")), item(1, text), F.lit('"bare"')), listed(item(9, text), item(None, F.lit("none"))), F.lit("no array here"), listed(item(1, None), F.lit('"s"')),
+    )
+    form = ((F.col("chapter") + F.col("pos")) % 6).cast("int")
+    raw = V.turns(spark, sf_dir).select((F.col("chapter") * 1000 + F.col("pos")).alias("reply"), F.element_at(forms, form + 1).alias("raw"), V.pick([2, 3, 3, 2, 2, 1], form).alias("expected"))
     return A.reply_slots(E.reply_items(raw, "reply", "raw"))
 
 
@@ -116,9 +113,8 @@ def localized_pick(spark, sf_dir):
 
 
 def scratch(spark) -> str:
-    """A folder of our own below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/loomframe"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A folder of our own below the shared one; it goes when the application ends."""
+    return S.own_folder(spark)
 
 
 @query(f"WITH {V.JOBS} SELECT job_id, status, voice || ', \"' || status || '\"' AS note, total_images FROM jobs")
@@ -147,8 +143,56 @@ def quarantine(spark, sf_dir):
     return both.groupBy(F.col("accepted").cast("boolean").alias("accepted")).agg(F.count("*").alias("n"), F.sum("regions").cast("bigint").alias("regions"))
 
 
-@query("""SELECT * FROM (VALUES ('c1', 1, 'frame_0001.jpg', 3), ('c1', 2, 'frame_0002.jpg', 3), ('c1', 3, 'frame_0003.jpg', 4)) v(chapter, place, frame, source)""")
+@query(f"""WITH {V.TURNS}, m AS (SELECT chapter, count(*) AS n FROM turns GROUP BY 1), t AS (SELECT chapter, pos, row_number() OVER (PARTITION BY chapter ORDER BY pos) AS place FROM turns)
+SELECT chapter, place, 'frame_' || lpad(CAST(place AS VARCHAR), 4, '0') || '.jpg' AS frame, pos // 2 AS source FROM t WHERE chapter % 5 > 0""")
 def manifest_rows(spark, sf_dir):
-    """Frames and sources of manifests; those of unequal lengths do not count."""
-    raw = spark.createDataFrame([("c1", ["frame_0001.jpg", "frame_0002.jpg", "frame_0003.jpg"], [3, 3, 4]), ("c2", ["frame_0001.jpg"], [1, 2])], "chapter string, frames array<string>, sources array<int>")
-    return S.manifest(raw).withColumn("place", F.col("place").cast("int"))
+    """Frames and sources of manifests, written and read back; those of unequal lengths do not count."""
+    pos = F.array_sort(F.collect_list("pos"))
+    names = F.transform(pos, lambda _, i: F.concat(F.lit("frame_"), F.lpad((i + 1).cast("string"), 4, "0"), F.lit(".jpg")))
+    sources = F.transform(pos, lambda p: F.floor(p / 2))
+    # Every fifth chapter's list of sources lacks its last.
+    short = F.when(F.col("chapter") % 5 == 0, F.slice(sources, F.lit(1), F.size(sources) - 1)).otherwise(sources)
+    path = scratch(spark)
+    V.turns(spark, sf_dir).groupBy("chapter").agg(names.alias("frames"), short.alias("sources")).write.json(path)
+    return S.manifest(spark.read.schema("chapter bigint, frames array<string>, sources array<bigint>").json(path))
+
+
+LISTING_SQL = f"""{V.LOGS}, files AS (SELECT job_id, 'Chapter ' || (log_id % 12) AS chapter, CASE WHEN log_id % 12 < 5 AND log_id % 7 < 4 THEN 'Frame_' || log_id || '.JPG' WHEN log_id % 7 = 6 THEN 'notes' || log_id || '.txt' ELSE 'page ' || log_id || '.png' END AS name, log_id * 10 AS length FROM logs)"""
+
+
+def listed_files(spark, sf_dir):
+    """A listing of image folders, one file for each log row: root/chapter/name."""
+    k = F.col("log_id")
+    name = F.when((k % 12 < 5) & (k % 7 < 4), F.format_string("Frame_%d.JPG", k)).when(k % 7 == 6, F.format_string("notes%d.txt", k)).otherwise(F.format_string("page %d.png", k))
+    path = F.concat(F.lit("store/job"), F.col("job_id").cast("string"), F.lit("/Chapter "), (k % 12).cast("string"), F.lit("/"), name)
+    return V.logs(spark, sf_dir).select(path.alias("path"), (k * 10).alias("length"))
+
+
+@query(f"""WITH {LISTING_SQL}, i AS (SELECT * FROM files WHERE name NOT LIKE '%.txt'), c AS (SELECT job_id, chapter, row_number() OVER (PARTITION BY job_id ORDER BY CAST(regexp_extract(chapter, '[0-9]+') AS INT)) AS idx FROM (SELECT DISTINCT job_id, chapter FROM i))
+SELECT 'job' || job_id AS root, chapter, CAST(idx AS BIGINT) AS idx, CAST(row_number() OVER (PARTITION BY job_id, chapter ORDER BY lower(name)[1], CAST(regexp_extract(name, '[0-9]+') AS INT)) AS BIGINT) AS place, name, length FROM i JOIN c USING (job_id, chapter) WHERE idx <= 5""")
+def chapter_folders(spark, sf_dir):
+    """Chapter folders in natural order, the first five of each root, with their images in natural order; folders without images give nothing."""
+    return S.chapters_of(listed_files(spark, sf_dir), limit=5).select("root", "chapter", "idx", "place", "name", "length")
+
+
+@query(f"""WITH {LISTING_SQL}, i AS (SELECT *, regexp_matches(name, '^(?i)frame_[0-9]+[.]jpe?g$') AS f FROM files WHERE name NOT LIKE '%.txt'), a AS (SELECT *, bool_or(f) OVER (PARTITION BY job_id, chapter) AS any_frame FROM i)
+SELECT 'job' || job_id AS root, chapter, name FROM a WHERE f OR NOT any_frame""")
+def frame_listing(spark, sf_dir):
+    """Frame files of each chapter folder, or its page images where it has none."""
+    return S.frames(S.chapters_of(listed_files(spark, sf_dir))).select("root", "chapter", "name")
+
+
+@query(f"""WITH {LISTING_SQL} SELECT 'job' || job_id AS root, lower(regexp_extract(name, '[.]([A-Za-z0-9]+)$', 1)) AS kind, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM files WHERE name NOT LIKE '%.txt' GROUP BY 1, 2""")
+def folder_sizes(spark, sf_dir):
+    """Sizes of listed files by kind."""
+    rows = S.listed(listed_files(spark, sf_dir))
+    return rows.groupBy("root", "kind").agg(F.count("*").alias("n"), F.sum("length").cast("bigint").alias("bytes"))
+
+
+@query("SELECT event_id, CAST(value - 100 AS DOUBLE) AS conf, event_type AS text FROM events WHERE value - 100 >= 0 AND event_id % 7 > 0")
+def word_table(spark, sf_dir):
+    """Recognised words of a tab-separated table, written and read back; those without confidence or text are dropped."""
+    path = scratch(spark)
+    rows = V.table(spark, sf_dir, "events").select("event_id", (F.col("value") - 100).alias("conf"), F.when(F.col("event_id") % 7 > 0, F.col("event_type")).otherwise("  ").alias("text"))
+    rows.write.csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return S.word_table(spark, path).select(F.col("event_id").cast("bigint").alias("event_id"), F.col("conf").cast("double").alias("conf"), "text")

@@ -190,3 +190,9 @@ def settings_upsert(spark, sf_dir):
     rows = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
     new = rows.filter("id % 3 = 0").select("id", F.lit("new").alias("value"))
     return rows.filter("id % 2 = 0").join(new, "id", "left_anti").union(new)
+
+
+@query(f"WITH {V.JOBS}, {V.CHAPTERS} SELECT job_id FROM jobs WHERE status = 'done' INTERSECT SELECT job_id FROM chapters WHERE rendered")
+def finished_and_rendered(spark, sf_dir):
+    """Jobs in both of two sets."""
+    return V.jobs(spark, sf_dir).filter("status = 'done'").select("job_id").intersect(V.chapters(spark, sf_dir).filter("rendered").select("job_id"))

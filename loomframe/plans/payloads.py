@@ -13,25 +13,10 @@ from loomframe.sources import adapters as V
 from loomframe.sources import payloads as P
 from loomframe.streaming import events as S
 
-PAYLOADS = [
-    (1, "mh", '<a href="/m/solo_max/">x</a><a href="/m/solo_max">y</a> <a href="/m/red-moon/">z</a>'),
-    (2, "as", '{"data":[{"slug":"solo-max","title":"Solo Max","cover":"c1","genres":[{"name":"Action"},{"name":""}],"country":"KR"},{"title":"no id"}]}'),
-    (3, "md", '{"data":[{"id":"d1","attributes":{"title":{"ko":"K","en":"Red Moon"},"year":2001,"tags":["a",null]},"relationships":[{"type":"author"},{"type":"cover_art","file":"f.jpg"}]},{"id":"d2","attributes":{"title":{"fr":"Lune"}}}]}'),
-    (4, "mal", '{"data":[{"mal_id":7,"title":"T","year":1999,"genres":[{"name":"G"}],"themes":[{"name":"H"}],"demographics":[]}]}'),
-    (5, "al", '{"media":[{"id":9,"title":{"english":"","romaji":"Romaji"},"country":"JP","description":"<p>A &amp; b</p>","status":"FINISHED"}]}'),
-    (6, "al", '{"media": broken'),
-]
-ROWS = [
-    ("mh", "solo_max", "Solo Max", None, None, None, "", 1000), ("mh", "red-moon", "Red Moon", None, None, None, "", 1001), ("as", "solo-max", "Solo Max", "c1", "ko", None, "Action", 2000),
-    ("md", "d1", "Red Moon", "f.jpg", None, 2001, "a", 3000), ("md", "d2", "Lune", None, None, None, "", 3001), ("mal", "7", "T", None, None, 1999, "G,H", 4000), ("al", "9", "Romaji", None, "jp", None, "Finished,A & b", 5000),
-]
-SQL = lambda v: "NULL" if v is None else f"CAST({v} AS BIGINT)" if isinstance(v, int) else f"'{v}'"
-
-
-@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(SQL, r)) + ')' for r in ROWS)}) v({', '.join(P.CATALOG)})")
+@query(f"WITH {V.LANDED} SELECT source, id, title, cover, language, CAST(year AS BIGINT) AS year, tags, CAST(arrival AS BIGINT) AS arrival FROM landed")
 def payload_union(spark, sf_dir):
-    """Five payload shapes, malformed items among them, as one catalog."""
-    return P.every_source(spark.createDataFrame(PAYLOADS, "payload_id int, source string, body string"))
+    """Nine sources' payload shapes, malformed ones among them, as one catalog."""
+    return P.every_source(V.landed(spark, sf_dir))
 
 
 @query(r"""WITH h AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS l FROM pages), f AS (SELECT page_id, value, min(i) AS first_at FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS value, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages) GROUP BY 1, 2)
@@ -110,10 +95,12 @@ def recovery_queue(spark, sf_dir):
     return V.jobs(spark, sf_dir).filter(F.col("status").isin(*ACTIVE)).select("job_id", F.lit("pending").alias("status"), place.alias("place"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a,b', 2), (2, 'solo', 1), (3, '', 0), (4, '7', 1)) v(id, texts, n)")
+@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN event_type || ',b' WHEN 1 THEN event_type WHEN 2 THEN '' ELSE CAST(user_id AS VARCHAR) END AS texts, CAST(CASE event_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS n FROM events")
 def scalar_or_list(spark, sf_dir):
     """A field that is a list or one value, never split into characters."""
-    raw = spark.createDataFrame([(1, '{"t":["a","b"]}'), (2, '{"t":"solo"}'), (3, "{}"), (4, '{"t":7}')], "id int, body string")
+    k, kind = F.col("event_id"), F.col("event_type")
+    body = F.when(k % 4 == 0, F.to_json(F.struct(F.array(kind, F.lit("b")).alias("t")))).when(k % 4 == 1, F.to_json(F.struct(kind.alias("t")))).when(k % 4 == 2, F.lit("{}")).otherwise(F.to_json(F.struct(F.col("user_id").alias("t"))))
+    raw = V.table(spark, sf_dir, "events").select(k.alias("id"), body.alias("body"))
     v = F.try_parse_json("body")
     many, one = F.try_variant_get(v, "$.t", "array<string>"), F.try_variant_get(v, "$.t", "string")
     texts = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))

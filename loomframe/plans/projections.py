@@ -123,11 +123,10 @@ def id_split(spark, sf_dir):
     return V.catalog(spark, sf_dir).select("arrival", F.nullif(F.regexp_extract(i, pattern, 1), F.lit("")).alias("code"), F.regexp_replace(i, pattern, "").alias("slug"))
 
 
-@query("SELECT doc_id, CASE WHEN length(split_part(text, chr(10), 1)) > 100 THEN left(split_part(text, chr(10), 1), 97) || '...' ELSE split_part(text, chr(10), 1) END AS title, array_to_string((string_split(lower(text), ' '))[1:20], ',') AS tags FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS title, array_to_string((string_split(lower(text), ' '))[1:20], ',') AS tags FROM documents")
 def metadata_bundle(spark, sf_dir):
     """Title cut at 100 with an ellipsis, the first 20 tags."""
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.shortened(first).alias("title"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 20), ",").alias("tags"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.shortened(F.col("text")).alias("title"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 20), ",").alias("tags"))
 
 
 @query(f"WITH {V.CATALOG} SELECT arrival FROM catalog WHERE coalesce(source, 'mh') = 'mh' AND lower(status) = 'ongoing'")
@@ -171,9 +170,9 @@ def resource_reason(spark, sf_dir):
 STOP_WORDS = ["the", "a", "an", "of", "and", "or", "in", "on", "at", "to"]
 
 
-@query(f"WITH t AS (SELECT doc_id, (string_split(split_part(replace(text, 'ß', 's'), chr(10), 1), ' '))[1:12] AS w FROM documents) SELECT doc_id, upper(array_to_string(([x FOR x IN w IF x <> '' AND lower(x) NOT IN ({', '.join(repr(s) for s in STOP_WORDS)})])[1:3], ' ')) AS short FROM t")
+@query(f"WITH t AS (SELECT doc_id, string_split(replace(replace(text, 'ß', 's'), chr(10), ' '), ' ') AS w FROM documents) SELECT doc_id, upper(array_to_string(([x FOR x IN w IF x <> '' AND lower(x) NOT IN ({', '.join(repr(s) for s in STOP_WORDS)})])[1:3], ' ')) AS short FROM t")
 def stop_word_title(spark, sf_dir):
-    words = F.slice(F.split(F.split_part(F.translate("text", "ß", "s"), F.lit("\n"), F.lit(1)), " "), 1, 12)  # capitals of ß differ between engines
+    words = F.split(F.translate("text", "ß\n", "s "), " ")  # capitals of ß differ between engines
     kept = F.filter(words, lambda w: (w != "") & ~F.lower(w).isin(*STOP_WORDS))
     return V.table(spark, sf_dir, "documents").select("doc_id", F.upper(F.array_join(F.slice(kept, 1, 3), " ")).alias("short"))
 
@@ -200,8 +199,7 @@ SELECT title, arrival, source, cover, first_at, row_number() OVER (ORDER BY rele
 @query(search_sql("red"))
 def federated_search(spark, sf_dir):
     """All sources' hits as one list: duplicates by title, the first with a cover wins, ranked by relevance and source."""
-    parts = [V.catalog(spark, sf_dir).filter(F.col("source").eqNullSafe(F.lit(s))) for s in [*V.SOURCES, None]]
-    return R.federated(parts, "Red").select("title", "arrival", "source", "cover", "first_at", "place")
+    return R.federated([V.catalog(spark, sf_dir)], "Red").select("title", "arrival", "source", "cover", "first_at", "place")
 
 
 @query(f"""WITH {V.CATALOG}, n AS (SELECT arrival, title, source, year, try_cast(nullif(regexp_extract(last_chapter, '^\\s*([0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS chapters FROM catalog)

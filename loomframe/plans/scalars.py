@@ -11,10 +11,10 @@ from loomframe.sources import adapters as V
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(split_part(text, chr(10), 1)), '{ACCENTS}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{ACCENTS}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def title_normalize(spark, sf_dir):
     """Lower case, Latin accents by table, other characters as one space."""
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.title_key(F.col("text")).alias("key"))
 
 
 @query("SELECT n_nationkey AS id, upper(n_name[1]) || lower(n_name[2:]) AS name, CASE WHEN length(CAST(n_nationkey * 77 AS VARCHAR)) >= 3 THEN CAST(n_nationkey * 77 AS VARCHAR) ELSE lpad(CAST(n_nationkey * 77 AS VARCHAR), 3, '0') END AS padded, coalesce(nullif(ltrim(lpad(CAST(n_nationkey AS VARCHAR), 4, '0'), '0'), ''), '0') AS unpadded FROM nation")

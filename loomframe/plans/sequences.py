@@ -32,9 +32,9 @@ def tail_buffer(spark, sf_dir):
     return V.logs(spark, sf_dir).orderBy(F.desc("ts"), F.desc("log_id")).limit(500).select("log_id", "job_id", "level")
 
 
-FLAG_SQL = f"""{V.SIGNAL}, f AS (SELECT page, row, n <= 1 AS flag FROM signal),
+FLAG_SQL = f"""{V.SIGNAL}, f AS (SELECT page, row, last, n <= 1 AS flag FROM signal, ends),
 x AS (SELECT f.page, f.row, avg(CASE WHEN g.flag THEN 1.0 ELSE 0.0 END) > 0.6 AS clear FROM f CROSS JOIN range(-2, 3) AS r(d)
-  JOIN f g ON g.page = f.page AND g.row = CASE WHEN f.row + d < 0 THEN -(f.row + d) WHEN f.row + d > 719 THEN 1438 - (f.row + d) ELSE f.row + d END GROUP BY 1, 2),
+  JOIN f g ON g.page = f.page AND g.row = CASE WHEN f.row + d < 0 THEN -(f.row + d) WHEN f.row + d > f.last THEN 2 * f.last - (f.row + d) ELSE f.row + d END GROUP BY 1, 2),
 k AS (SELECT page, row, row - row_number() OVER (PARTITION BY page ORDER BY row) AS grp FROM x WHERE clear),
 bands AS (SELECT page, min(row) AS lo, max(row) + 1 AS hi FROM k GROUP BY page, grp HAVING count(*) >= 4)"""
 
@@ -50,41 +50,47 @@ def gutter_bands(spark, sf_dir):
     return bands(spark, sf_dir)
 
 
-COMPONENT_SQL = "components AS (SELECT page % 10 AS page, (page * 13 + box * 29) % 700 AS y1, (page * 13 + box * 29) % 700 + h AS y2, w * h AS area, page * 1000 + box AS place FROM boxes WHERE page <= 2000)"
+COMPONENT_SQL = "components AS (SELECT page % (SELECT pages FROM pages_of) AS page, (page * 13 + box * 29) % 700 AS y1, (page * 13 + box * 29) % 700 + h AS y2, w * h AS area, page * 1000 + box AS place FROM boxes)"
+OVERLAP_SQL = f"WITH {FLAG_SQL}, {V.BOXES}, {COMPONENT_SQL} SELECT b.page, lo, hi, place, y1, y2 FROM bands b JOIN components c ON b.page = c.page AND y1 < hi AND y2 > lo"
 
 
-def components(boxes):
+def components(boxes, pages):
     y = (F.col("page") * 13 + F.col("box") * 29) % 700
     return boxes.select(
-        (F.col("page") % 10).alias("page"), y.alias("y1"), (y + F.col("h")).alias("y2"), (F.col("w") * F.col("h")).alias("area"), (F.col("page") * 1000 + F.col("box")).alias("place")
+        (F.col("page") % pages).alias("page"), y.alias("y1"), (y + F.col("h")).alias("y2"), (F.col("w") * F.col("h")).alias("area"), (F.col("page") * 1000 + F.col("box")).alias("place")
     )
 
 
-@query(f"WITH {FLAG_SQL}, {V.BOXES}, {COMPONENT_SQL} SELECT b.page, lo, hi, place, y1, y2 FROM bands b JOIN components c ON b.page = c.page AND y1 < hi AND y2 > lo")
+@query(OVERLAP_SQL)
 def overlap_bands(spark, sf_dir):
-    """Interval-overlap join by buckets, over the boxes of the pages up to 2000, as its SQL has it."""
-    parts = components(V.boxes(spark, sf_dir).filter("page <= 2000"))
+    """Interval-overlap join of all bands and boxes, by buckets."""
+    parts = components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir))
     return J.overlapping(bands(spark, sf_dir), parts, "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
 
 
-@query()
+@query(OVERLAP_SQL.replace("SELECT b.page, lo, hi, place, y1, y2", "SELECT b.page, lo, count(*) AS boxes, CAST(sum(least(hi, y2) - greatest(lo, y1)) AS BIGINT) AS covered") + " GROUP BY 1, 2")
 def overlap_bands_whole(spark, sf_dir):
-    """The join of overlap_bands over all boxes (tested against a loop)."""
-    return J.overlapping(bands(spark, sf_dir), components(V.boxes(spark, sf_dir)), "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
+    """How many boxes reach into each band, and by how many rows in all."""
+    rows = J.overlapping(bands(spark, sf_dir), components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir)), "page", 64)
+    return rows.groupBy("page", "lo").agg(F.count("*").alias("boxes"), F.sum(F.least("hi", "y2") - F.greatest("lo", "y1")).alias("covered"))
 
 
-@query()
+@query(f"""WITH {FLAG_SQL}, {V.BOXES}, {COMPONENT_SQL}, t AS (SELECT b.page, lo, hi, place, y1, y2, y1 - lo > hi - y2 AND y1 - lo > 4 AS up FROM bands b JOIN components c ON b.page = c.page AND y1 < hi AND y2 > lo AND area >= 40),
+m AS (SELECT page, lo, hi, list({{'least': CASE WHEN NOT up AND hi - y2 > 4 THEN hi - greatest(2, (hi - y2) // 2) END, 'most': CASE WHEN up THEN lo + greatest(2, (y1 - lo) // 2) END}} ORDER BY place, y1, y2) AS moves FROM t GROUP BY 1, 2, 3),
+r AS (SELECT page, lo, hi, list_reduce(moves, lambda s, c: {{'least': greatest(CASE WHEN s.least IS NOT NULL THEN least(s.least, c.most) END, c.least), 'most': least(s.most, c.most)}}) AS f FROM m)
+SELECT b.page, b.lo, b.hi, greatest(least((b.lo + b.hi) // 2, f.most), f.least) AS cut FROM bands b LEFT JOIN r USING (page, lo, hi)""")
 def band_cuts(spark, sf_dir):
-    """Cut of each band, moved by the components that reach into it (a fold; tested against a loop)."""
-    return S.cut_points(bands(spark, sf_dir), components(V.boxes(spark, sf_dir)), "page")
+    """Cut of each band, moved by the components that reach into it, one after the other."""
+    return S.cut_points(bands(spark, sf_dir), components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir)), "page")
 
 
-@query(f"""WITH {FLAG_SQL}, b AS (SELECT page, (lo + hi) // 2 AS cut FROM bands UNION ALL SELECT p, 0 FROM range(10) AS a(p) UNION ALL SELECT p, 720 FROM range(10) AS a(p)),
+@query(f"""WITH {FLAG_SQL}, b AS (SELECT page, (lo + hi) // 2 AS cut FROM bands UNION ALL SELECT DISTINCT page, 0 FROM signal UNION ALL SELECT page, max(row) + 1 FROM signal GROUP BY 1),
 l AS (SELECT page, cut AS lo, lead(cut) OVER (PARTITION BY page ORDER BY cut) AS hi FROM b) SELECT page, lo, hi FROM l WHERE hi - lo >= 10""")
 def cut_boundaries(spark, sf_dir):
     """Consecutive cuts as stretches, with the page's ends."""
     cuts = bands(spark, sf_dir).select("page", F.floor((F.col("lo") + F.col("hi")) / 2).alias("cut"))
-    ends = spark.range(10).select(F.col("id").alias("page"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(720).cast("bigint"))).alias("cut"))
+    ends = V.signal(spark, sf_dir).groupBy("page").agg((F.max("row") + 1).alias("end"))
+    ends = ends.select("page", F.explode(F.array(F.lit(0).cast("bigint"), F.col("end"))).alias("cut"))
     hi = F.lead("cut").over(W.partitionBy("page").orderBy("cut"))
     return cuts.union(ends).select("page", F.col("cut").alias("lo"), hi.alias("hi")).filter("hi - lo >= 10")
 
@@ -119,30 +125,61 @@ def prev_tail(spark, sf_dir):
     return S.previous_tail(V.turns(spark, sf_dir), ["pos"], last_sentences(F.col("text")), ["chapter"]).select("chapter", "pos", "prev_tail")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, 2 + doc_id % 7 AS n, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS part, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS size FROM d
+  UNION ALL SELECT doc_id, part + 1, least(len(words), done + size), CASE WHEN part + 2 = n THEN len(words) - least(len(words), done + size) ELSE greatest(1, CAST(round_even((len(words) - least(len(words), done + size)) / (n - part - 1), 0) AS BIGINT)) END FROM f JOIN d USING (doc_id) WHERE part + 1 < n)
+SELECT doc_id, part, array_to_string(words[done + 1:done + greatest(0, size)], ' ') AS text FROM f JOIN d USING (doc_id) WHERE part >= 0""")
 def word_segments(spark, sf_dir):
-    """Texts in as many parts as their length asks for (tested against a loop)."""
+    """Texts in as many parts as their length asks for."""
     docs = V.table(spark, sf_dir, "documents")
     n = (2 + F.col("doc_id") % 7).cast("int")
     parts = docs.select("doc_id", F.posexplode(S.word_segments(F.filter(F.split("text", r"\s+"), lambda w: w != ""), n)).alias("part", "text"))
     return parts.select("doc_id", F.col("part").cast("bigint").alias("part"), "text")
 
 
-@query()
+#: A fold over each page's boxes in SQL: step i takes the box o numbered i by the order, from the start state on.
+FOLD_SQL = """WITH RECURSIVE {boxes}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS i FROM {rows}),
+f AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, {start} FROM o UNION ALL SELECT f.page, f.i + 1, {step} FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)"""
+_KEPT = "STRUCT(box BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT)[]"
+NESTED_SQL = FOLD_SQL.format(
+    boxes=V.BOXES, rows="boxes", order="-w * h, box", start=f"CAST([] AS {_KEPT}) AS kept",
+    step=f"""CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x)) * greatest(0, least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y)) / greatest(1, o.w * o.h) >= 0.55)) > 0 THEN kept
+    ELSE list_append(kept, CAST({{'box': o.box, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}} AS STRUCT(box BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT))) END""",
+)
+
+
+@query(NESTED_SQL + ", e AS (SELECT page, unnest(arg_max(kept, i)) AS b FROM f GROUP BY 1) SELECT page, b.box, b.x, b.y, b.w, b.h FROM e")
 def suppress_nested(spark, sf_dir):
-    """Greedy containment suppression (a fold; tested against a loop)."""
+    """Greedy containment suppression."""
     return S.suppress_nested(V.boxes(spark, sf_dir), "page")
 
 
-@query()
+_OVER = "(least(o.y + o.h, r.hi) - greatest(o.y, r.lo)) / nullif(least(o.h, r.hi - r.lo), 0) > 0.4 AND least(o.h, r.hi - r.lo) > 0"
+_FIRST = f"coalesce(list_position(list_transform(rows, lambda r: coalesce({_OVER}, false)), true), 0)"
+READING_SQL = FOLD_SQL.format(
+    boxes=V.BOXES, rows="boxes", order="y, box", start="CAST([] AS STRUCT(lo BIGINT, hi BIGINT)[]) AS rows, CAST(0 AS BIGINT) AS own, CAST(NULL AS BIGINT) AS box, CAST(NULL AS BIGINT) AS x",
+    step=f"""CASE WHEN {_FIRST} > 0 THEN list_transform(rows, lambda r, n: CASE WHEN n = {_FIRST.replace('lambda r: coalesce', 'lambda q: coalesce').replace('r.', 'q.')} THEN {{'lo': least(r.lo, o.y), 'hi': greatest(r.hi, o.y + o.h)}} ELSE r END)
+    ELSE list_append(rows, CAST({{'lo': o.y, 'hi': o.y + o.h}} AS STRUCT(lo BIGINT, hi BIGINT))) END, CAST(CASE WHEN {_FIRST} > 0 THEN {_FIRST} ELSE len(rows) + 1 END AS BIGINT), o.box, o.x""",
+)
+
+
+@query(READING_SQL + """, e AS (SELECT page, arg_max(rows, i) AS all_rows FROM f GROUP BY 1) SELECT page, box, row_number() OVER (PARTITION BY page ORDER BY all_rows[own].lo, own, x, box) AS place FROM f JOIN e USING (page) WHERE i > 0""")
 def reading_order(spark, sf_dir):
-    """Boxes in rows by overlap, then from the left (a fold; tested against a loop)."""
+    """Boxes in rows by overlap, then from the left."""
     return S.reading_order(V.boxes(spark, sf_dir), "page")
 
 
-@query()
+_SAME = "f.n > 0 AND abs(o.y - f.total / greatest(f.n, 1)) <= o.tol"
+REGION_SQL = FOLD_SQL.format(
+    boxes=V.BOXES, rows="(SELECT *, greatest(avg(h) OVER (PARTITION BY page) * 0.4, 10.0) AS tol FROM boxes)", order="y, box",
+    start="CAST(0 AS BIGINT) AS line, CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS box, CAST(NULL AS BIGINT) AS x",
+    step=f"CASE WHEN {_SAME} THEN f.line ELSE f.line + 1 END, CASE WHEN {_SAME} THEN f.total + o.y ELSE CAST(o.y AS DOUBLE) END, CASE WHEN {_SAME} THEN f.n + 1 ELSE 1 END, o.box, o.x",
+)
+
+
+@query(REGION_SQL + " SELECT page, box, line, row_number() OVER (PARTITION BY page ORDER BY line, x, box) AS place FROM f WHERE i > 0")
 def region_order(spark, sf_dir):
-    """Text regions in lines around a running mean (a fold; tested against a loop)."""
+    """Text regions in lines around a running mean."""
     return S.region_order(V.boxes(spark, sf_dir), "page")
 
 
@@ -159,16 +196,27 @@ def line_break_merge(spark, sf_dir):
     return rows.groupBy("page", "line").agg(F.array_join(words, " ").alias("text"), F.count("*").alias("n"))
 
 
-@query()
+_SMALL = "f.n > 0 AND o.hi - o.lo < 150 AND f.hi - f.lo < 200"
+FRAGMENT_SQL = FOLD_SQL.format(
+    boxes=V.BOXES, rows="(SELECT page, e - 3 * h AS lo, e AS hi FROM (SELECT page, h, CAST(sum(3 * h) OVER (PARTITION BY page ORDER BY box) AS BIGINT) AS e FROM boxes))", order="lo, hi",
+    start="CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS lo, CAST(0 AS BIGINT) AS hi", step=f"CASE WHEN {_SMALL} THEN f.n ELSE f.n + 1 END, CASE WHEN {_SMALL} THEN f.lo ELSE o.lo END, o.hi",
+)
+
+
+@query(FRAGMENT_SQL + " SELECT page, min(lo) AS lo, max(hi) AS hi FROM f WHERE n > 0 GROUP BY page, n")
 def merge_fragments(spark, sf_dir):
-    """Small neighbouring stretches as one (a fold; tested against a loop)."""
+    """Small neighbouring stretches as one."""
     rows = V.boxes(spark, sf_dir).withColumn("hi", F.sum((F.col("h") * 3).cast("bigint")).over(W.partitionBy("page").orderBy("box")))
     return S.merge_fragments(rows.select("page", (F.col("hi") - F.col("h") * 3).alias("lo"), "hi"), "page")
 
 
-@query()
+_APART = "f.last IS NULL OR o.y - f.last >= 20"
+SPACED_SQL = FOLD_SQL.format(boxes=V.BOXES, rows="boxes", order="y", start="CAST(NULL AS BIGINT) AS last, false AS kept", step=f"CASE WHEN {_APART} THEN o.y ELSE f.last END, {_APART}")
+
+
+@query(SPACED_SQL + " SELECT page, last AS y FROM f WHERE kept")
 def spaced_cuts(spark, sf_dir):
-    """Accepted cuts at a least distance (a fold; tested against a loop)."""
+    """Accepted cuts at a least distance."""
     return S.spaced(V.boxes(spark, sf_dir), "page", "y", 20)
 
 
@@ -192,10 +240,10 @@ def batch_numbers(spark, sf_dir):
     return V.logs(spark, sf_dir).select("log_id", F.floor(at / 20).alias("batch"), (at % 20).alias("local"))
 
 
-@query(f"""WITH {V.SIGNAL} SELECT page, greatest(0, min(row) FILTER (mass > 150) - 5) AS top, least(719, max(row) FILTER (mass > 150) + 5) AS bottom FROM signal GROUP BY 1""")
+@query(f"""WITH {V.SIGNAL} SELECT page, greatest(0, min(row) FILTER (mass > 150) - 5) AS top, least(max(row), max(row) FILTER (mass > 150) + 5) AS bottom FROM signal GROUP BY 1""")
 def trim_extent(spark, sf_dir):
     busy = F.when(F.col("mass") > 150, F.col("row"))
-    return V.signal(spark, sf_dir).groupBy("page").agg(F.greatest(F.lit(0), F.min(busy) - 5).cast("bigint").alias("top"), F.least(F.lit(719), F.max(busy) + 5).cast("bigint").alias("bottom"))
+    return V.signal(spark, sf_dir).groupBy("page").agg(F.greatest(F.lit(0), F.min(busy) - 5).cast("bigint").alias("top"), F.least(F.max("row"), F.max(busy) + 5).cast("bigint").alias("bottom"))
 
 
 @query(f"""WITH {V.LOGS}, l AS (SELECT job_id, lower(stage) AS item, max(ts) AS last_at, count(*) AS times FROM logs GROUP BY 1, 2)

@@ -25,7 +25,7 @@ def stream_dedupe(spark, sf_dir):
     return out.select("event_id", "user_id", "event_type")
 
 
-@query()
+@query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT hour, event_type, n FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM events)""")
 def stream_hourly(spark, sf_dir):
     """Hours that the watermark has passed; the last ones are still open."""
     out = S.run_to_table(S.hourly(S.source(spark, sf_dir)), scratch(spark))

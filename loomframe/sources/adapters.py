@@ -124,20 +124,69 @@ BOXES = """boxes AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY
   l_partkey % 100 AS x, l_suppkey % 100 AS y, CAST(1 + l_quantity AS BIGINT) AS w, CAST(1 + l_linenumber * 7 AS BIGINT) AS h FROM lineitem)"""
 
 
+def pages_of(spark: SparkSession, sf_dir: str) -> int:
+    """Number of pages of the row signal: it grows with the users, so that a page's rows do not."""
+    users = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
+    return max(10, ((users or 0) + 1) // 15)
+
+
+PAGES = "pages_of AS (SELECT greatest(10, (max(user_id) + 1) // 15) AS pages FROM events)"
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of ten pages: events by hour, on a dense grid of 720 rows (30 days)."""
+    """Rows of pages: events by hour, on a dense grid from the first day to the last hour that any event has."""
     hours = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("page"), F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")) / 3600).alias("row"), "value"
+        (F.col("user_id") % pages_of(spark, sf_dir)).alias("page"), F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")) / 3600).alias("row"), "value"
     )
     counts = hours.groupBy("page", "row").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("mass"))
-    grid = spark.range(10).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(719).cast("bigint"))).alias("row"))
+    last = hours.agg(F.max("row")).first()[0] or 0
+    grid = spark.range(pages_of(spark, sf_dir)).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("row"))
     return grid.join(counts, ["page", "row"], "left").select("page", "row", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
-SIGNAL = """signal AS (SELECT g.page, g.row, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce(c.mass, 0.0) AS mass
-  FROM (SELECT p AS page, r AS row FROM range(10) AS a(p), range(720) AS b(r)) g
-  LEFT JOIN (SELECT user_id % 10 AS page, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) / 3600) AS BIGINT) AS row, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mass
-    FROM events GROUP BY 1, 2) c ON g.page = c.page AND g.row = c.row)"""
+SIGNAL = PAGES + """, hours AS (SELECT user_id % (SELECT pages FROM pages_of) AS page, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) / 3600) AS BIGINT) AS row, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mass FROM events GROUP BY 1, 2),
+ends AS (SELECT max(row) AS last FROM hours),
+signal AS (SELECT g.page, g.row, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce(c.mass, 0.0) AS mass
+  FROM (SELECT page, unnest(range((SELECT last FROM ends) + 1)) AS row FROM (SELECT unnest(range((SELECT pages FROM pages_of))) AS page)) g LEFT JOIN hours c ON g.page = c.page AND g.row = c.row)"""
+
+
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed search payload of each part, in the shape of one of nine sources; every tenth is broken JSON."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    low, dash, key = F.replace(name, F.lit(" "), F.lit("_")), F.replace(name, F.lit(" "), F.lit("-")), F.col("p_partkey").cast("string")
+    text = lambda form, *c: F.format_string(form, *c)
+    named = lambda c: F.array(F.struct(c.alias("name")))
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    slugs = text('<a href="/manga/%1$s/">x</a><a href="/manga/%1$s/">y</a><A HREF="/manga/c%2$s/">c</a><a href="/manga/x%2$s/">z</a>', low, key)
+    numbered = text('<a href="https://w/en/drama/%1$s-%2$s/list?title_no=%2$s">a</a><a href="/en/x/again/list?title_no=%2$s">b</a><a href="/en/y/second-%1$s/list?title_no=0%3$s">c</a>', dash, key, (k + 1).cast("string"))
+    titled = text('<a href="/manga/%1$s/%2$s" class="c"><div>\n<h3 class="t"> %3$s </h3>', key, dash, name)
+    titled = F.concat(titled, F.when(k % 20 == 5, text('src="c/%s.jpg">', key)).otherwise(text('<img src="c/%s.jpg">', key)), text('<a href="/manga/%s">b<h3>Second</h3>', key))
+    theme = text('<div><a href="https://toonily.com/serie/%2$s/" title="t">src="c/%1$s.jpg"<b></b>\n<h3 class="h5"> <a href="u">%3$s </a></h3></div>', key, dash, name)
+    flat = F.to_json(F.struct(F.array(F.struct(dash.alias("slug"), name.alias("title"), F.lit("c1").alias("cover"), F.array(F.struct(F.col("p_type").alias("name")), F.struct(F.lit("").alias("name"))).alias("genres"), pick(["KR", "CN", "JP", "US"], F.floor(k / 10) % 4).alias("country")), F.struct(F.lit(None).cast("string").alias("slug"), F.lit("no id").alias("title"), F.lit("c").alias("cover"), named(F.lit("g")).alias("genres"), F.lit("KR").alias("country"))).alias("data")))
+    title = F.map_from_entries(F.when(k % 20 == 4, F.array(entry("ko", F.lit("K")), entry("en", name))).otherwise(F.array(entry("fr", F.concat(F.lit("fr "), name)))))
+    related = F.array(F.struct(F.lit("author").alias("type"), F.lit(None).cast("string").alias("file")), F.struct(F.lit("cover_art").alias("type"), F.concat(key, F.lit(".jpg")).alias("file")))
+    localized = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("d"), key).alias("id"), F.struct(title.alias("title"), F.col("p_size").alias("year"), F.array(F.col("p_type"), F.lit(None).cast("string")).alias("tags")).alias("attributes"), related.alias("relationships"))).alias("data")))
+    lists = F.to_json(F.struct(F.array(F.struct(k.alias("mal_id"), name.alias("title"), (F.col("p_size") + 1990).alias("year"), named(F.col("p_type")).alias("genres"), named(F.col("p_brand")).alias("themes"), F.array().cast("array<struct<name:string>>").alias("demographics"))).alias("data")))
+    graph = F.to_json(F.struct(F.array(F.struct(k.alias("id"), F.struct(F.when(k % 20 == 8, "").otherwise(name).alias("english"), F.concat(F.lit("R "), name).alias("romaji")).alias("title"), F.lit("JP").alias("country"), text("<p>A &amp; %s</p>", name).alias("description"), F.lit("FINISHED").alias("status"))).alias("media")))
+    body = F.element_at(F.array(slugs, slugs, numbered, flat, localized, titled, theme, lists, graph, F.lit('{"media": broken')), (k % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("payload_id"), pick(["mh", "ff", "wt", "as", "md", "mp", "tl", "mal", "al", "al"], k % 10).alias("source"), body.alias("body"))
+
+
+_TITLED = "array_to_string([upper(w[1]) || w[2:] FOR w IN string_split({0}, ' ')], ' ')"
+#: What the payloads say, straight from the parts.
+LANDED = f"""p AS (SELECT p_partkey AS k, p_partkey % 10 AS shape, p_name AS name, replace(p_name, ' ', '_') AS low, replace(p_name, ' ', '-') AS dash, p_type, p_brand, p_size FROM part),
+landed(source, id, title, cover, language, year, tags, arrival) AS (
+  SELECT CASE shape WHEN 0 THEN 'mh' ELSE 'ff' END, low, {_TITLED.format('name')}, NULL, NULL, NULL, '', k * 1000 FROM p WHERE shape < 2
+  UNION ALL SELECT CASE shape WHEN 0 THEN 'mh' ELSE 'ff' END, 'x' || k, 'X' || k, NULL, NULL, NULL, '', k * 1000 + 1 FROM p WHERE shape < 2
+  UNION ALL SELECT 'wt', CAST(k AS VARCHAR), {_TITLED.format("(name || ' ' || k)")}, NULL, 'ko', NULL, '', k * 1000 FROM p WHERE shape = 2
+  UNION ALL SELECT 'wt', CAST(k + 1 AS VARCHAR), {_TITLED.format("('second ' || name)")}, NULL, 'ko', NULL, '', k * 1000 + 1 FROM p WHERE shape = 2
+  UNION ALL SELECT 'as', dash, name, 'c1', ['ko', 'zh', 'ja', NULL][k // 10 % 4 + 1], NULL, p_type, k * 1000 FROM p WHERE shape = 3
+  UNION ALL SELECT 'md', 'd' || k, CASE WHEN k % 20 = 4 THEN name ELSE 'fr ' || name END, k || '.jpg', NULL, p_size, p_type, k * 1000 FROM p WHERE shape = 4
+  UNION ALL SELECT 'mp', k || '/' || dash, name, CASE WHEN k % 20 = 5 THEN 'c/' || k || '.jpg' END, NULL, NULL, '', k * 1000 FROM p WHERE shape = 5
+  UNION ALL SELECT 'mp', CAST(k AS VARCHAR), 'Second', NULL, NULL, NULL, '', k * 1000 + 1 FROM p WHERE shape = 5
+  UNION ALL SELECT 'tl', dash, name, 'c/' || k || '.jpg', 'ko', NULL, '', k * 1000 FROM p WHERE shape = 6
+  UNION ALL SELECT 'mal', CAST(k AS VARCHAR), name, NULL, NULL, p_size + 1990, p_type || ',' || p_brand, k * 1000 FROM p WHERE shape = 7
+  UNION ALL SELECT 'al', CAST(k AS VARCHAR), CASE WHEN k % 20 = 8 THEN 'R ' || name ELSE name END, NULL, 'jp', NULL, 'Finished,A & ' || name, k * 1000 FROM p WHERE shape = 8)"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,26 +13,59 @@ from loomframe.functions.exprs import natural_key
 IMAGES = ("jpg", "jpeg", "png", "webp")
 
 
-def chapter_folders(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Images below a folder's chapter folders: chapter, idx, place, name; natural order, the first so many chapters (0: all).
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one of spark.checkpoint.dir; it goes when the application ends.
 
-    Folders without images give nothing. Only names are read.
+    Where that is unset, a local session uses one beside its tables; on a cluster it must be set.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/data"
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of all files below a folder; only names and sizes are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """Images of a listing (path, length): root, chapter, name, kind (its extension), length, from paths that end with root/chapter/name."""
     parts = F.split("path", "/")
-    rows = files.select(F.element_at(parts, -2).alias("chapter"), F.element_at(parts, -1).alias("name"), "length")
-    rows = rows.filter(F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)).isin(*IMAGES))
-    chapters = rows.select("chapter").distinct().withColumn("idx", F.row_number().over(Window.orderBy(natural_key(F.col("chapter")), "chapter")))
+    rows = files.select(F.element_at(parts, -3).alias("root"), F.element_at(parts, -2).alias("chapter"), F.element_at(parts, -1).alias("name"), "length")
+    rows = rows.withColumn("kind", F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)))
+    return rows.filter(F.col("kind").isin(*IMAGES))
+
+
+def chapters_of(files: DataFrame, limit: int = 0) -> DataFrame:
+    """Images of a listing by chapter folder: root, chapter, idx, place, name, length; natural order, the first so many chapters of each root (0: all).
+
+    Folders without images give nothing.
+    """
+    rows = listed(files)
+    chapters = rows.select("root", "chapter").distinct().withColumn("idx", F.row_number().over(Window.partitionBy("root").orderBy(natural_key(F.col("chapter")), "chapter")).cast("bigint"))
     if limit:
         chapters = chapters.filter(F.col("idx") <= limit)
-    place = F.row_number().over(Window.partitionBy("chapter").orderBy(natural_key(F.col("name")), "name"))
-    return rows.join(F.broadcast(chapters) if limit else chapters, "chapter").select("chapter", "idx", place.alias("place"), "name", "length")
+    place = F.row_number().over(Window.partitionBy("root", "chapter").orderBy(natural_key(F.col("name")), "name")).cast("bigint")
+    return rows.join(chapters, ["root", "chapter"]).select("root", "chapter", "idx", place.alias("place"), "name", "length")
+
+
+def chapter_folders(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """chapters_of for the files below a folder."""
+    return chapters_of(listing(spark, path), limit)
 
 
 def frames(listing: DataFrame) -> DataFrame:
     """Frame files where a chapter has any, else its page images."""
     own = F.col("name").rlike(r"(?i)^frame_\d+\.jpe?g$")
-    return listing.withColumn("_f", own).withColumn("_any", F.bool_or("_f").over(Window.partitionBy("chapter"))).filter("_f or not _any").drop("_f", "_any")
+    return listing.withColumn("_f", own).withColumn("_any", F.bool_or("_f").over(Window.partitionBy("root", "chapter"))).filter("_f or not _any").drop("_f", "_any")
 
 
 def write_narrations(rows: DataFrame, path: str) -> None:

@@ -61,17 +61,50 @@ def graph(payloads: DataFrame) -> DataFrame:
     return _catalog(rows, "al", id=r["id"].cast("string"), title=title, language=F.lower(r["country"]), tags=F.concat_ws(",", capitalised(r["status"]), F.nullif(strip_html(r["description"]), F.lit(""))))
 
 
-def markup(payloads: DataFrame, source: str = "mh", limit: int = 10) -> DataFrame:
-    """HTML search pages: different slugs in order, the first so many; titles from slugs."""
-    slugs = F.slice(F.array_distinct(F.regexp_extract_all("body", F.lit(r'href="/m/([a-z0-9_-]+)/?"'), F.lit(1))), 1, limit)
-    rows = payloads.filter(F.col("source") == source).select("payload_id", F.posexplode(slugs).alias("pos", "slug"))
-    rows = rows.withColumn("arrival", F.col("payload_id") * 1000 + F.col("pos"))
-    return _catalog(rows, source, id=F.col("slug"), title=slug_title(F.col("slug")))
+#: Where search pages of each source hold ids, titles and covers.
+SLUG_LINK = r'(?i)href="/manga/([a-z0-9_]+)/"'
+CHAPTER_SLUG = r"^c[0-9]"
+NUMBERED_LINK = r'(?i)href="([^"]*/en/([^"]+)/list\?title_no=([0-9]+))"'
+TITLED_LINKS = {
+    "mp": (r'href="/manga/([^"]+)"[^>]*>[\s\S]*?<h3[^>]*>([^<]+)</h3>[\s\S]*?(?:src="([^"]+)")?', 1, 2, 3),
+    "tl": (r'href="https://toonily\.com/serie/([^/]+)/?"[^>]*>[\s\S]*?(?:src="([^"]+)")?[\s\S]*?<h3[^>]*>\s*<a[^>]*>([^<]+)</a>', 1, 3, 2),
+}
+
+
+def _pages(payloads: DataFrame, source: str, items: Column) -> DataFrame:
+    rows = payloads.filter(F.col("source") == source).select("payload_id", F.posexplode(items).alias("pos", "r"))
+    return rows.withColumn("arrival", F.col("payload_id") * 1000 + F.col("pos"))
+
+
+def slug_links(payloads: DataFrame, source: str, limit: int = 10) -> DataFrame:
+    """Search pages that link to titles by slug: different slugs in order, without those of chapters, the first so many; titles from slugs."""
+    slugs = F.array_distinct(F.regexp_extract_all("body", F.lit(SLUG_LINK), F.lit(1)))
+    rows = _pages(payloads, source, F.slice(F.filter(slugs, lambda s: ~s.rlike(CHAPTER_SLUG)), 1, limit))
+    return _catalog(rows, source, id=F.col("r"), title=slug_title(F.col("r")))
+
+
+def numbered_links(payloads: DataFrame, source: str = "wt", limit: int = 10) -> DataFrame:
+    """Search pages that link to titles by number: the first link of each number; titles from the last part of its path."""
+    group = lambda n: F.regexp_extract_all("body", F.lit(NUMBERED_LINK), F.lit(n))
+    items = F.arrays_zip(group(2).alias("path"), F.transform(group(3), lambda n: n.cast("bigint")).alias("number"))
+    first = F.filter(items, lambda x, i: (F.array_position(F.transform(items, lambda y: y["number"]), x["number"]) == i + 1) & (F.element_at(F.split(x["path"], "/"), -1) != ""))
+    rows = _pages(payloads, source, F.slice(first, 1, limit))
+    return _catalog(rows, source, id=F.col("r.number").cast("string"), title=slug_title(F.element_at(F.split("r.path", "/"), -1)), language=F.lit("ko"))
+
+
+def titled_links(payloads: DataFrame, source: str, limit: int = 10) -> DataFrame:
+    """Search pages whose links are followed by a heading with the title: the first so many, repeated ones too."""
+    pattern, slug, title, cover = TITLED_LINKS[source]
+    group = lambda n, name: F.regexp_extract_all("body", F.lit(pattern), F.lit(n)).alias(name)
+    rows = _pages(payloads, source, F.slice(F.arrays_zip(group(slug, "slug"), group(title, "title"), group(cover, "cover")), 1, limit))
+    language = F.lit("ko") if source == "tl" else F.lit(None).cast("string")
+    return _catalog(rows, source, id=F.col("r.slug"), title=F.trim("r.title"), cover=F.nullif(F.col("r.cover"), F.lit("")), language=language)
 
 
 def every_source(payloads: DataFrame) -> DataFrame:
     """All shapes as one relation; a source without a payload, or with a broken one, adds nothing."""
-    parts = [markup(payloads), flat_list(payloads), localized(payloads), three_tag_lists(payloads), graph(payloads)]
+    pages = [slug_links(payloads, "mh"), slug_links(payloads, "ff"), numbered_links(payloads), titled_links(payloads, "mp"), titled_links(payloads, "tl")]
+    parts = [*pages, flat_list(payloads), localized(payloads), three_tag_lists(payloads), graph(payloads)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

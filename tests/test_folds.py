@@ -157,10 +157,11 @@ def test_bands_meet_the_boxes_of_all_pages(spark, block, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", block)
     monkeypatch.setattr(P, "bands", lambda *_: spark.createDataFrame(bands, "page long, lo long, hi long"))
     monkeypatch.setattr(P.V, "boxes", lambda *_: spark.createDataFrame(boxes, "page long, box long, w long, h long"))
+    monkeypatch.setattr(P.V, "pages_of", lambda *_: 10)
     parts = [(page % 10, y := (page * 13 + b * 29) % 700, y + h, w * h, page * 1000 + b) for page, b, w, h in boxes]
     want = sorted((p, lo, hi, place, y1, y2) for p, lo, hi in bands for q, y1, y2, _, place in parts if p == q and y1 < hi and y2 > lo)
     assert any(x[3] > 2001000 for x in want)
-    assert sorted(tuple(x) for x in P.overlap_bands_whole(spark, "").collect()) == want
+    assert sorted(tuple(x) for x in P.overlap_bands(spark, "").collect()) == want
     cuts = []
     for p, s, e in bands:
         cut = (s + e) // 2
@@ -223,5 +224,22 @@ def test_chapter_folders(spark, tmp_path):
     got = files.chapter_folders(spark, str(tmp_path)).orderBy("idx", "place").collect()
     assert [(x.chapter, x.idx, x.name) for x in got] == [("ch%202", 1, "p9.JPG"), ("ch%202", 1, "p10.png"), ("ch%203", 2, "frame_0001.jpg"), ("ch%203", 2, "p1.jpg"), ("ch%2010", 3, "p2.jpg")] or [(x.chapter, x.idx, x.name) for x in got] == [("ch 2", 1, "p9.JPG"), ("ch 2", 1, "p10.png"), ("ch 3", 2, "frame_0001.jpg"), ("ch 3", 2, "p1.jpg"), ("ch 10", 3, "p2.jpg")]
     assert files.frames(files.chapter_folders(spark, str(tmp_path), limit=2)).count() == 3
+    folder = files.own_folder(spark)
+    assert folder != files.own_folder(spark) and "/tmp/checkpoints" not in folder
     (tmp_path / "w.tsv").write_text("level\tconf\ttext\n5\t91.5\thi\n5\t-1\tno\n5\t80\t \n")
     assert [x.text for x in files.word_table(spark, str(tmp_path / "w.tsv")).collect()] == ["hi"]
+
+
+def test_search_pages(spark):
+    from loomframe.sources import payloads
+
+    pages = [
+        (1, "mh", '<a href="/manga/one_more/"><a href="/manga/c12/"><A HREF="/manga/Two/"><a href="/manga/one_more/"><a href="/manga/no-dash/">' + "".join(f'<a href="/manga/x{i}/">' for i in range(20))),
+        (2, "wt", 'href="https://a/en/g/the-tower/list?title_no=7" href="/en/g/other/list?title_no=007" href="/en/g//list?title_no=9" href="/en/q/last-one/list?title_no=8"'),
+        (3, "mp", '<a href="/manga/5/x-y" c>\n<h3 q> A B </h3>src="u.jpg"<a href="/manga/6">z<h3>C</h3>'), (4, "tl", '<a href="https://toonily.com/serie/s-1/" t>src="v.png"<h3 k>\n<a u>T 1</a></h3>'), (5, "mh", None), (6, "as", "{"), (7, "wt", ""),
+    ]
+    df = spark.createDataFrame(pages, "payload_id int, source string, body string")
+    got = sorted((x.source, x.arrival, x.id, x.title, x.cover, x.language) for x in payloads.every_source(df).collect())
+    want = [("mh", 1000, "one_more", "One More", None, None), ("mh", 1001, "Two", "Two", None, None), *(("mh", 1002 + i, f"x{i}", f"X{i}", None, None) for i in range(8))]
+    want += [("mp", 3000, "5/x-y", "A B", "u.jpg", None), ("mp", 3001, "6", "C", None, None), ("tl", 4000, "s-1", "T 1", "v.png", "ko"), ("wt", 2000, "7", "The Tower", None, "ko"), ("wt", 2001, "8", "Last One", None, "ko")]
+    assert [(a, b, c, d, e, f) for a, b, c, d, e, f in got] == want
