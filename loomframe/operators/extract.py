@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,17 @@ CREDIT_PATTERNS = [
 FORBIDDEN = [r"\bchapter\s*\d*\b", r"\bwelcome back\b", r"\bin this (chapter|episode|part)\b", r"\b(chapter|episode)\s*(title|recap)\b", r"^\s*(chapter|episode)\s*\d+"]
 PUNCTUATION_ONLY = r"^[\s.,!?…\-–—~*'\"()\[\]]+$"
 CREDITS = "(?i)" + "|".join(CREDIT_PATTERNS)
+#: Every match of a credit pattern has one of these in small letters, so texts without them need no pattern.
+CREDIT_STEMS = (
+    "scanlat translat typeset proofread redraw clean raw discord patreon paypal kofi ko-fi buymeacoffee donate support join follow @ website visit please upload aggregator chapter coming "
+    "credit special powered"
+).split()
 
 
 def is_credit(text: Column) -> Column:
-    return (F.trim(F.coalesce(text, F.lit(""))) != "") & text.rlike(CREDITS)
+    low = F.lower(text)
+    stem = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in CREDIT_STEMS])
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") & F.when(stem, text.rlike(CREDITS)).otherwise(F.lit(False))
 
 
 def is_junk(text: Column) -> Column:
