@@ -15,7 +15,10 @@ from loomframe.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and line-frequency rules keep, without the lines above the limits and with n_chars counted again; null and empty texts go."""
+    """Documents that the base and line-frequency rules keep, without the lines above the limits and with n_chars counted again.
+
+    Null and empty texts go. Rows that repeat an id and a text stay or go together; documents with null ids or sources are like any other.
+    """
     found = line_rules.line_frequency_rules(docs).filter("kept")
     return found.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
 
@@ -31,18 +34,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by <KIND> and n_chars counted again."""
+    """All documents, with personal data replaced by <KIND> and n_chars counted again; null texts stay null, with null n_chars."""
     found = pii.find(docs, pii.train(pii.labelled_table(spark)), mask=True)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by probabilities that bring sources, languages and topics to their target shares of tokens."""
+    """Documents drawn by probabilities that bring sources, languages and topics to their target shares of tokens.
+
+    The draw is a hash of the id: rows that repeat an id stay or go together, null ids count as one id. Texts without words stay.
+    """
     return mixing.mix_sources(docs).filter("sampled").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces and piece_ids: the texts as seeded merge-dropout pieces."""
+    """doc_id, source, lang, n_pieces and piece_ids: the texts as seeded merge-dropout pieces; a null text has null ids and n_pieces 0."""
     out = pieces.encode(docs, pieces.Coder.load())
     return out.select("doc_id", "source", "lang", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids")
 
