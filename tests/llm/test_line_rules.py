@@ -4,7 +4,7 @@ from collections import Counter
 from loomframe.llm.line_rules import line_frequency_rules
 
 
-def brute(rows):
+def brute(rows, least=3):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
     norm = lambda line: re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.strip(" \t\n\x0b\x0c\r").lower()))
     lines = [[x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for _, t, _ in rows]
@@ -17,7 +17,7 @@ def brute(rows):
     for (i, t, h), w, ls in zip(rows, words, lines):
         wins = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         rep = len({k + j for k in range(len(w) - 4) if wins[tuple(w[k : k + 5])] > 1 for j in range(5)})
-        gone = sum(len(x.split()) for x in ls if len(seen[h, norm(x)]) >= 3 and len(seen[h, norm(x)]) > 0.1 * len(hosts[h]))
+        gone = sum(len(x.split()) for x in ls if len(seen[h, norm(x)]) >= least and len(seen[h, norm(x)]) > 0.1 * len(hosts[h]))
         failed = len(w) < 10 or 100 * rep > 20 * len(w)
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len(set(ls)), rep, gone, failed, not failed and gone <= 0.5 * len(w)))
     return sorted(out, key=str)

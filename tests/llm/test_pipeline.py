@@ -1,5 +1,9 @@
+import numpy as np
+
 import corpus_pipeline
-from loomframe.llm import registry
+from loomframe.llm import pieces, pii, registry
+from tests.llm.test_jaccard_join import brute as jaccard_brute
+from tests.llm.test_line_rules import brute as line_brute
 
 
 def test_stages_take_odd_documents(spark):
@@ -25,6 +29,42 @@ def test_stages_take_odd_documents(spark):
     assert docs.columns == ["doc_id", "source", "lang", "n_pieces", "piece_ids"] and all(x.n_pieces == len(x.piece_ids) for x in docs.collect())
 
 
+def test_stages_equal_plain_versions(spark):
+    """Each stage on what the one before kept, over whole documents, against plain loops; every document's pieces decode to its text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = docs.filter("doc_id = 3").selectExpr("doc_id + 100000 as doc_id", "concat(repeat(concat(text, ' '), 200), 'end') as text", "lang", "source", "n_chars")
+    docs = docs.union(long).union(docs.filter("doc_id < 20"))
+    stage = dict(corpus_pipeline.STAGES)
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+
+    kept = keep(stage["quality_rules"](spark, docs, ""))
+    rows = [(x.doc_id, x.text, x.source) for x in docs.collect()]
+    # Rows that repeat an id and a text count once in the brute version too, as sets.
+    verdict = {x[0]: x[-1] for x in line_brute(rows, least=10)}
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, *_ in rows if verdict[i])
+
+    apart = keep(stage["near_duplicates"](spark, kept, ""))
+    component = {i: c for i, _, c in jaccard_brute([(x.doc_id, x.text) for x in kept.collect()])}
+    assert sorted(x.doc_id for x in apart.collect()) == sorted({i for i, c in component.items() if i == c})
+
+    clean = keep(stage["personal_data"](spark, apart, ""))
+    tagger = pii.Tagger(pii.train(pii.labelled_table(spark)))
+    text = {x.doc_id: x.text for x in clean.collect()}
+    assert len(text) == apart.count()
+    for x in apart.collect():
+        base = pii.emails(x.text) + pii.ips(x.text) + pii.cards(x.text) + pii.phones(x.text)
+        (more,) = pii.added_spans([x.text], [base], tagger)
+        assert text[x.doc_id] == pii.masked(x.text, sorted(base + more, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1])))
+
+    mixed = keep(stage["mixture"](spark, clean, ""))
+    words = lambda rows: sum(len((x.text or "").split()) for x in rows)
+    assert {x.doc_id for x in mixed.collect()} <= set(text) and 0.8 < words(mixed.collect()) / words(clean.collect()) < 0.97
+
+    coder = pieces.Coder.load()
+    out = stage["encoding"](spark, mixed, "").collect()
+    assert len(out) == mixed.count() and all(coder.decode(np.array(x.piece_ids, np.int32)) == text[x.doc_id] for x in out)
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
