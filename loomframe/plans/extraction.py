@@ -196,3 +196,19 @@ def word_table(spark, sf_dir):
     rows = V.table(spark, sf_dir, "events").select("event_id", (F.col("value") - 100).alias("conf"), F.when(F.col("event_id") % 7 > 0, F.col("event_type")).otherwise("  ").alias("text"))
     rows.write.csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return S.word_table(spark, path).select(F.col("event_id").cast("bigint").alias("event_id"), F.col("conf").cast("double").alias("conf"), "text")
+
+
+@query(f"WITH {V.JOBS} SELECT status, count(*) AS n, CAST(sum(total_images) AS BIGINT) AS images FROM jobs GROUP BY 1")
+def promoted_snapshot(spark, sf_dir):
+    """A snapshot that appears at once after its digest is checked, read back."""
+    rows = S.promote(V.jobs(spark, sf_dir).select("job_id", "status", "total_images"), f"{scratch(spark)}-snapshot")
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.sum("total_images").cast("bigint").alias("images"))
+
+
+@query("SELECT s_suppkey AS id, CAST(s_suppkey * 1024 + 7 AS BIGINT) // 1024 AS total_mb, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey * 2048 AS BIGINT) // 1024 END AS available_mb FROM supplier")
+def memory_figures(spark, sf_dir):
+    """Figures of a machine's memory report by key, in MB; one that the report lacks is null."""
+    k = F.col("s_suppkey")
+    report = F.concat(F.format_string("MemTotal:       %d kB\n", k * 1024 + 7), F.when(k % 3 > 0, F.format_string("MemAvailable: %d kB\n", F.col("s_nationkey") * 2048)).otherwise(""), F.lit("SwapMemTotal: 5 kB\n"))
+    rows = S.key_figures(V.table(spark, sf_dir, "supplier").select(k.alias("id"), report.alias("report")), "report", "MemTotal", "MemAvailable")
+    return rows.select("id", F.floor(F.col("MemTotal") / 1024).alias("total_mb"), F.floor(F.col("MemAvailable") / 1024).alias("available_mb"))

@@ -68,6 +68,31 @@ def frames(listing: DataFrame) -> DataFrame:
     return listing.withColumn("_f", own).withColumn("_any", F.bool_or("_f").over(Window.partitionBy("root", "chapter"))).filter("_f or not _any").drop("_f", "_any")
 
 
+def promote(rows: DataFrame, path: str) -> DataFrame:
+    """rows as a table that appears at a path at once: written beside it, checked by count and digest, then renamed.
+
+    The digest does not depend on order: sums of two 64-bit hashes of whole rows. A table that is there already, or one that does not
+    read back as it was, is an error, and nothing appears.
+    """
+    spark = rows.sparkSession
+    figures = lambda df: df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(20,0)")) for seed in (1, 2)]).first()
+    beside = f"{path}.{uuid.uuid4().hex}"
+    rows.write.parquet(beside)
+    found = spark.read.schema(rows.schema).parquet(beside)
+    if tuple(figures(found)) != tuple(figures(rows)):
+        raise ValueError(f"{beside} does not hold what was written")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(hadoop(path)) or not files.rename(hadoop(beside), hadoop(path)):
+        raise FileExistsError(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def key_figures(lines: DataFrame, line: str, *keys: str) -> DataFrame:
+    """lines with a bigint column for each key: the figure after "key:" at the start of a line of the text; null where there is none."""
+    return lines.withColumns({k: F.nullif(F.regexp_extract(line, rf"(?m)^{k}:\s*([0-9]+)", 1), F.lit("")).cast("bigint") for k in keys})
+
+
 def write_narrations(rows: DataFrame, path: str) -> None:
     """rows (chapter, pos, image, text) as JSON lines, a folder a chapter."""
     rows.write.partitionBy("chapter").json(path)

@@ -254,3 +254,15 @@ def test_credit_stems_lose_no_match(spark):
     df = spark.createDataFrame(rows, "text string")
     out = df.select(E.is_credit(F.col("text")).alias("a"), (F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("text").rlike(E.CREDITS)).collect()
     assert all(bool(x[0]) == bool(x[1]) for x in out) and 50 < sum(bool(x[0]) for x in out) < 390
+
+
+def test_promote_appears_at_once(spark, tmp_path):
+    from loomframe.sources import files
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, name string")
+    path = str(tmp_path / "snapshot")
+    assert sorted(map(tuple, files.promote(rows, path).collect()), key=str) == [(1, "a"), (2, None), (2, None)]
+    with pytest.raises(FileExistsError):
+        files.promote(rows, path)
+    assert spark.read.parquet(path).count() == 3
+    assert files.promote(rows.limit(0), str(tmp_path / "none")).count() == 0
