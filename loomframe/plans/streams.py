@@ -36,6 +36,5 @@ def stream_hourly(spark, sf_dir):
 SELECT user_id, CAST(max(failures) AS BIGINT) AS failures, min(ts) FILTER (failures >= 5) AS tripped_at, count(*) FILTER (failures >= 5) AS after_trip FROM o GROUP BY 1""")
 def stream_breaker(spark, sf_dir):
     """Keyed state: failures until the breaker trips."""
-    out = S.run_to_table(S.tripped(S.source(spark, sf_dir), F.col("value") < 20), scratch(spark), "update")
-    last = out.groupBy("user_id").agg(F.max_by(F.struct("failures", "tripped_at", "after_trip"), "batch").alias("r"))
-    return last.select("user_id", "r.failures", F.col("r.tripped_at").cast(NTZ).alias("tripped_at"), "r.after_trip")
+    out = S.tripped(S.source(spark, sf_dir), F.col("value") < 20, scratch(spark))
+    return out.select("user_id", "failures", F.col("tripped_at").cast(NTZ).alias("tripped_at"), "after_trip")

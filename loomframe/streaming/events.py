@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 LATE = "2 days"
 
@@ -35,31 +34,46 @@ def deduplicated(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def breaker(limit: int = 5) -> Callable:
-    """Fold for applyInPandasWithState: failures by key so far, and when they reached the limit.
+BREAKER = "user_id long, failures long, tripped_at timestamp, after_trip long"
 
-    A batch's rows of a key are put in order of time and id; rows of later batches come after them.
-    """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, tripped, after = state.get if state.exists else (0, None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ts, failed in zip(rows["ts"], rows["failed"]):
-            failures += int(failed)
-            if failures >= limit:
-                tripped = tripped if tripped is not None else ts.to_pydatetime()
-                after += 1
-        state.update((failures, tripped, after))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [failures], "tripped_at": [tripped], "after_trip": [after]}).astype({"tripped_at": "datetime64[ns]"})
-
-    return fold
-
-
-def tripped(events: DataFrame, failed: Column, limit: int = 5) -> DataFrame:
-    """State of each key's breaker after each batch (update mode)."""
-    schema = "user_id long, failures long, tripped_at timestamp, after_trip long"
-    state = "failures long, tripped_at timestamp, after_trip long"
-    return events.withColumn("failed", failed).groupBy("user_id").applyInPandasWithState(breaker(limit), schema, state, "update", GroupStateTimeout.NoTimeout)
+def advanced(batch: DataFrame, state: DataFrame, limit: int = 5) -> DataFrame:
+    """State of each key's breaker (BREAKER) after a batch of rows (user_id, ts, event_id, failed): failures so far, when they reached the limit, and the rows
+    from then on.
+
+    A batch's rows of a key are in order of time and id; rows of later batches come after them. Rows are summed by key and minute
+    first; running sums over a key's minutes tell the one in which the breaker trips, and only that minute's rows are put in order.
+    """
+    minute = F.date_trunc("minute", "ts").alias("minute")
+    sums = batch.groupBy("user_id", minute).agg(F.count("*").alias("n"), F.count_if("failed").alias("f"))
+    upto = F.coalesce("failures", F.lit(0)) + F.sum("f").over(Window.partitionBy("user_id").orderBy("minute"))
+    sums = sums.join(state, "user_id", "left").select("user_id", "minute", "n", "f", upto.alias("upto"))
+    trip = sums.filter((F.col("upto") >= limit) & (F.col("upto") - F.col("f") < limit)).select("user_id", "minute", (F.col("upto") - F.col("f")).alias("before"))
+    own = F.col("before") + F.sum(F.col("failed").cast("long")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = batch.select("user_id", "ts", "event_id", "failed", minute).join(trip, ["user_id", "minute"]).withColumn("own", own).filter(F.col("own") >= limit)
+    inside = rows.groupBy("user_id").agg(F.min("ts").alias("at"), F.count("*").alias("inside"))
+    later = sums.groupBy("user_id").agg(F.sum("f").alias("f"), F.coalesce(F.sum(F.when(F.col("upto") - F.col("f") >= limit, F.col("n"))), F.lit(0)).alias("later"))
+    both = state.join(later.join(inside, "user_id", "left"), "user_id", "full_outer")
+    plus = lambda *c: sum((F.coalesce(x, F.lit(0)) for x in c), F.lit(0)).cast("long")
+    return both.select("user_id", plus("failures", "f").alias("failures"), F.coalesce("tripped_at", "at").alias("tripped_at"), plus("after_trip", "later", "inside").alias("after_trip"))
+
+
+def tripped(events: DataFrame, failed: Column, path: str, limit: int = 5) -> DataFrame:
+    """State of all breakers after all that is there now; each batch makes the next version of the table from the last one."""
+    versions: list[str] = []
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(BREAKER).parquet(f"{path}/state/{n - 1}") if n else spark.createDataFrame([], BREAKER)
+        batch = batch.persist()
+        advanced(batch, before, limit).write.mode("overwrite").parquet(f"{path}/state/{n}")
+        batch.unpersist()
+        versions.append(f"{path}/state/{n}")
+
+    rows = events.select("user_id", "ts", "event_id", F.coalesce(failed, F.lit(False)).alias("failed"))
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = events.sparkSession
+    return spark.read.schema(BREAKER).parquet(versions[-1]) if versions else spark.createDataFrame([], BREAKER)
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
