@@ -50,16 +50,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """cells (the margin columns and tokens) with mass: tokens scaled so that every marginal has its target share.
 
     A category without a target gets no mass. Sums by category are grouped before they are joined back, so one large
-    category is no single task. Each round is written, since its plan holds the
-    one before several times.
+    category is no single task. Each step is written, since its plan holds the one before twice, and the one before goes.
     """
     now, last = cells.withColumn("mass", F.col("tokens").cast("double")), None
-    for _ in range(rounds):
-        for column, target in targets.items():
-            sums = now.groupBy(column).agg(F.sum("mass").alias("_have"))
-            factor = sums.join(target, column, "left").select(F.col(column).alias("_c"), F.coalesce(F.try_divide("share", "_have"), F.lit(0.0)).alias("_f"))
-            now = now.join(factor, F.col(column).eqNullSafe(F.col("_c"))).select(*cells.columns, (F.col("mass") * F.col("_f")).alias("mass"))
-        now = written(now)
+    for column, target in [*targets.items()] * rounds:
+        sums = now.groupBy(column).agg(F.sum("mass").alias("_have"))
+        factor = sums.join(target, column, "left").select(F.col(column).alias("_c"), F.coalesce(F.try_divide("share", "_have"), F.lit(0.0)).alias("_f"))
+        now = written(now.join(factor, F.col(column).eqNullSafe(F.col("_c"))).select(*cells.columns, (F.col("mass") * F.col("_f")).alias("mass")))
         if last is not None:
             discard(last)
         last = now
