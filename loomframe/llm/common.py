@@ -167,6 +167,18 @@ def steps(texts: list[bytes | None]):
         yield begin, len(texts)
 
 
+#: Sizes of the batches that go to Python workers: a few MB instead of 64.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def light(spark: SparkSession) -> SparkSession:
+    """The session, with small batches for Python workers where it has no sizes of its own: batches are held in the JVM and in each worker."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def small(batches, rows: int = 512):
     """The batches in slices of few rows, so that little of a batch is held twice."""
     for batch in batches:
@@ -243,42 +255,49 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 HUB, HUBS = 1_000, 10_000
 
 
-def with_lowest(edges: DataFrame, low: DataFrame, limit: float) -> DataFrame:
-    """edges (u, v) with the m of their u in low (u, m, n).
+def with_lowest(edges: DataFrame, low: DataFrame, limit: float, most: int) -> DataFrame:
+    """edges (u, v) with the m of their u in low (u, m, n); most is the largest n or above it.
 
     The edges of a hub, an id whose n is above the limit, stay where they are: the hubs, few by the limit, are
     broadcast. All others meet their m by a shuffle.
     """
+    if most <= limit:
+        return edges.join(low.select("u", "m"), "u").select("u", "v", "m")
     hubs = F.broadcast(low.filter(F.col("n") > limit).select(F.col("u").alias("h"), F.col("m").alias("hm")))
     marked = edges.join(hubs, F.col("u") == F.col("h"), "left")
     others = marked.filter("h is null").select("u", "v").join(low.filter(F.col("n") <= limit).select("u", "m"), "u")
     return others.select("u", "v", "m").union(marked.filter("h is not null").select("u", "v", F.col("hm").alias("m")))
 
 
+def shape(edges: DataFrame) -> tuple[int, bool, int]:
+    """Number of edges, whether they are more than stars (some id is a leaf and something else too), and the most edges of an id."""
+    ends = edges.select(F.col("u").alias("i"), F.lit(1).alias("leaf")).union(edges.select(F.col("v").alias("i"), F.lit(0).alias("leaf")))
+    ends = ends.groupBy("i").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("n"))
+    found = ends.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.max((F.col("leaf") > 0) & (F.col("n") > 1)), F.max("n")).first()
+    return found[0], bool(found[1]), found[2] or 0
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable from each id of the edges.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder, and the one before removed. Both
-    steps are minima by id, summed before the shuffle, joined back to the edges; see with_lowest for ids with very many edges.
+    Alternating large-star and small-star rounds, until only stars are left; each round is written to the shared folder, and the one
+    before removed. Both steps are minima by id, summed before the shuffle, joined back to the edges; see with_lowest for
+    ids with very many edges.
     """
     lowest = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    n = now.count()
-    while True:
+    n, tangled, most = shape(now)
+    while tangled:
         limit = max(HUB, n / HUBS)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_lowest(both.filter("v > u"), low, limit).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_lowest(both.filter("v > u"), low, limit, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u <> v").distinct())
-        small = with_lowest(large, lowest(large), limit)
+        # An id has as many edges here as it had to smaller ids, at most.
+        small = with_lowest(large, lowest(large), limit, most)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         nxt = written(small.filter("u <> v").distinct())
         discard(now, large)
-        # Stars only: each id is a centre, or a leaf of one.
-        ends = nxt.select(F.col("u").alias("i"), F.lit(1).alias("leaf")).union(nxt.select(F.col("v").alias("i"), F.lit(0).alias("leaf")))
-        ends = ends.groupBy("i").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("n"))
-        n, tangled = ends.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.max((F.col("leaf") > 0) & (F.col("n") > 1))).first()
         now = nxt
-        if not tangled:
-            break
+        n, tangled, most = shape(now)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

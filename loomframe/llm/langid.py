@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, small, with_fields
+from loomframe.llm.common import free_of, light, small, with_fields
 
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 16
@@ -136,7 +136,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """
     docs = free_of(docs, "lang_pred", "score")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = light(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, fresh, mix, small, with_fields
+from loomframe.llm.common import free_of, fresh, light, mix, small, with_fields
 
 SPACE = "▁"
 #: Chance that a candidate merge is skipped.
@@ -336,7 +336,7 @@ def encode(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: str
     docs = free_of(docs, "piece_ids")
     (hidden,) = fresh(docs, "_lf_key")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast({"parts": coder.parts})
+    shared = light(docs.sparkSession).sparkContext.broadcast({"parts": coder.parts})
     key = F.xxhash64(F.lit(29), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +354,7 @@ def decode(encoded: DataFrame, coder: Coder, ids_col: str = "piece_ids") -> Data
     """encoded with decoded, the text of the ids; null ids give null, an empty table gives an empty one."""
     encoded = free_of(encoded, "decoded")
     at = [c.lower() for c in encoded.columns].index(ids_col.lower())
-    shared = encoded.sparkSession.sparkContext.broadcast(coder.table)
+    shared = light(encoded.sparkSession).sparkContext.broadcast(coder.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, small, with_fields
+from loomframe.llm.common import free_of, light, small, with_fields
 from loomframe.llm.spans import Span, cards, digest, emails, ips, listed, luhn, phones
 
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
@@ -179,21 +179,26 @@ def train(labelled: DataFrame, epochs: int = 60, rate: float = 0.5, ridge: float
     for row in labelled.orderBy("sentence", "pos").collect():
         by.setdefault(row["sentence"], []).append((row["word"], row["tag"]))
     sentences = [s for s in by.values()]
-    feats = [sequence_features([w for w, _ in s]) for s in sentences]
-    names = sorted({f for s in feats for x in s for f in x})
-    index = {f: i for i, f in enumerate(names)}
+    # Features of a word without their offsets, by word; a feature at an offset has its own weight.
+    base: dict[str, int] = {"plain": 0}
+    own = {w: [base.setdefault(f, len(base)) for f in word_features(w)] for s in sentences for w, _ in s}
+    width = 2 * AROUND + 1
+    index = {f"{o - AROUND}:{f}": i * width + o for f, i in base.items() for o in range(width)}
+    names = sorted(index, key=index.get)
     k, n = len(TAGS), len(sentences)
     size = np.array([len(s) for s in sentences])
     steps = int(size.max(initial=1))
     gold = np.zeros((n, steps), int)
     where, what = [], []
     for i, s in enumerate(sentences):
+        around = [[0]] * AROUND + [own[w] for w, _ in s] + [[0]] * AROUND
         for t, (_, tag) in enumerate(s):
             gold[i, t] = TAGS.index(tag)
-            for f in feats[i][t]:
-                where.append(i * steps + t)
-                what.append(index[f])
-    where, what = np.array(where, int), np.array(what, int)
+            for o in range(width):
+                for f in around[t + o]:
+                    where.append(i * steps + t)
+                    what.append(f * width + o)
+    where, what = np.array(where, np.int32), np.array(what, np.int32)
     live = np.arange(steps) < size[:, None]
     # Sums over the features of a position, and over the positions of a feature, as sums of sorted stretches.
     by_feature = np.argsort(what, kind="stable")
@@ -226,7 +231,8 @@ def train(labelled: DataFrame, epochs: int = 60, rate: float = 0.5, ridge: float
             x = np.exp(ahead[t - 1][:, :, None] + move + (score[:, t] + behind[t])[:, None, :] - z[:, None, None])
             grad_m -= x[on].sum(0)
             np.add.at(grad_m, (gold[on, t - 1], gold[on, t]), 1)
-        grad_e = np.add.reduceat((want - p.reshape(-1, k))[where[by_feature]], first_of)
+        grad_e = np.zeros_like(emit)
+        grad_e[what[by_feature][first_of]] = np.add.reduceat((want - p.reshape(-1, k))[where[by_feature]], first_of)
         grad_e, grad_m = grad_e - ridge * n * emit, grad_m - ridge * n * move
         seen_e += grad_e**2
         seen_m += grad_m**2
@@ -450,7 +456,7 @@ def find(docs: DataFrame, model: Crf, text_col: str = "text", mask: bool = False
     """
     docs = free_of(docs, "pii_spans")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast((model.index, model.emit, model.move))
+    shared = light(docs.sparkSession).sparkContext.broadcast((model.index, model.emit, model.move))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Hasher, as_bytes, free_of, small, steps, with_fields
+from loomframe.llm.common import Hasher, as_bytes, free_of, light, small, steps, with_fields
 
 #: At most about this many labelled documents of each label are used for fitting.
 MAX_PER_LABEL = 8_000
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """
     docs = free_of(docs, "score", "predicted")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = light(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

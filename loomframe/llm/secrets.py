@@ -11,7 +11,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomframe.llm.common import free_of, small, with_fields
+from loomframe.llm.common import free_of, light, small, with_fields
 from loomframe.llm.pieces import default_model
 from loomframe.llm.spans import Span, accesses, assigns, hexes
 
@@ -162,7 +162,7 @@ def find(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD,
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary() if ranks is None else ranks)  # some ten thousand words
+    shared = light(docs.sparkSession).sparkContext.broadcast(dictionary() if ranks is None else ranks)  # some ten thousand words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import sketch
-from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, fresh, mix, row_key, signed, small, steps, with_fields
+from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, fresh, light, mix, row_key, signed, small, steps, with_fields
 
 WINDOW = 35
 #: Cells of the sketch for each anchor, in all, and its hash rows.
@@ -69,7 +69,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replaced; rows with a null id are documents like any other; an empty table gives an empty one. Very long texts are hashed in
     stretches and are rows like any other. Hashes of 128 bits stand for windows.
     """
-    spark = docs.sparkSession
+    spark = light(docs.sparkSession)
     docs = free_of(docs, "n_words", "n_removed", "kept_text")
     key1, key2, own1, own2, spans = fresh(docs, "_lf_k1", "_lf_k2", "_lf_r1", "_lf_r2", "_lf_ranges")
     keyed = docs.select("*", *(k.alias(n) for k, n in zip(row_key(F.col(id_col), F.col(text_col)), (key1, key2))))
