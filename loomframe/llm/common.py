@@ -37,11 +37,11 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     folder, files = _folder(spark, path)
     files.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
