@@ -14,7 +14,7 @@ import numpy as np
 
 U = np.uint64
 #: Bits of the frequencies' sum, lanes of a block, ids of a section and sections of a block (fixed values of the format).
-BITS, LANES, SECTION, SECTIONS = 20, 1024, 1 << 18, 4
+BITS, LANES, SECTION, SECTIONS = 20, 4096, 1 << 20, 2
 LOW, WORD = U(1 << 31), U(32)
 
 

@@ -225,3 +225,37 @@ def op13_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_rans_tokens"] = op13_rans_tokens
+
+
+def op11_errata_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomframe.llm import spelling
+
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES["op11_errata_tries"] = op11_errata_tries
+
+
+def _crc_nibbles(polynomial: int = 0xEDB88320) -> list[int]:
+    """What four bits of crc32 become."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [x >> 1 ^ polynomial if x & 1 else x >> 1 for x in out]
+    return out
+
+
+ORACLES["op11_errata_tries"] = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY 1, 2),
+x AS (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM c),
+h AS (SELECT w, n, xor(list_reduce([4294967295::BIGINT] || [CAST(strpos('0123456789ABCDEF', x[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 AS BIGINT) for i in range(1, length(x) + 1)],
+  lambda a, b: xor(a >> 4, (CAST({_crc_nibbles()} AS BIGINT[]))[(xor(a, b) & 15) + 1])), 4294967295) AS h FROM x),
+k AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT d.word AS a, v.word AS b FROM d JOIN v ON v.word = d.cut UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.cut UNION SELECT x.word, y.word FROM d x JOIN d y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+o AS (SELECT p.a, p.b, v.n, row_number() OVER (PARTITION BY p.a ORDER BY v.n DESC, p.b) AS place, count(*) OVER (PARTITION BY p.a) AS near FROM p JOIN v ON v.word = p.b),
+f AS MATERIALIZED (SELECT v.word, CASE WHEN o.n >= 2 * v.n THEN o.b END AS form, v.n, coalesce(near, 0) AS n_near, CASE WHEN o.n >= 2 * v.n THEN o.n END AS form_n FROM v LEFT JOIN o ON o.a = v.word AND place = 1),
+t AS (SELECT word, word AS cur, 0 AS hops FROM f UNION ALL SELECT t.word, f.form, hops + 1 FROM t JOIN f ON f.word = t.cur WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, max_by(cur, hops) AS root FROM t GROUP BY 1) g ON g.word = f.word
+"""

@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,68 +30,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from loomframe.llm import rans
-from loomframe.llm.common import SEPARATORS, binaries, discard, light, shared_dir, small, written
+from loomframe.llm.common import binaries, discard, light, shared_dir, small, written
 from loomframe.llm.fim import buffers
 
 MAGIC = b"LFRANS01"
 HEAD, SECTION_HEAD, TAIL = "<8sII", "<IIIIII", "<QI8s"
 END_ID = 2
 #: Bytes of text that one step of tokenizing takes, different pieces that a task remembers, ids of a file (it ends with a document) and of a reading task.
-STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 21, 300_000, 1 << 26, 1 << 22
+STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 23, 600_000, 1 << 26, 1 << 22
+#: Kinds of ASCII characters; others are 0.
+SPACE, LINE_END, PUNCTUATION, LETTER, DIGIT = 1, 2, 3, 4, 5
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 
 
 class Pieces:
-    """Ids of texts by the tokenizer. Texts are cut before white space that follows a character which is certainly none: the tokenizer's own cuts
-    fall there too, so equal pieces have equal ids, and each is encoded once."""
+    """Ids of texts by the tokenizer. Texts are cut where the tokenizer's own pattern cuts whatever stands around: before a space or line end that follows
+    a character which is certainly none, between a letter and punctuation, and behind a single line end. So equal pieces have equal ids, and each
+    is encoded once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.model = path, Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         settings = json.loads(self.model.to_str())
         kind = settings["pre_tokenizer"] or {}
         if settings["normalizer"] or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex"):
             raise ValueError("the tokenizer must be byte-level, without a normalizer or a space put first")
         self.size = self.model.get_vocab_size()
-        space = np.zeros(256, bool)
-        space[list(SEPARATORS)] = True
-        ascii_ = np.arange(256) < 128
-        self.space, self.solid, self.inner = space, ascii_ & ~space, (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0)
-        self.letter_lead = (np.arange(256) >= 0xC3) & (np.arange(256) < 0xE0)  # no white space among these characters of two bytes
+        # A byte-level piece has a character for each byte.
+        self.bytes_of = np.array([len(self.model.id_to_token(i) or "") for i in range(self.size)])
+        b = np.arange(256)
+        self.inner, self.latin = (b >= 0x80) & (b < 0xC0), (b >= 0xC3) & (b < 0xE0)  # C3 to DF begin characters of two bytes, none of them white space
+        letter = (b >= 65) & (b <= 90) | (b >= 97) & (b <= 122)
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[(b > 32) & (b < 127)] = PUNCTUATION
+        self.kind[letter], self.kind[(b >= 48) & (b <= 57)] = LETTER, DIGIT
+        self.kind[32], self.kind[10] = SPACE, LINE_END
         self.forget()
 
-    def __reduce__(self):
-        return Pieces, (self.path,)
-
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.upto = [0]
+        self.upto = np.zeros(1 << 14, np.int64)
 
     def cuts(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """Places in [lo, hi) before which a piece ends, by the bytes around them."""
-        b = data[max(lo - 2, 0) : hi]
-        before = self.solid[b[:-1]].copy()
-        before[1:] |= self.inner[b[1:-1]] & self.letter_lead[b[:-2]]
-        at = np.flatnonzero(self.space[b[1:]] & before) + 1 + max(lo - 2, 0)
-        return at[at >= lo]
+        begin = max(lo - 3, 0)
+        b = np.concatenate([np.zeros(3 - (lo - begin), np.uint8), data[begin:hi]])
+        kind = self.kind[b]
+        two = np.zeros(len(b), bool)  # last bytes of characters C3 80 to DF BF
+        two[1:] = self.inner[b[1:]] & self.latin[b[:-1]]
+        accented = two.copy()  # last bytes of letters C3 80 to C3 BF
+        accented[1:] &= (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+        solid = (kind >= PUNCTUATION) | two
+        here, before, second = kind[3:], slice(2, -1), slice(1, -2)
+        cut = ((here == SPACE) | (here == LINE_END)) & solid[before]
+        cut |= (here == PUNCTUATION) & ((kind[before] == LETTER) | accented[before])
+        cut |= ((here >= PUNCTUATION) | self.latin[b[3:]]) & (kind[before] == LINE_END) & solid[second]
+        return cut
 
     def stretches(self, at: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
         """Edges of pieces, a stretch at a time; documents' edges are among them."""
-        lo, last, edges = int(at[0]), int(at[-1]), np.unique(at)
+        lo, last = int(at[0]), int(at[-1])
         while lo < last:
             step = STEP
             while True:
                 hi = min(lo + step, last)
-                inner = self.cuts(data, lo + 1, hi)
-                own = edges[slice(*np.searchsorted(edges, [lo, hi], side="right"))]
-                found = np.unique(np.concatenate([inner, own]))
-                if len(found):
+                cut = np.zeros(hi - lo + 1, bool)
+                cut[1:-1] = self.cuts(data, lo + 1, hi)
+                cut[at[slice(*np.searchsorted(at, [lo, hi + 1]))] - lo] = True
+                cut[0] = False
+                if cut.any():
                     break
                 step *= 2
+            found = lo + np.flatnonzero(cut)
             yield np.concatenate([[lo], found])
             lo = int(found[-1])
 
@@ -102,9 +117,8 @@ class Pieces:
             texts = pa.Array.from_buffers(pa.string(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), buffer])
             coded = texts.dictionary_encode()
             numbers = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            upto = np.array(self.upto)
-            n = upto[numbers + 1] - upto[numbers]
-            ids.append(self.flat[np.repeat(upto[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            n = self.upto[numbers + 1] - self.upto[numbers]
+            ids.append(self.flat[np.repeat(self.upto[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
             pieces.append(edges[:-1])
             lens.append(n)
         if not ids:
@@ -113,37 +127,57 @@ class Pieces:
         return np.concatenate(ids), np.diff(total[np.searchsorted(np.concatenate(pieces), at)])
 
     def numbers(self, texts: list[str]) -> np.ndarray:
+        """The place of each text's ids in flat, between upto[i] and upto[i + 1]; texts not met before are encoded."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        new = [t for t in texts if t not in self.known]
-        for i in range(0, len(new), 10_000):
-            for text, e in zip(new[i : i + 10_000], self.model.encode_batch(new[i : i + 10_000], add_special_tokens=False)):
-                ids = e.ids
-                begin = self.upto[-1]
-                if begin + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[begin : begin + len(ids)] = ids
-                self.known[text] = len(self.upto) - 1
-                self.upto.append(begin + len(ids))
-        return np.array([self.known[t] for t in texts], np.int64)
-
-
-def tokenized(docs: DataFrame, pieces: Pieces, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
+        known = self.known
+        new = [t for t in texts if t not in known]
+        # A word behind a space, put behind a character that is none, is cut off again: such pieces are encoded as one text.
+        plain = [t[:1] == " " and t[-1].isascii() and t[-1].isalnum() and t[1:2].isalnum() for t in new]
+        one, rest = [list(compress(new, flags)) for flags in (plain, [not p for p in plain])]
+        for lo in range(0, len(one), 10_000):
+            part = one[lo : lo + 10_000]
+            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(t.encode()) for t in part])
+            self.learn(part, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo : lo + 10_000]
+            coded = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+            n = np.cumsum([len(x) for x in coded])
+            self.learn(part, np.fromiter(chain.from_iterable(coded), np.uint32, int(n[-1])), n)
+        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+
+    def learn(self, texts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first, begin = len(self.known), int(self.upto[len(self.known)])
+        self.flat, self.upto = larger(self.flat, begin + len(ids)), larger(self.upto, first + len(texts) + 1)
+        self.flat[begin : begin + len(ids)] = ids
+        self.upto[first + 1 : first + len(texts) + 1] = begin + ends
+        self.known.update(zip(texts, range(first, first + len(texts))))
+
+
+def larger(x: np.ndarray, size: int) -> np.ndarray:
+    """x, with room for size items at least."""
+    return x if len(x) >= size else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """(part, before, doc_id, n_tokens, ids) in ascending order of ids in parts, width bytes an id. before: ids of the part before the document.
 
     Documents are dealt out by ranges of id, and of a hash of the text among equal ids, so that one id does not fill a part.
     """
     spark = light(docs.sparkSession)
-    # A worker loads the tokenizer once, when it first meets the broadcast.
-    shared, kind = spark.sparkContext.broadcast(pieces), f"<u{width}"
+    # A worker keeps the tokenizer in its copy of the broadcast, so it is loaded once.
+    shared, kind = spark.sparkContext.broadcast({"path": tokenizer}), f"<u{width}"
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = shared.value
+        coder = mine["coder"] = mine.get("coder") or Pieces(mine["path"])
         part, before = TaskContext.get().partitionId(), 0
-        for batch in small(batches):
+        for batch in small(batches, 4_000):
             rows = batch.num_rows
-            flat, n = shared.value.encode(batch.column(1))
+            flat, n = coder.encode(batch.column(1))
             ends = np.cumsum(n + 1)
             out = np.full(int(ends[-1]) if rows else 0, end_id, kind)
             text = np.ones(len(out), bool)
@@ -399,10 +433,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     files.create_dir(folder, recursive=True)
     if files.get_file_info(f"{folder}/_manifest").type != pa.fs.FileType.NotFound:
         raise ValueError(f"{path} holds token files already")
-    pieces = Pieces(tokenizer)
-    size = max(pieces.size, end_id + 1)
+    size = max(Pieces(tokenizer).size, end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    tokens = written(tokenized(docs, pieces, end_id, width, id_col, text_col), codec="zstd")
+    tokens = written(tokenized(docs, tokenizer, end_id, width, id_col, text_col), codec="zstd")
     table = rans.Table.of(counted(tokens, width, size))
     put(files, f"{folder}/_table", table.freq.astype("<u4").tobytes() + struct.pack("<I", table.crc))
     # One row for each part, of which there are as many as shuffle partitions.

@@ -13,7 +13,7 @@ from loomframe.llm import rans, registry, token_files
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["a", "Hello", "é", "漢", "🙂", " ", "  ", "\n", "\t ", "\r\n", " ", " ", "　", "\u0085", "ß", "'s", "don't", "12", "$$", "<|endoftext|>", "\x00", "x" * 50, "École ", "ǅ", "߿"]
+ODD = ["a", "Hello", ".", ",", "'", "×", "÷.", "é.", "\x0b", "\x0c", "\n", "\n", "-", "²", "é", "漢", "🙂", " ", "  ", "\n", "\t ", "\r\n", " ", " ", "　", "\u0085", "ß", "'s", "don't", "12", "$$", "<|endoftext|>", "\x00", "x" * 50, "École ", "ǅ", "߿"]
 
 
 @pytest.fixture(scope="module")
