@@ -113,4 +113,4 @@ def stream_lines(spark, sf_dir):
     path = scratch(spark)
     V.logs(spark, sf_dir).select(F.concat_ws(" ", F.concat(F.lit("["), "level", F.lit("]")), F.col("log_id").cast("string"), "message")).write.text(f"{path}/lines")
     lines = spark.readStream.text(f"{path}/lines").select(F.regexp_extract("value", r"^\[(\w+)\] (\d+) ", 1).alias("level"), F.regexp_extract("value", r"^\[(\w+)\] (\d+) ", 2).cast("bigint").alias("log_id"))
-    return S.run_to_table(lines.groupBy("level").agg(F.count("*").alias("n"), F.max("log_id").alias("last_id")), path, "complete").drop("batch")
+    return S.run_to_table(lines.groupBy("level").agg(F.count("*").alias("n"), F.max("log_id").alias("last_id")), path, "complete")

@@ -1,15 +1,17 @@
-"""Structured Streaming over the event log: counts, duplicates, folds, stuck jobs, breakers."""
+"""Structured Streaming over the event log: counts, duplicates, attempts, joins of streams, and runs that a restart takes up."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-LATE = "2 days"
+from pyspark.sql.types import LongType, StructField, StructType
+
+from loomframe.streaming import state
+from loomframe.streaming.state import LATE
 
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -34,62 +36,82 @@ def deduplicated(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-BREAKER = "user_id long, failures long, tripped_at timestamp, after_trip long"
+def attempts(changes: DataFrame, keys: list[str], order: list[str], state: str = "state") -> DataFrame:
+    """Current row of each key after full-row replaces, with its attempts, as operators.state.snapshot: sums that Spark keeps by key."""
+    rest = [c for c in changes.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    found = changes.groupBy(*keys).agg(last, F.count_if(F.col(state).isin("RUNNING", "RETRYABLE")).alias("attempts"))
+    return found.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "attempts")
 
 
-def advanced(batch: DataFrame, state: DataFrame, limit: int = 5) -> DataFrame:
-    """State of each key's breaker (BREAKER) after a batch of rows (user_id, ts, event_id, failed): failures so far, when they reached the limit, and the rows
-    from then on.
+def unpolled(pushed: DataFrame, polled: DataFrame, within: str, late: str = LATE) -> DataFrame:
+    """(event_id, pushed_at, polled_at): each event pushed, with the time a poll brought it too, if one did within so long; else null.
 
-    A batch's rows of a key are in order of time and id; rows of later batches come after them. Rows are summed by key and minute
-    first; running sums over a key's minutes tell the one in which the breaker trips, and only that minute's rows are put in order.
+    pushed (event_id, pushed_at) and polled (event_id, polled_at) are streams. A row is held until the watermark, the smaller of both
+    streams', is so far past it that no poll can bring it any more.
     """
-    minute = F.date_trunc("minute", "ts").alias("minute")
-    sums = batch.groupBy("user_id", minute).agg(F.count("*").alias("n"), F.count_if("failed").alias("f"))
-    upto = F.coalesce("failures", F.lit(0)) + F.sum("f").over(Window.partitionBy("user_id").orderBy("minute"))
-    sums = sums.join(state, "user_id", "left").select("user_id", "minute", "n", "f", upto.alias("upto"))
-    trip = sums.filter((F.col("upto") >= limit) & (F.col("upto") - F.col("f") < limit)).select("user_id", "minute", (F.col("upto") - F.col("f")).alias("before"))
-    own = F.col("before") + F.sum(F.col("failed").cast("long")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = batch.select("user_id", "ts", "event_id", "failed", minute).join(trip, ["user_id", "minute"]).withColumn("own", own).filter(F.col("own") >= limit)
-    inside = rows.groupBy("user_id").agg(F.min("ts").alias("at"), F.count("*").alias("inside"))
-    later = sums.groupBy("user_id").agg(F.sum("f").alias("f"), F.coalesce(F.sum(F.when(F.col("upto") - F.col("f") >= limit, F.col("n"))), F.lit(0)).alias("later"))
-    both = state.join(later.join(inside, "user_id", "left"), "user_id", "full_outer")
-    plus = lambda *c: sum((F.coalesce(x, F.lit(0)) for x in c), F.lit(0)).cast("long")
-    return both.select("user_id", plus("failures", "f").alias("failures"), F.coalesce("tripped_at", "at").alias("tripped_at"), plus("after_trip", "later", "inside").alias("after_trip"))
-
-
-def tripped(events: DataFrame, failed: Column, path: str, limit: int = 5) -> DataFrame:
-    """State of all breakers after all that is there now; each batch makes the next version of the table from the last one."""
-    versions: list[str] = []
+    left = pushed.withWatermark("pushed_at", late)
+    right = polled.select(F.col("event_id").alias("polled_id"), "polled_at").withWatermark("polled_at", late)
+    met = (F.col("event_id") == F.col("polled_id")) & F.expr(f"polled_at >= pushed_at AND polled_at <= pushed_at + INTERVAL {within}")
+    return left.join(right, met, "left_outer").select("event_id", "pushed_at", "polled_at")
+
+
+def caught_up(subscribers: DataFrame, snapshot: DataFrame, newest: DataFrame, key: str) -> DataFrame:
+    """A stream of subscribers, each with the snapshot of its key and the newest rows, oldest first (null and empty where there are none).
+
+    snapshot has a row a key; newest (key, place, ...) the rows that a top-k by key has bounded. Both are read again for each batch.
+    """
+    rest = [c for c in newest.columns if c not in (key, "place")]
+    lists = newest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", *rest))).alias("rows"))
+    return subscribers.join(snapshot, key, "left").join(lists, key, "left").withColumn("rows", F.coalesce("rows", F.array().cast(lists.schema["rows"].dataType)))
 
-    def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(BREAKER).parquet(f"{path}/state/{n - 1}") if n else spark.createDataFrame([], BREAKER)
-        batch = batch.persist()
-        advanced(batch, before, limit).write.mode("overwrite").parquet(f"{path}/state/{n}")
-        batch.unpersist()
-        versions.append(f"{path}/state/{n}")
 
-    rows = events.select("user_id", "ts", "event_id", F.coalesce(failed, F.lit(False)).alias("failed"))
-    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    spark = events.sparkSession
-    return spark.read.schema(BREAKER).parquet(versions[-1]) if versions else spark.createDataFrame([], BREAKER)
+class Stopped(Exception):
+    """Raised on purpose, after a batch is written and before it counts as done."""
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that is there now, through to a table below path: append goes to files, other modes replace the table at each batch.
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None, confs: dict[str, str] | None = None, die_after: int | None = None) -> DataFrame:
+    """All that is there now, through to a table below path. Called again with the same path, it goes on from the checkpoint.
 
-    merge makes a batch's output of update mode what is stored.
+    Append mode without die_after goes to Spark's file sink. Otherwise each batch is a folder of its own, named by its number and
+    replaced as a whole, so a batch that is run again after a failure is not stored twice. Complete mode gives the last batch; update mode the
+    last row of each of the keys. die_after: the run fails behind the write of that batch, as if the driver had died there.
     """
     spark, checkpoint, out = stream.sparkSession, f"{path}/checkpoint", f"{path}/out"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda batch, n: (merge(batch) if merge else batch).withColumn("batch", F.lit(n)).write.mode("overwrite" if mode == "complete" else "append").parquet(out)).start()
-    query.awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows
+    schema = stream.schema
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if die_after is not None and n >= die_after:
+            raise Stopped(f"behind the write of batch {n}")
+
+    with state.settings(spark, {**state.ROCKS, **(confs or {})}):
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = writer.format("parquet").option("path", out).start() if mode == "append" and die_after is None and keys is None else writer.foreachBatch(step).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if die_after is None:
+                raise
+    if mode == "append" and die_after is None and keys is None:
+        return spark.read.parquet(out)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(out)
+    if mode == "complete":
+        return rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+    if mode == "append" or not keys:
+        return rows.drop("batch")
+    rest = [c for c in schema.names if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def by_batches(rows: DataFrame, path: str, order: str, files: int) -> str:
+    """rows as that many files or so, dealt out by ranges of the order column, as a folder that a stream reads a few at a time."""
+    rows.repartitionByRange(files, order).write.mode("overwrite").parquet(path)
+    return path
 
 
 def fresh(path: str) -> str:

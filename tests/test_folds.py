@@ -266,23 +266,3 @@ def test_promote_appears_at_once(spark, tmp_path):
         files.promote(rows, path)
     assert spark.read.parquet(path).count() == 3
     assert files.promote(rows.limit(0), str(tmp_path / "none")).count() == 0
-
-
-def test_breaker_over_several_batches(spark, tmp_path):
-    import datetime
-
-    from loomframe.streaming import events
-
-    r = random.Random(4)
-    at = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=d)
-    batches = [[(r.randrange(6), at(b * 1000 + r.randrange(600)), b * 1000 + i, r.random() < 0.3) for i in range(60)] for b in range(3)] + [[]]
-    state = spark.createDataFrame([], events.BREAKER)
-    want = {}
-    for rows in batches:
-        for key, ts, _, failed in sorted(rows, key=lambda x: (x[1], x[2])):
-            f, t, a = want.get(key, (0, None, 0))
-            f += failed
-            want[key] = (f, t or ts, a + 1) if f >= 5 else (f, None, a)
-        state = spark.createDataFrame(events.advanced(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, failed boolean"), state).collect(), events.BREAKER)
-        assert {x.user_id: (x.failures, x.tripped_at, x.after_trip) for x in state.collect()} == want
-    assert any(t for _, t, _ in want.values())
