@@ -37,7 +37,7 @@ MAGIC = b"LFRANS01"
 HEAD, SECTION_HEAD, TAIL = "<8sII", "<IIIIII", "<QI8s"
 END_ID = 2
 #: Bytes of text that one step of tokenizing takes, different pieces that a task remembers, ids of a file (it ends with a document) and of a reading task.
-STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 23, 600_000, 1 << 26, 1 << 22
+STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 23, 1_000_000, 1 << 26, 1 << 22
 #: Kinds of ASCII characters; others are 0.
 SPACE, LINE_END, PUNCTUATION, LETTER, DIGIT = 1, 2, 3, 4, 5
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -133,13 +133,17 @@ class Pieces:
         known = self.known
         new = [t for t in texts if t not in known]
         # A word behind a space, put behind a character that is none, is cut off again: such pieces are encoded as one text.
-        plain = [t[:1] == " " and t[-1].isascii() and t[-1].isalnum() and t[1:2].isalnum() for t in new]
-        one, rest = [list(compress(new, flags)) for flags in (plain, [not p for p in plain])]
+        column = pa.array(new, pa.string())
+        at, data, _ = buffers(column)
+        plain = np.diff(at) > 1
+        begins, ends = at[:-1][plain], at[1:][plain]
+        plain[plain] = (self.kind[data[begins]] == SPACE) & ((self.kind[data[begins + 1]] >= LETTER) | (data[begins + 1] == 0xC3)) & (self.kind[data[ends - 1]] >= LETTER)
+        one, rest = [list(compress(new, flags.tolist())) for flags in (plain, ~plain)]
+        sizes = np.diff(at)[plain]
         for lo in range(0, len(one), 10_000):
             part = one[lo : lo + 10_000]
             ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(t.encode()) for t in part])
-            self.learn(part, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
+            self.learn(part, ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[lo : lo + 10_000])) + 1)
         for lo in range(0, len(rest), 10_000):
             part = rest[lo : lo + 10_000]
             coded = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
@@ -160,52 +164,56 @@ def larger(x: np.ndarray, size: int) -> np.ndarray:
     return x if len(x) >= size else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(part, before, doc_id, n_tokens, ids) in ascending order of ids in parts, width bytes an id. before: ids of the part before the document.
+def tokenized(docs: DataFrame, tokenizer: str, size: int, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(part, before, doc_id, n_tokens, ids, counts) in ascending order of ids in parts, width bytes an id. before: ids of the part before the document.
 
-    Documents are dealt out by ranges of id, and of a hash of the text among equal ids, so that one id does not fill a part.
+    Behind a part's documents there is a row without ids; its counts say how often each id below size occurs in the part. Documents
+    are dealt out by ranges of id, and of a hash of the text among equal ids, so that one id does not fill a part.
     """
     spark = light(docs.sparkSession)
     # A worker keeps the tokenizer in its copy of the broadcast, so it is loaded once.
     shared, kind = spark.sparkContext.broadcast({"path": tokenizer}), f"<u{width}"
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["part", "before", "doc_id", "n_tokens", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
         coder = mine["coder"] = mine.get("coder") or Pieces(mine["path"])
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, counts = TaskContext.get().partitionId(), 0, np.zeros(size, np.int64)
         for batch in small(batches, 4_000):
             rows = batch.num_rows
             flat, n = coder.encode(batch.column(1))
             ends = np.cumsum(n + 1)
-            out = np.full(int(ends[-1]) if rows else 0, end_id, kind)
+            out = np.full(int(ends[-1]), end_id, kind)
             text = np.ones(len(out), bool)
             text[ends - 1] = False
             out[text] = flat
+            counts += np.bincount(out, minlength=size)
             starts = before + np.concatenate([[0], ends])
-            columns = [pa.array(np.full(rows, part, np.int32)), pa.array(starts[:-1]), batch.column(0), pa.array(n + 1), binaries(out, np.concatenate([[0], ends]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "doc_id", "n_tokens", "ids"])
+            columns = [pa.array(np.full(rows, part, np.int32)), pa.array(starts[:-1]), batch.column(0), pa.array(n + 1), binaries(out, np.concatenate([[0], ends])), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
             before = int(starts[-1])
+        last = (pa.int32(), part), (pa.int64(), before), (pa.int64(), None), (pa.int64(), 0), (pa.binary(), None), (pa.binary(), counts.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([value], kind) for kind, value in last], names=names)
 
     ranged = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return ranged.mapInArrow(run, "part int, before long, doc_id long, n_tokens long, ids binary")
+    return ranged.mapInArrow(run, "part int, before long, doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def counted(tokens: DataFrame, width: int, vocabulary: int) -> np.ndarray:
-    """How often each id occurs; the driver gets a number for each id of the vocabulary."""
+def counted(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id below size occurs, from the parts' counts; tasks sum theirs, and the driver gets a number for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(vocabulary, np.int64)
-        for batch in small(batches):
-            column = batch.column(0)
-            at, data, _ = buffers(column)
-            n += np.bincount(data[at[0] : at[-1]].view(f"<u{width}"), minlength=vocabulary)
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for counts in batch.column(0):
+                n += np.frombuffer(counts.as_buffer(), "<i8")
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids])], names=["id", "n"])
 
-    found = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(vocabulary, np.int64)
+    found = tokens.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
 
@@ -435,15 +443,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         raise ValueError(f"{path} holds token files already")
     size = max(Pieces(tokenizer).size, end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    tokens = written(tokenized(docs, tokenizer, end_id, width, id_col, text_col), codec="zstd")
-    table = rans.Table.of(counted(tokens, width, size))
+    tokens = written(tokenized(docs, tokenizer, size, end_id, width, id_col, text_col), codec="zstd")
+    table = rans.Table.of(counted(tokens, size))
     put(files, f"{folder}/_table", table.freq.astype("<u4").tobytes() + struct.pack("<I", table.crc))
     # One row for each part, of which there are as many as shuffle partitions.
     parts = sorted(map(tuple, tokens.groupBy("part").agg(F.sum("n_tokens")).collect()))
     before = np.concatenate([[0], np.cumsum([n for _, n in parts])])[:-1].tolist()
     offsets = F.broadcast(spark.createDataFrame([(p, b) for (p, _), b in zip(parts, before)], "part int, offset long"))
     spark.dataSource.register(RansTokens)
-    out = tokens.join(offsets, "part").select((F.col("offset") + F.col("before")).alias("first"), "doc_id", "ids")
+    out = tokens.filter("ids is not null").join(offsets, "part").select((F.col("offset") + F.col("before")).alias("first"), "doc_id", "ids")
     out.write.format("rans_tokens").options(width=width, lanes=lanes, section=section, fileIds=file_ids).mode("append").save(path)
     discard(tokens)
 
