@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,11 +61,43 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+@functools.cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without accents makes of a character, by rule from the Unicode tables: characters that become one
+    letter or digit, these, and those that become several (a space for anything else)."""
+    one, to, many = [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKD", c)
+        if plain == c and not "\u0300" <= c <= "\u036f":
+            continue
+        parts = "".join(x if x.isascii() and (x.islower() or x.isdigit()) else " " for x in plain if not "\u0300" <= x <= "\u036f")
+        if len(parts) == 1 and parts != " ":
+            one.append(c)
+            to.append(parts)
+        elif parts.strip():
+            many[c] = parts
+    return "".join(one), "".join(to), many
+
+
+#: Marks that go without a trace; translate drops what it has no answer for.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 def title_key(title: Column) -> Column:
-    """Lower case without accents, anything else than letters and digits as one space."""
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    low = F.translate(F.lower(title), accented, plain)
-    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+    """Lower case, compatibility decomposition (NFKD), no accents, anything else than a-z and 0-9 as one space.
+
+    Characters are replaced by tables made from the Unicode ones, so no letter that has a plain form is lost; the few that become several
+    letters (ligatures, units) are looked up one by one, in titles that have any. Lower case is Java's, for the whole of Unicode.
+    """
+    one, to, many = _decompositions()
+    low = F.lower(title)
+    names = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
+    # Most texts have nothing beyond Latin-1, where three fractions and no other letters become several.
+    wide = F.when(low.rlike("[" + "".join(many) + "]"), spelled).otherwise(low)
+    plain = F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(wide, one + MARKS, to)).otherwise(low)
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def last_sentences(text: Column, n: int = 2) -> Column:

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomframe.operators.joins import overlapping
+
 MIN_FRAME, HOLD = 3.0, 0.5
 #: Places, and then stretches of places, that one fold of a cut's moves takes.
 BLOCK = 1 << 14
+#: Rows of a page that meet as one bucket in a join by overlap.
+BUCKET = 64
 
 
 def smoothed(rows: DataFrame, key: str, order: str, flag: str, half: int = 2, above: float = 0.6) -> DataFrame:
@@ -47,8 +51,7 @@ def cut_points(bands: DataFrame, components: DataFrame, key: str, min_area: int
     lowers it takes min(cut, v), one that raises it max(cut, v); any run of them is max(least, min(most, cut)). So
     stretches of BLOCK places are folded apart, then BLOCK of these at a time, and then what is left of a band.
     """
-    c = components.filter(F.col("area") >= min_area).select(F.col(key).alias("_k"), "y1", "y2", "place")
-    touch = bands.join(c, (F.col(key) == F.col("_k")) & (F.col("y1") < F.col("hi")) & (F.col("y2") > F.col("lo")))
+    touch = overlapping(bands, components.filter(F.col("area") >= min_area).select(key, "y1", "y2", "place"), key, BUCKET)
     top, bottom = F.col("y1") - F.col("lo"), F.col("hi") - F.col("y2")
     up = (top > bottom) & (top > 4)
     most = F.when(up, F.col("lo") + F.greatest(F.lit(2), F.floor(top / 2)))
@@ -96,6 +99,22 @@ def previous_tail(rows: DataFrame, order: list[str], tail: Column, key: list[str
     return rows.withColumn("prev_tail", F.coalesce(F.last(own, ignorenulls=True).over(before), F.lit("")))
 
 
+def carried_tail(rows: DataFrame, job: str, chapter: str, order: list[str], tail: Column) -> DataFrame:
+    """rows with prev_tail: the tail of the last row before that has one, in the chapter or in those of the job before it, or an empty text.
+
+    Rows are put in order within chapters only. Of each chapter one row, its last tail, goes on to the job's chapters in order, and comes
+    back to the rows in front of which their own chapter has none.
+    """
+    own = F.when(tail != "", tail)
+    inside = Window.partitionBy(job, chapter).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_tail", own)
+    last = rows.groupBy(job, chapter).agg(F.max_by("_tail", F.when(F.col("_tail").isNotNull(), F.struct(*order))).alias("_last"))
+    before = Window.partitionBy(job).orderBy(chapter).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(job, chapter, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    found = rows.withColumn("_inside", F.last("_tail", ignorenulls=True).over(inside)).join(carried, [job, chapter], "left")
+    return found.withColumn("prev_tail", F.coalesce("_inside", "_carried", F.lit(""))).drop("_tail", "_inside", "_carried")
+
+
 def word_segments(words: Column, n: Column) -> Column:
     """Words in n texts: each takes a rounded (half to even) even share of the words left, one at least; the last takes the rest."""
 
@@ -109,13 +128,33 @@ def word_segments(words: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["out"]
 
 
+def stretches(rows: DataFrame, page: str, order: list[str], begins: Column | None = None, reach: Column | None = None, gap: Column | None = None) -> DataFrame:
+    """rows with _part: stretches of each page, in the order of its rows, between which no fold looks back.
+
+    A row begins one if begins holds, or if its order column is not below what the rows before reach to (the running maximum of reach),
+    and by more than gap if that is given. Rows pass by in order; none are gathered.
+    """
+    own = Window.partitionBy(page).orderBy(*order)
+    if reach is not None:
+        far = F.max(reach).over(own.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.col(order[0]) - far > gap if gap is not None else F.col(order[0]) >= far
+    first = F.coalesce(begins, F.lit(True)).cast("bigint")
+    return rows.withColumn("_part", F.sum(first).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def counted_before(parts: DataFrame, page: str, size: Column) -> Column:
+    """For a row for each stretch: the sum of size over the stretches of the page before it."""
+    before = Window.partitionBy(page).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(before), F.lit(0))
+
+
 def suppress_nested(boxes: DataFrame, page: str, share: float = 0.55) -> DataFrame:
     """Boxes by falling area, without those that lie by so much of their area in one kept before.
 
-    A greedy fold over each page's boxes; boxes: page, box, x, y, w, h.
+    A greedy fold over the boxes of each stretch that no box spans; boxes: page, box, x, y, w, h.
     """
     own = F.struct((-F.col("w") * F.col("h")).alias("order"), F.col("box"), F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    pages = boxes.groupBy(page).agg(F.array_sort(F.collect_list(own)).alias("all"))
+    pages = stretches(boxes, page, ["y", "box"], reach=F.col("y") + F.col("h")).groupBy(page, "_part").agg(F.array_sort(F.collect_list(own)).alias("all"))
 
     def inside(c: Column, k: Column) -> Column:
         w = F.greatest(F.lit(0), F.least(c["x"] + c["w"], k["x"] + k["w"]) - F.greatest(c["x"], k["x"]))
@@ -130,11 +169,12 @@ def suppress_nested(boxes: DataFrame, page: str, share: float = 0.55) -> DataFra
 def reading_order(boxes: DataFrame, page: str, overlap: float = 0.4) -> DataFrame:
     """boxes with place: rows of boxes that overlap in height (the rows' extent grows), from the top, each from the left.
 
-    A fold over each page's boxes by y, then box; a box joins the first row that it overlaps by more than the
-    share of the smaller height.
+    A fold over the boxes of each stretch that no box spans, by y, then box; a box joins the first row that it overlaps by more
+    than the share of the smaller height.
     """
     item = "struct<x:bigint,box:bigint>"
-    pages = boxes.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("y", "box", "x", "h"))).alias("all"))
+    parts = stretches(boxes, page, ["y", "box"], reach=F.col("y") + F.col("h"))
+    pages = parts.groupBy(page, "_part").agg(F.array_sort(F.collect_list(F.struct("y", "box", "x", "h"))).alias("all"))
 
     def fits(c: Column, r: Column) -> Column:
         least = F.least(c["h"], r["hi"] - r["lo"])
@@ -150,15 +190,19 @@ def reading_order(boxes: DataFrame, page: str, overlap: float = 0.4) -> DataFram
     rows = F.aggregate("all", F.array().cast(f"array<struct<lo:bigint,hi:bigint,items:array<{item}>>>"), step)
     by_top = F.array_sort(F.transform(rows, lambda r, i: F.struct(r["lo"].alias("lo"), i.alias("i"), r["items"].alias("items"))))
     flat = F.flatten(F.transform(by_top, lambda r: F.array_sort(r["items"])))
-    return pages.select(page, F.posexplode(flat).alias("pos", "b")).select(page, F.col("b.box").alias("box"), (F.col("pos") + 1).cast("bigint").alias("place"))
+    pages = pages.withColumn("_before", counted_before(pages, page, F.size("all")))
+    return pages.select(page, "_before", F.posexplode(flat).alias("pos", "b")).select(page, F.col("b.box").alias("box"), (F.col("_before") + F.col("pos") + 1).cast("bigint").alias("place"))
 
 
 def region_order(regions: DataFrame, page: str) -> DataFrame:
     """regions with line and place: lines gather regions around a running mean of y, within 0.4 of the mean height (10 at least).
 
-    A fold over each page's regions by y, then id; regions: page, box, x, y, h.
+    A fold over the regions of each stretch by y, then id; a region further than that below the one before begins a line, whatever
+    the mean, and so a stretch. regions: page, box, x, y, h.
     """
-    pages = regions.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("y", "box", "x", "h"))).alias("all"), F.greatest(F.avg("h") * 0.4, F.lit(10.0)).alias("tol"))
+    tol = F.greatest(F.avg("h").over(Window.partitionBy(page)) * 0.4, F.lit(10.0))
+    parts = stretches(regions.withColumn("_tol", tol), page, ["y", "box"], reach=F.col("y"), gap=F.col("_tol"))
+    pages = parts.groupBy(page, "_part").agg(F.array_sort(F.collect_list(F.struct("y", "box", "x", "h"))).alias("all"), F.first("_tol").alias("tol"))
     start = F.struct(F.lit(0).cast("bigint").alias("line"), F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<line:bigint,x:bigint,box:bigint>>").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
@@ -169,13 +213,20 @@ def region_order(regions: DataFrame, page: str) -> DataFrame:
             F.concat(s["out"], F.array(F.struct(line.alias("line"), c["x"].alias("x"), c["box"].alias("box")))).alias("out"),
         )
 
-    placed = pages.select(page, F.posexplode(F.array_sort(F.aggregate("all", start, step)["out"])).alias("pos", "b"))
-    return placed.select(page, F.col("b.box").alias("box"), F.col("b.line").alias("line"), (F.col("pos") + 1).cast("bigint").alias("place"))
+    pages = pages.select(page, "_part", F.array_sort(F.aggregate("all", start, step)["out"]).alias("out"))
+    lines = F.array_max(F.transform("out", lambda x: x["line"]))
+    pages = pages.withColumns({"_lines": counted_before(pages, page, lines), "_before": counted_before(pages, page, F.size("out"))})
+    placed = pages.select(page, "_lines", "_before", F.posexplode("out").alias("pos", "b"))
+    return placed.select(page, F.col("b.box").alias("box"), (F.col("_lines") + F.col("b.line")).alias("line"), (F.col("_before") + F.col("pos") + 1).cast("bigint").alias("place"))
 
 
 def merge_fragments(parts: DataFrame, key: str, below: int = 150, into: int = 200) -> DataFrame:
-    """Stretches [lo, hi) with small ones merged into the one before while that, as merged so far, is small too."""
-    pages = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("all"))
+    """Stretches [lo, hi) with small ones merged into the one before while that, as merged so far, is small too.
+
+    One that is not small is merged into none, so a fold begins at each of them.
+    """
+    cut = stretches(parts, key, ["lo", "hi"], begins=F.col("hi") - F.col("lo") >= below)
+    pages = cut.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("all"))
 
     def step(out: Column, c: Column) -> Column:
         last = F.element_at(out, -1)
@@ -188,7 +239,11 @@ def merge_fragments(parts: DataFrame, key: str, below: int = 150, into: int = 20
 
 
 def spaced(points: DataFrame, key: str, at: str, least: int) -> DataFrame:
-    """Points in order, each kept only if far enough from the one kept before."""
-    pages = points.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("all"))
+    """Points in order, each kept only if far enough from the one kept before.
+
+    One that is so far from the point before is kept, whatever was, so a fold begins there.
+    """
+    cut = stretches(points.filter(F.col(at).isNotNull()), key, [at], reach=F.col(at) + least)
+    pages = cut.groupBy(key, "_part").agg(F.array_sort(F.collect_list(at)).alias("all"))
     step = lambda out, c: F.when((F.size(out) == 0) | (c - F.try_element_at(out, F.lit(-1)) >= least), F.concat(out, F.array(c))).otherwise(out)
     return pages.select(key, F.explode(F.aggregate("all", F.array().cast("array<bigint>"), step)).alias(at))

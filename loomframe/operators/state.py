@@ -22,8 +22,10 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def snapshot(changes: DataFrame, keys: list[str], order: list[str], state: str = "state") -> DataFrame:
     """Current row of each key after full-row replaces, with attempts: changes to RUNNING or RETRYABLE so far."""
-    counted = changes.groupBy(*keys).agg(F.count_if(F.col(state).isin("RUNNING", "RETRYABLE")).alias("attempts"))
-    return latest(changes, keys, order).join(counted, keys)
+    rest = [c for c in changes.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    found = changes.groupBy(*keys).agg(last, F.count_if(F.col(state).isin("RUNNING", "RETRYABLE")).alias("attempts"))
+    return found.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "attempts")
 
 
 def reconcile(states: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,8 +53,8 @@ def transitions(rows: DataFrame, key: str, order: list[str], value: str, quiet:
     return rows.filter((F.col("before") != F.col(value)) | first)
 
 
-def stuck(rows: DataFrame, key: str, ts: str, state: Column, seconds: int) -> DataFrame:
-    """Rows of a state that nothing follows within so many seconds."""
-    following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
+def stuck(rows: DataFrame, key: str, ts: str, state: Column, seconds: int, now: Column) -> DataFrame:
+    """Rows of a state that nothing follows within so many seconds; gap is the time to the next row of the key, or to now where there is none."""
+    following = F.coalesce(F.lead(ts).over(Window.partitionBy(key).orderBy(ts)), now)
     gap = F.timestamp_diff("SECOND", F.col(ts), F.col("following"))
     return rows.withColumn("following", following).filter(state & (gap >= seconds)).withColumn("gap", gap)

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from loomframe.functions import exprs as X
 from loomframe.operators import search as R
+from loomframe.operators import places as N
 from loomframe.plans.base import query
 from loomframe.sources import adapters as V
 
@@ -222,6 +223,25 @@ def natural_sort_rank(spark, sf_dir):
     return rows.withColumn("place", F.row_number().over(W.partitionBy("s_nationkey").orderBy(X.natural_key(F.col("name")), "id")).cast("bigint")).drop("s_nationkey")
 
 
+@query(f"""WITH {V.CATALOG}, n AS (SELECT arrival, title, source, year, try_cast(nullif(regexp_extract(last_chapter, '^\\s*([0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS chapters FROM catalog)
+SELECT arrival, row_number() OVER (ORDER BY lower(title), arrival) AS by_title, row_number() OVER (ORDER BY lower(title) DESC, arrival) AS from_z, row_number() OVER (ORDER BY coalesce(year, 0) DESC, arrival) AS newest, row_number() OVER (ORDER BY coalesce(chapters, 0.0) DESC, arrival) AS longest FROM n""")
+def catalog_places(spark, sf_dir):
+    """Places of the whole catalog in the sort orders of its list; titles compare by the collation of the Unicode root, whatever their case."""
+    rows = V.catalog(spark, sf_dir).select("arrival", F.collate("title", "UNICODE_CI").alias("title"), F.coalesce("year", F.lit(0)).alias("year"), F.coalesce(X.leading_number(F.col("last_chapter")), F.lit(0.0)).alias("chapters"))
+    out = rows.select("arrival")
+    for name, column, key in (("by_title", "title", F.asc), ("from_z", "title", F.desc), ("newest", "year", F.desc), ("longest", "chapters", F.desc)):
+        out = out.join(N.numbered(rows.select("arrival", column), [key(column), F.col("arrival")], name).select("arrival", name), "arrival")
+    return out
+
+
+@query(f"WITH x AS (SELECT s_suppkey AS id, 'Page ' || s_suppkey || '.' || s_nationkey || CASE WHEN s_suppkey % 2 = 0 THEN '.JPG' ELSE '.jpg' END AS n FROM supplier) SELECT id, n AS name, row_number() OVER (ORDER BY {NATURAL}, id) AS place FROM x")
+def natural_places(spark, sf_dir):
+    """Places of all names in natural order."""
+    name = F.concat(F.lit("Page "), F.col("s_suppkey").cast("string"), F.lit("."), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".JPG").otherwise(".jpg"))
+    rows = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name"))
+    return N.numbered(rows, [X.natural_key(F.col("name")), F.col("id")])
+
+
 @query(f"WITH {V.JOBS} SELECT job_id, status, created_at FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 100")
 def top_recent_jobs(spark, sf_dir):
     return V.jobs(spark, sf_dir).orderBy(F.desc("created_at"), F.desc("job_id")).limit(100).select("job_id", "status", "created_at")

@@ -8,15 +8,30 @@ from loomframe.functions import exprs as X
 from loomframe.plans.base import query
 from loomframe.sources import adapters as V
 
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+KEY_SQL = "trim(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{ACCENTS}', '{PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query(f"SELECT doc_id, {KEY_SQL.format('text')} AS key FROM documents")
 def title_normalize(spark, sf_dir):
-    """Lower case, Latin accents by table, other characters as one space."""
+    """Lower case without accents, other characters as one space."""
     return V.table(spark, sf_dir, "documents").select("doc_id", X.title_key(F.col("text")).alias("key"))
 
 
+#: Letters of Latin-1, Latin Extended-A and the first half of Extended-B, one put behind each title, and the few that SQL's accents don't cover.
+LETTERS = "".join(map(chr, range(0xC0, 0x250)))
+COMPOUND = {"ĳ": "ij", "ŀ": "l ", "ŉ": " n", "ſ": "s", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz"}
+LETTER_SQL = "lower(p_name || ' x' || chr(CAST(192 + p_partkey % 400 AS INTEGER)) || 'y')"
+for letter, plain in COMPOUND.items():
+    LETTER_SQL = f"replace({LETTER_SQL}, '{letter}', '{plain}')"
+
+
+@query(f"SELECT p_partkey AS id, {KEY_SQL.format(LETTER_SQL)} AS key FROM part")
+def title_keys_latin(spark, sf_dir):
+    """Keys of titles with letters from all over the Latin blocks: none is lost that has a plain form."""
+    letter = F.substring(F.lit(LETTERS), (F.col("p_partkey") % 400 + 1).cast("int"), F.lit(1))
+    return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.title_key(F.concat("p_name", F.lit(" x"), letter, F.lit("y"))).alias("key"))
+
+
 @query("SELECT n_nationkey AS id, upper(n_name[1]) || lower(n_name[2:]) AS name, CASE WHEN length(CAST(n_nationkey * 77 AS VARCHAR)) >= 3 THEN CAST(n_nationkey * 77 AS VARCHAR) ELSE lpad(CAST(n_nationkey * 77 AS VARCHAR), 3, '0') END AS padded, coalesce(nullif(ltrim(lpad(CAST(n_nationkey AS VARCHAR), 4, '0'), '0'), ''), '0') AS unpadded FROM nation")
 def pad_and_case(spark, sf_dir):
     k = F.col("n_nationkey")

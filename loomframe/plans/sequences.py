@@ -39,8 +39,8 @@ k AS (SELECT page, row, row - row_number() OVER (PARTITION BY page ORDER BY row)
 bands AS (SELECT page, min(row) AS lo, max(row) + 1 AS hi FROM k GROUP BY page, grp HAVING count(*) >= 4)"""
 
 
-def bands(spark, sf_dir):
-    rows = V.signal(spark, sf_dir).withColumn("flag", F.col("n") <= 1)
+def bands(spark, sf_dir, found=None):
+    rows = V.signal(spark, sf_dir, found).withColumn("flag", F.col("n") <= 1)
     return S.runs(S.smoothed(rows, "page", "row", "flag"), "page", "row", "clear", 4)
 
 
@@ -64,14 +64,15 @@ def components(boxes, pages):
 @query(OVERLAP_SQL)
 def overlap_bands(spark, sf_dir):
     """Interval-overlap join of all bands and boxes, by buckets."""
-    parts = components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir))
-    return J.overlapping(bands(spark, sf_dir), parts, "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
+    found = V.extent(spark, sf_dir)
+    return J.overlapping(bands(spark, sf_dir, found), components(V.boxes(spark, sf_dir), found[0]), "page", 64).select("page", "lo", "hi", "place", "y1", "y2")
 
 
 @query(OVERLAP_SQL.replace("SELECT b.page, lo, hi, place, y1, y2", "SELECT b.page, lo, count(*) AS boxes, CAST(sum(least(hi, y2) - greatest(lo, y1)) AS BIGINT) AS covered") + " GROUP BY 1, 2")
 def overlap_bands_whole(spark, sf_dir):
     """How many boxes reach into each band, and by how many rows in all."""
-    rows = J.overlapping(bands(spark, sf_dir), components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir)), "page", 64)
+    found = V.extent(spark, sf_dir)
+    rows = J.overlapping(bands(spark, sf_dir, found), components(V.boxes(spark, sf_dir), found[0]), "page", 64)
     return rows.groupBy("page", "lo").agg(F.count("*").alias("boxes"), F.sum(F.least("hi", "y2") - F.greatest("lo", "y1")).alias("covered"))
 
 
@@ -81,15 +82,17 @@ r AS (SELECT page, lo, hi, list_reduce(moves, lambda s, c: {{'least': greatest(C
 SELECT b.page, b.lo, b.hi, greatest(least((b.lo + b.hi) // 2, f.most), f.least) AS cut FROM bands b LEFT JOIN r USING (page, lo, hi)""")
 def band_cuts(spark, sf_dir):
     """Cut of each band, moved by the components that reach into it, one after the other."""
-    return S.cut_points(bands(spark, sf_dir), components(V.boxes(spark, sf_dir), V.pages_of(spark, sf_dir)), "page")
+    found = V.extent(spark, sf_dir)
+    return S.cut_points(bands(spark, sf_dir, found), components(V.boxes(spark, sf_dir), found[0]), "page")
 
 
 @query(f"""WITH {FLAG_SQL}, b AS (SELECT page, (lo + hi) // 2 AS cut FROM bands UNION ALL SELECT DISTINCT page, 0 FROM signal UNION ALL SELECT page, max(row) + 1 FROM signal GROUP BY 1),
 l AS (SELECT page, cut AS lo, lead(cut) OVER (PARTITION BY page ORDER BY cut) AS hi FROM b) SELECT page, lo, hi FROM l WHERE hi - lo >= 10""")
 def cut_boundaries(spark, sf_dir):
     """Consecutive cuts as stretches, with the page's ends."""
-    cuts = bands(spark, sf_dir).select("page", F.floor((F.col("lo") + F.col("hi")) / 2).alias("cut"))
-    ends = V.signal(spark, sf_dir).groupBy("page").agg((F.max("row") + 1).alias("end"))
+    found = V.extent(spark, sf_dir)
+    cuts = bands(spark, sf_dir, found).select("page", F.floor((F.col("lo") + F.col("hi")) / 2).alias("cut"))
+    ends = V.signal(spark, sf_dir, found).groupBy("page").agg((F.max("row") + 1).alias("end"))
     ends = ends.select("page", F.explode(F.array(F.lit(0).cast("bigint"), F.col("end"))).alias("cut"))
     hi = F.lead("cut").over(W.partitionBy("page").orderBy("cut"))
     return cuts.union(ends).select("page", F.col("cut").alias("lo"), hi.alias("hi")).filter("hi - lo >= 10")
@@ -125,6 +128,18 @@ def prev_tail(spark, sf_dir):
     return S.previous_tail(V.turns(spark, sf_dir), ["pos"], last_sentences(F.col("text")), ["chapter"]).select("chapter", "pos", "prev_tail")
 
 
+#: Seven conversations make a job; every third turn of every other chapter has no narration, and some chapters have none at all.
+CARRIED_SQL = f"""t AS (SELECT chapter // 7 AS job, chapter, pos, CASE WHEN chapter % 5 <> 0 AND (pos % 3 > 0 OR chapter % 2 = 0) THEN nullif({TAIL_SQL}, '') END AS tail FROM turns)"""
+
+
+@query(f"""WITH {V.TURNS}, {CARRIED_SQL} SELECT chapter, pos, coalesce(last_value(tail IGNORE NULLS) OVER (PARTITION BY job ORDER BY chapter, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prev_tail FROM t""")
+def prev_tail_across(spark, sf_dir):
+    """The last two sentences of what came before, in the chapter or in those of the job before it."""
+    rows = V.turns(spark, sf_dir).withColumn("job", F.floor(F.col("chapter") / 7))
+    told = (F.col("chapter") % 5 != 0) & ((F.col("pos") % 3 > 0) | (F.col("chapter") % 2 == 0))
+    return S.carried_tail(rows, "job", "chapter", ["pos"], F.when(told, last_sentences(F.col("text")))).select("chapter", "pos", "prev_tail")
+
+
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, 2 + doc_id % 7 AS n, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL),
 f AS (SELECT doc_id, CAST(-1 AS BIGINT) AS part, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS size FROM d
   UNION ALL SELECT doc_id, part + 1, least(len(words), done + size), CASE WHEN part + 2 = n THEN len(words) - least(len(words), done + size) ELSE greatest(1, CAST(round_even((len(words) - least(len(words), done + size)) / (n - part - 1), 0) AS BIGINT)) END FROM f JOIN d USING (doc_id) WHERE part + 1 < n)
@@ -280,10 +295,11 @@ def attempts_snapshot(spark, sf_dir):
     return T.snapshot(changes(spark, sf_dir), ["job_id", "stage"], ["ts", "log_id"])
 
 
-@query(f"""WITH {V.LOGS}, s AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS following FROM logs)
+@query(f"""WITH {V.LOGS}, s AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY job_id ORDER BY ts), (SELECT max(ts) FROM logs)) AS following FROM logs)
 SELECT log_id, job_id, date_diff('microsecond', ts, following) // 1000000 AS gap FROM s WHERE stage = 'view' AND date_diff('microsecond', ts, following) // 1000000 >= 30""")
 def stuck_gap(spark, sf_dir):
-    return T.stuck(V.logs(spark, sf_dir), "job_id", "ts", F.col("stage") == "view", 30).select("log_id", "job_id", "gap")
+    logs = V.logs(spark, sf_dir)
+    return T.stuck(logs, "job_id", "ts", F.col("stage") == "view", 30, logs.agg(F.max("ts")).scalar()).select("log_id", "job_id", "gap")
 
 
 @query(f"""WITH {V.LOGS}, s AS (SELECT *, lag(stage) OVER (PARTITION BY job_id ORDER BY ts) AS before FROM logs) SELECT log_id, job_id, before, stage FROM s WHERE before <> stage OR (before IS NULL AND stage <> 'view')""")

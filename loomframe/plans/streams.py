@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.operators import joins as J
+from loomframe.operators.state import snapshot
 from loomframe.plans.base import query
 from loomframe.plans.extraction import scratch
 from loomframe.sources import adapters as V
@@ -86,7 +87,7 @@ def stream_attempts(spark, sf_dir):
     rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % 5 + 1).cast("int"))
     changes = rows.select("user_id", "event_type", state.alias("state"), F.col("ts").alias("last_at"), "event_id")
-    found = S.attempts(changes, ["user_id", "event_type"], ["last_at", "event_id"]).drop("event_id")
+    found = snapshot(changes, ["user_id", "event_type"], ["last_at", "event_id"]).drop("event_id")
     S.run_to_table(found, path, "update", keys=["user_id", "event_type"], die_after=1)
     return S.run_to_table(found, path, "update", keys=["user_id", "event_type"])
 

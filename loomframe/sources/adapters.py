@@ -124,27 +124,27 @@ BOXES = """boxes AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY
   l_partkey % 100 AS x, l_suppkey % 100 AS y, CAST(1 + l_quantity AS BIGINT) AS w, CAST(1 + l_linenumber * 7 AS BIGINT) AS h FROM lineitem)"""
 
 
-def pages_of(spark: SparkSession, sf_dir: str) -> int:
-    """Number of pages of the row signal: it grows with the users, so that a page's rows do not."""
-    users = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
-    return max(10, ((users or 0) + 1) // 15)
+def extent(spark: SparkSession, sf_dir: str) -> tuple[int, object, int]:
+    """Of the row signal: its pages, whose number grows with the users, so that a page's rows do not; its first hour; its last row."""
+    users, first, last = table(spark, sf_dir, "events").agg(F.max("user_id"), F.date_trunc("hour", F.min("ts")).alias("first"), F.max("ts")).first()
+    rows = 0 if first is None else int((last - first).total_seconds() // 3600)
+    return max(10, ((users or 0) + 1) // 15), first, rows
 
 
-PAGES = "pages_of AS (SELECT greatest(10, (max(user_id) + 1) // 15) AS pages FROM events)"
+PAGES = "pages_of AS (SELECT greatest(10, (max(user_id) + 1) // 15) AS pages, date_trunc('hour', min(ts)) AS first FROM events)"
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of pages: events by hour, on a dense grid from the first day to the last hour that any event has."""
-    hours = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % pages_of(spark, sf_dir)).alias("page"), F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp"), F.col("ts").cast("timestamp")) / 3600).alias("row"), "value"
-    )
+def signal(spark: SparkSession, sf_dir: str, found: tuple | None = None) -> DataFrame:
+    """Rows of pages: events by hour, on a dense grid from the first hour to the last that any event has. found: extent(), where it is known."""
+    pages, first, last = found or extent(spark, sf_dir)
+    row = F.floor(F.timestamp_diff("SECOND", F.lit(first).cast("timestamp"), F.col("ts").cast("timestamp")) / 3600)
+    hours = table(spark, sf_dir, "events").select((F.col("user_id") % pages).alias("page"), row.alias("row"), "value")
     counts = hours.groupBy("page", "row").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("mass"))
-    last = hours.agg(F.max("row")).first()[0] or 0
-    grid = spark.range(pages_of(spark, sf_dir)).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("row"))
+    grid = spark.range(pages).select(F.col("id").alias("page"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("row"))
     return grid.join(counts, ["page", "row"], "left").select("page", "row", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("mass", F.lit(0.0)).alias("mass"))
 
 
-SIGNAL = PAGES + """, hours AS (SELECT user_id % (SELECT pages FROM pages_of) AS page, CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) / 3600) AS BIGINT) AS row, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mass FROM events GROUP BY 1, 2),
+SIGNAL = PAGES + """, hours AS (SELECT user_id % (SELECT pages FROM pages_of) AS page, CAST(floor(date_diff('second', (SELECT first FROM pages_of), date_trunc('second', ts)) / 3600) AS BIGINT) AS row, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(18,4))), 4) AS DOUBLE) AS mass FROM events GROUP BY 1, 2),
 ends AS (SELECT max(row) AS last FROM hours),
 signal AS (SELECT g.page, g.row, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce(c.mass, 0.0) AS mass
   FROM (SELECT page, unnest(range((SELECT last FROM ends) + 1)) AS row FROM (SELECT unnest(range((SELECT pages FROM pages_of))) AS page)) g LEFT JOIN hours c ON g.page = c.page AND g.row = c.row)"""

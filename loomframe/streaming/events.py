@@ -36,14 +36,6 @@ def deduplicated(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def attempts(changes: DataFrame, keys: list[str], order: list[str], state: str = "state") -> DataFrame:
-    """Current row of each key after full-row replaces, with its attempts, as operators.state.snapshot: sums that Spark keeps by key."""
-    rest = [c for c in changes.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    found = changes.groupBy(*keys).agg(last, F.count_if(F.col(state).isin("RUNNING", "RETRYABLE")).alias("attempts"))
-    return found.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "attempts")
-
-
 def unpolled(pushed: DataFrame, polled: DataFrame, within: str, late: str = LATE) -> DataFrame:
     """(event_id, pushed_at, polled_at): each event pushed, with the time a poll brought it too, if one did within so long; else null.
 

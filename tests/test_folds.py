@@ -157,7 +157,7 @@ def test_bands_meet_the_boxes_of_all_pages(spark, block, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", block)
     monkeypatch.setattr(P, "bands", lambda *_: spark.createDataFrame(bands, "page long, lo long, hi long"))
     monkeypatch.setattr(P.V, "boxes", lambda *_: spark.createDataFrame(boxes, "page long, box long, w long, h long"))
-    monkeypatch.setattr(P.V, "pages_of", lambda *_: 10)
+    monkeypatch.setattr(P.V, "extent", lambda *_: (10, None, 0))
     parts = [(page % 10, y := (page * 13 + b * 29) % 700, y + h, w * h, page * 1000 + b) for page, b, w, h in boxes]
     want = sorted((p, lo, hi, place, y1, y2) for p, lo, hi in bands for q, y1, y2, _, place in parts if p == q and y1 < hi and y2 > lo)
     assert any(x[3] > 2001000 for x in want)
