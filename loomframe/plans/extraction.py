@@ -124,6 +124,15 @@ def csv_round_trip(spark, sf_dir):
     return S.csv_round_trip(V.jobs(spark, sf_dir).select("job_id", "status", note.alias("note"), "total_images"), scratch(spark))
 
 
+@query(f"WITH {V.JOBS} SELECT job_id, status || ', \"' || voice || '\"' AS note, total_images FROM jobs")
+def csv_with_mark(spark, sf_dir):
+    """CSV export whose files begin with a byte-order mark, read back."""
+    note = F.concat("status", F.lit(', "'), "voice", F.lit('"'))
+    rows, path = V.jobs(spark, sf_dir).select("job_id", note.alias("note"), "total_images"), scratch(spark)
+    S.csv_export(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, quote='"', escape='"')
+
+
 @query(f"WITH {V.TURNS} SELECT chapter, 'p' || pos || '.jpg' AS image, arg_max(text, pos) AS text FROM turns GROUP BY 1, 2")
 def narration_json(spark, sf_dir):
     """Narration files written per chapter, read back and checked item by item; of equal images the last wins."""

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomframe.functions.exprs import title_key
+from loomframe.functions.exprs import ACTIVE
 from loomframe.operators import joins as J
 from loomframe.operators import state as T
 from loomframe.plans.base import query
+from loomframe.plans.extraction import scratch
 from loomframe.plans.sequences import STATE_SQL, changes
 from loomframe.sources import adapters as V
+from loomframe.sources.files import json_list
+from loomframe.sources.tables import StoredTable
 
 W = Window
 
@@ -192,6 +196,36 @@ def settings_upsert(spark, sf_dir):
     return rows.filter("id % 2 = 0").join(new, "id", "left_anti").union(new)
 
 
+@query("SELECT coalesce(n.id, o.id) AS id, coalesce(n.value, o.value) AS value FROM (SELECT c_custkey AS id, c_mktsegment AS value FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey AS id, 'new' AS value FROM customer WHERE c_custkey % 3 = 0) n ON n.id = o.id")
+def settings_stored(spark, sf_dir):
+    """A stored table, seeded once and upserted: the second seed finds rows and does nothing."""
+    rows = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("value"))
+    table = StoredTable(spark, scratch(spark), rows.schema, "id")
+    table.seed(rows.filter("id % 2 = 0"))
+    table.seed(rows)
+    table.upsert(rows.filter("id % 3 = 0").select("id", F.lit("new").alias("value")))
+    return table.rows()
+
+
+@query(f"WITH {V.JOBS} SELECT job_id, CASE WHEN status IN ({', '.join(repr(s) for s in ACTIVE)}) AND job_id % 3 = 0 THEN 'cancelled' ELSE status END AS status, CASE WHEN status IN ({', '.join(repr(s) for s in ACTIVE)}) AND job_id % 3 = 0 THEN 0 ELSE total_images END AS total_images FROM jobs")
+def bulk_update_stored(spark, sf_dir):
+    """Stored rows changed by a predicate."""
+    jobs = V.jobs(spark, sf_dir).select("job_id", "status", "total_images")
+    table = StoredTable(spark, scratch(spark), jobs.schema, "job_id")
+    table.seed(jobs)
+    table.update(F.col("status").isin(*ACTIVE) & (F.col("job_id") % 3 == 0), status=F.lit("cancelled"), total_images=F.lit(0).cast("bigint"))
+    return table.rows()
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || ',b' WHEN 1 THEN event_type ELSE '' END AS items, CAST(CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n FROM events")
+def stored_lists(spark, sf_dir):
+    """Lists kept as JSON text: empty where the text is missing, malformed, or no list."""
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    text = F.when(k == 0, F.to_json(F.array(kind, F.lit("b")))).when(k == 1, F.to_json(F.array(kind))).when(k == 2, F.lit('["cut')).when(k == 3, F.col("props"))
+    items = json_list(text, "string")
+    return V.table(spark, sf_dir, "events").select("event_id", F.array_join(items, ",").alias("items"), F.size(items).alias("n"))
+
+
 @query(f"WITH {V.JOBS}, {V.CHAPTERS} SELECT job_id FROM jobs WHERE status = 'done' INTERSECT SELECT job_id FROM chapters WHERE rendered")
 def finished_and_rendered(spark, sf_dir):
     """Jobs in both of two sets."""

@@ -19,6 +19,19 @@ def payload_union(spark, sf_dir):
     return P.every_source(V.landed(spark, sf_dir))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, (['mh', 'ff', 'wt', 'as', 'md', 'mp', 'tl', 'mal', 'al', 'al'])[p_partkey % 10 + 1] AS source, p_partkey % 10 = 9 AS broken, p_partkey % 10 AS shape FROM part)
+SELECT source, count(*) AS payloads, CAST(sum(CASE WHEN broken THEN 0 WHEN shape IN (0, 1, 2, 5) THEN 2 ELSE 1 END) AS BIGINT) AS items, count(*) FILTER (broken) AS broken, CAST(0 AS BIGINT) AS without_items, CASE WHEN bool_or(broken) THEN '{"media": broken' END AS sample FROM p GROUP BY 1""")
+def payload_failures(spark, sf_dir):
+    """What each source's payloads gave, how many could not be read, and one of these."""
+    return P.failures(V.landed(spark, sf_dir))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, (['suggestive', 'pornographic', 'safe', 'erotica', 'safe', 'suggestive'])[p_partkey // 10 % 6 + 1] AS rating FROM part WHERE p_partkey % 10 = 7")
+def rating_classes(spark, sf_dir):
+    """Audience ratings of one source as classes."""
+    return P.every_source(V.landed(spark, sf_dir).filter("source = 'mal'"), "rating").select("id", "rating")
+
+
 @query(r"""WITH h AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS l FROM pages), f AS (SELECT page_id, value, min(i) AS first_at FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS value, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages) GROUP BY 1, 2)
 SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY first_at DESC) AS chapter, coalesce(nullif(ltrim(regexp_extract(value, '([0-9]+)', 1), '0'), ''), '0') AS number FROM f""")
 def chapter_list_extract(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.functions import exprs as X
+from loomframe.functions import sql as Q
 from loomframe.plans.base import query
 from loomframe.sources import adapters as V
 
@@ -139,3 +140,31 @@ def priority_failover(spark, sf_dir):
     place = F.array_position(F.array(*map(F.lit, ["purchase", "click", "view"])), F.col("stage"))
     rows = V.logs(spark, sf_dir).withColumn("place", place)
     return rows.groupBy("job_id").agg(F.min(F.when(F.col("place") > 0, F.col("place"))).cast("int").alias("best"), F.min_by("stage", F.struct(F.when(F.col("place") > 0, F.col("place")).otherwise(99), "ts")).alias("primary_stage"))
+
+
+@query("""WITH p AS (SELECT event_id, value / 10 AS dur, 5.0 + event_id % 3 AS expected, event_id % 5 > 0 AS video, event_id % 7 > 0 AS audio, CAST(floor(value * 40) AS BIGINT) AS s, event_type FROM events)
+SELECT event_id, CASE WHEN NOT video THEN 'no video stream' WHEN NOT audio THEN 'no audio stream' WHEN abs(dur - expected) > 2.0 THEN 'duration differs' ELSE '' END AS reason,
+  CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock,
+  CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN event_type || ' items' ELSE event_type || '!' END AS shown FROM p""")
+def sql_functions(spark, sf_dir):
+    """Checks and formats as SQL functions, one replaced by a user's own."""
+    own = {"lf_shown(value STRING, format STRING)": ("STRING", "CASE format WHEN 'upper' THEN upper(value) WHEN 'count' THEN concat(value, ' items') ELSE concat(value, '!') END")}
+    Q.register(spark, scalars=own)
+    return spark.sql(
+        """SELECT event_id, lf_media_check(value / 10, 5.0D + event_id % 3, event_id % 5 > 0, event_id % 7 > 0) AS reason, lf_clock(CAST(floor(value * 40) AS BIGINT)) AS clock,
+        lf_shown(event_type, CASE event_id % 3 WHEN 0 THEN 'upper' WHEN 1 THEN 'count' ELSE 'pct' END) AS shown FROM {events}""",
+        events=V.table(spark, sf_dir, "events"),
+    )
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars, regexp_extract_all(text, '[0-9]+') AS m FROM documents)
+SELECT doc_id, 'match' AS kind, CAST(i AS BIGINT) AS place, m[i] AS value FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM d)
+UNION ALL SELECT doc_id, 'window', i * 1000, CAST(least(n_chars, (i + 1) * 1000) AS VARCHAR) FROM (SELECT *, unnest(range(greatest(0, (n_chars - 1) // 1000) + 1)) AS i FROM d WHERE n_chars > 0)""")
+def sql_table_functions(spark, sf_dir):
+    """Table functions, joined laterally: all matches of a pattern, and stretches of a length."""
+    Q.register(spark)
+    return spark.sql(
+        """SELECT doc_id, 'match' AS kind, CAST(place AS BIGINT) AS place, value FROM {docs}, LATERAL lf_matches(text, '[0-9]+')
+        UNION ALL SELECT doc_id, 'window', lo, CAST(hi AS STRING) FROM {docs}, LATERAL lf_windows(n_chars, 1000)""",
+        docs=V.table(spark, sf_dir, "documents"),
+    )

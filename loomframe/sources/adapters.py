@@ -150,6 +150,9 @@ signal AS (SELECT g.page, g.row, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce
   FROM (SELECT page, unnest(range((SELECT last FROM ends) + 1)) AS row FROM (SELECT unnest(range((SELECT pages FROM pages_of))) AS page)) g LEFT JOIN hours c ON g.page = c.page AND g.row = c.row)"""
 
 
+RATINGS = ["R - 17+ (violence)", "Rx - Hentai", "PG-13 - Teens", "Erotica 17", "", "For Mature readers"]
+
+
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed search payload of each part, in the shape of one of nine sources; every tenth is broken JSON."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -166,7 +169,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.map_from_entries(F.when(k % 20 == 4, F.array(entry("ko", F.lit("K")), entry("en", name))).otherwise(F.array(entry("fr", F.concat(F.lit("fr "), name)))))
     related = F.array(F.struct(F.lit("author").alias("type"), F.lit(None).cast("string").alias("file")), F.struct(F.lit("cover_art").alias("type"), F.concat(key, F.lit(".jpg")).alias("file")))
     localized = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("d"), key).alias("id"), F.struct(title.alias("title"), F.col("p_size").alias("year"), F.array(F.col("p_type"), F.lit(None).cast("string")).alias("tags")).alias("attributes"), related.alias("relationships"))).alias("data")))
-    lists = F.to_json(F.struct(F.array(F.struct(k.alias("mal_id"), name.alias("title"), (F.col("p_size") + 1990).alias("year"), named(F.col("p_type")).alias("genres"), named(F.col("p_brand")).alias("themes"), F.array().cast("array<struct<name:string>>").alias("demographics"))).alias("data")))
+    lists = F.to_json(F.struct(F.array(F.struct(k.alias("mal_id"), name.alias("title"), (F.col("p_size") + 1990).alias("year"), named(F.col("p_type")).alias("genres"), named(F.col("p_brand")).alias("themes"), F.array().cast("array<struct<name:string>>").alias("demographics"), pick(RATINGS, F.floor(k / 10) % 6).alias("rating"))).alias("data")))
     graph = F.to_json(F.struct(F.array(F.struct(k.alias("id"), F.struct(F.when(k % 20 == 8, "").otherwise(name).alias("english"), F.concat(F.lit("R "), name).alias("romaji")).alias("title"), F.lit("JP").alias("country"), text("<p>A &amp; %s</p>", name).alias("description"), F.lit("FINISHED").alias("status"))).alias("media")))
     body = F.element_at(F.array(slugs, slugs, numbered, flat, localized, titled, theme, lists, graph, F.lit('{"media": broken')), (k % 10 + 1).cast("int"))
     return table(spark, sf_dir, "part").select(k.alias("payload_id"), pick(["mh", "ff", "wt", "as", "md", "mp", "tl", "mal", "al", "al"], k % 10).alias("source"), body.alias("body"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,15 +71,15 @@ def frames(listing: DataFrame) -> DataFrame:
 def promote(rows: DataFrame, path: str) -> DataFrame:
     """rows as a table that appears at a path at once: written beside it, checked by count and digest, then renamed.
 
-    The digest does not depend on order: sums of two 64-bit hashes of whole rows. A table that is there already, or one that does not
-    read back as it was, is an error, and nothing appears.
+    The digest does not depend on order: sums of two 64-bit hashes of whole rows, taken from the rows as they are written. A table that is there
+    already, or one that does not read back as it was, is an error, and nothing appears.
     """
-    spark = rows.sparkSession
-    figures = lambda df: df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), *df.columns).cast("decimal(20,0)")) for seed in (1, 2)]).first()
-    beside = f"{path}.{uuid.uuid4().hex}"
-    rows.write.parquet(beside)
-    found = spark.read.schema(rows.schema).parquet(beside)
-    if tuple(figures(found)) != tuple(figures(rows)):
+    spark, names = rows.sparkSession, rows.columns
+    figures = lambda: [F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(seed), *names).cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]]
+    beside, seen = f"{path}.{uuid.uuid4().hex}", Observation()
+    rows.observe(seen, *figures()).write.parquet(beside)
+    found = spark.read.schema(rows.schema).parquet(beside).agg(*figures()).first()
+    if found.asDict() != seen.get:
         raise ValueError(f"{beside} does not hold what was written")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -123,6 +123,18 @@ def csv_round_trip(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
+def csv_export(rows: DataFrame, path: str) -> None:
+    """rows as CSV with a header and doubled quotes; each file begins with a byte-order mark, which spreadsheets ask for."""
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, f"\ufeff{first}").write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def json_list(text: Column, item: str) -> Column:
+    """The items of a list kept as JSON text; an empty list where it is missing, no list or malformed."""
+    none = F.array().cast(f"array<{item}>")
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", f"array<{item}>"), none)
+
+
 def quarantine(rows: DataFrame, good: Column, path: str) -> None:
     """rows in a table partitioned by whether they pass; an unknown answer does not pass."""
     rows.withColumn("accepted", F.coalesce(good, F.lit(False))).write.partitionBy("accepted").parquet(path)
