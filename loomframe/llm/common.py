@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return path.rstrip("/")
@@ -156,9 +156,12 @@ class Hasher:
 
 
 def steps(texts: list[bytes | None]):
-    """(first, last) index ranges of texts that together hold about STEP_BYTES."""
+    """(first, last) index ranges of texts that together hold about STEP_BYTES; a longer text is alone."""
     begin = size = 0
     for i, t in enumerate(texts):
+        if begin < i and len(t or b"") >= STEP_BYTES:
+            yield begin, i
+            begin, size = i, 0
         size += len(t or b"") + 1
         if size >= STEP_BYTES:
             yield begin, i + 1

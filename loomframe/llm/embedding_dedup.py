@@ -47,7 +47,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing, nor do
     vectors of different lengths. Rows with a null id link with nothing and have a null component. Rows that repeat an id and
     a vector are separate vectors. An empty table gives an empty one. Columns of vectors with the names of the added ones are
-    replaced.
+    replaced. Cosines are compared as doubles; equal ones are alike, and a vector that is as near to two centroids is at home with the first.
     """
     spark = vectors.sparkSession
     vectors = free_of(vectors, "n_links", "component_id", "kept")
@@ -62,14 +62,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     distinct = good.groupBy(F.col(label_col).alias("label"), F.col(key).alias("h"), F.col(vec).alias("v")).agg(F.count("*").alias("copies"), F.min(F.col(id_col).cast("long")).alias("rep"))
     distinct = written(distinct.withColumn("g", F.xxhash64("label", F.size("v"))))
 
-    # One small row per label, and a bounded sample for the centroids.
-    sizes = {r["g"]: r["n"] for r in distinct.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    share = FIT_VECTORS / max(1, sum(sizes.values()))
-    sample = distinct.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("g", "v", "h")
+    # Labels of more than a cell's vectors get centroids, from a bounded sample; all others are one cell, and the driver does not see them.
+    large = distinct.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
+    share = FIT_VECTORS / max(1, large.agg(F.sum("n")).first()[0] or 0)
+    sample = distinct.filter(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).join(large, "g").select("g", "v", "h", "n")
     by: dict[int, list] = {}
     for r in sorted(sample.collect(), key=lambda r: r["h"]):
-        by.setdefault(r["g"], []).append(r["v"])
-    means = {g: centroids(unit(np.array(v)), max(1, min(MAX_CELLS, len(v), round(sizes[g] / CELL)))) for g, v in by.items()}
+        by.setdefault(r["g"], []).append(r)
+    means = {g: centroids(unit(np.array([r["v"] for r in rs])), max(1, min(MAX_CELLS, len(rs), round(rs[0]["n"] / CELL)))) for g, rs in by.items()}
     shared = spark.sparkContext.broadcast(means)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 

@@ -23,19 +23,19 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Characters of text that one numpy step takes; a longer single text is taken in stretches.
 STEP_CHARS = 1 << 18
-_LETTERS: list[np.ndarray] = []
+#: Characters behind the place where the longest n-gram begins.
+TAIL = max(ORDERS) - 1
 
 
 def letters() -> np.ndarray:
-    """The small letter of each code point that is a letter or a mark on one (categories L and M), a space for any other; made once in each worker."""
-    if not _LETTERS:
-        table = np.full(0x110000, 32, np.uint32)
-        for i in range(0x110000):
-            c = chr(i)
-            if unicodedata.category(c)[0] in "LM":
-                table[i] = ord(low) if len(low := c.lower()) == 1 else i
-        _LETTERS.append(table)
-    return _LETTERS[0]
+    """The small letter of each code point that is a letter or a mark on one (categories L and M), a space for any other: 4.4 MB, made once and
+    part of the model."""
+    table = np.full(0x110000, 32, np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if unicodedata.category(c)[0] in "LM":
+            table[i] = ord(low) if len(low := c.lower()) == 1 else i
+    return table
 
 
 def has_letter(text: str) -> bool:
@@ -43,17 +43,13 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:200])) or any(map(str.isalpha, text[200:]))
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bucket of the n-gram of characters that begins at each place (one array per order; BUCKETS where it would leave its text or has no letter), and where each
-    text begins.
-
-    Letters are small, all other characters count as spaces, and spaces stand around a text.
-    """
-    tail = max(ORDERS) - 1
-    joined = "".join(f" {t}{' ' * tail}" for t in texts) + " " * tail
-    buf = letters()[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
-    at = np.cumsum([0] + [len(t) + 1 + tail for t in texts])
-    beyond = np.concatenate([at[1:] - k for k in range(1, tail + 1)])
+def grams(parts: list[str], table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bucket of the n-gram of characters that begins at each place (one array per order; BUCKETS where it begins in a part's last TAIL characters or has no letter),
+    and where each part begins. Letters are small, all other characters count as spaces."""
+    joined = "".join(parts) + " " * TAIL
+    buf = table[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+    at = np.cumsum([0] + [len(t) for t in parts])
+    beyond = np.concatenate([at[1:] - k for k in range(1, TAIL + 1)])
     size, out = at[-1], []
     key, blank = np.zeros(size, np.uint32), np.ones(size, bool)
     for i, n in enumerate(ORDERS):
@@ -68,11 +64,13 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
-    """Lists of (number of the text, text or a stretch of it) of about STEP_CHARS; n-grams across a cut are left out."""
+    """Lists of (number of the text, text or a stretch of it) of about STEP_CHARS. A space stands before a text and TAIL ones behind it; a stretch has
+    the next TAIL characters of its text behind it, so the n-grams of all stretches are those of the text."""
     held, size = [], 0
     for i, t in enumerate(texts):
         for lo in range(0, max(1, len(t)), STEP_CHARS):
-            held.append((i, t[lo : lo + STEP_CHARS]))
+            hi = lo + STEP_CHARS
+            held.append((i, ("" if lo else " ") + t[lo:hi] + t[hi : hi + TAIL].ljust(TAIL)))
             size += len(held[-1][1])
             if size >= STEP_CHARS:
                 yield held
@@ -88,21 +86,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The matrix has one row per language and BUCKETS columns; it is all that reaches the driver.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter("t is not null and y is not null")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(n) > MAX_LANGS:
-        raise ValueError(f"{len(n)} languages; the matrix of log-probabilities is made for {MAX_LANGS} at most")
+        raise ValueError(f"more than {MAX_LANGS} languages; the matrix of log-probabilities is made for as many at most")
     if not n:
-        return {"langs": [], "log": np.zeros((BUCKETS + 1, 0), np.float32), "prior": np.zeros(0)}
+        return {"langs": [], "log": np.zeros((BUCKETS + 1, 0), np.float32), "prior": np.zeros(0), "letters": letters()}
     limits = F.create_map(*[F.lit(v) for k, c in sorted(n.items()) for v in (k, min(1.0, max_per_lang / c))])
     rows = rows.filter(F.pmod(F.xxhash64(F.lit(13), "i"), F.lit(1_000_000)) / 1_000_000 < limits[F.col("y")]).select("t", "y")
 
+    table = letters()
+    shared = light(docs.sparkSession).sparkContext.broadcast(table)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in small(batches):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 for part in stretches([texts[i] for i in np.flatnonzero(langs == lang)]):
-                    keys = np.concatenate(grams([t for _, t in part])[0])
+                    keys = np.concatenate(grams([t for _, t in part], shared.value)[0])
                     total.setdefault(lang, np.zeros(BUCKETS, np.int64))[:] += np.bincount(keys, minlength=BUCKETS + 1)[:BUCKETS]
         for lang, counts in total.items():
             some = np.flatnonzero(counts)
@@ -116,13 +117,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     log = np.concatenate([np.log(c / c.sum(0)) for c in np.split(counts, len(ORDERS))])
     log = np.concatenate([log, np.zeros((1, len(langs)))])
     prior = np.log(np.array([n[k] for k in langs]) / sum(n.values()))
-    return {"langs": langs, "log": log.astype(np.float32), "prior": prior}
+    return {"langs": langs, "log": log.astype(np.float32), "prior": prior, "letters": table}
 
 
 def log_scores(texts: list[str], model: dict) -> np.ndarray:
     out = np.tile(model["prior"], (len(texts), 1))
     for part in stretches(texts):
-        keys, at = grams([t for _, t in part])
+        keys, at = grams([t for _, t in part], model["letters"])
         np.add.at(out, [i for i, _ in part], sum(np.add.reduceat(model["log"][k], at, axis=0, dtype=np.float64) for k in keys))
     return out
 

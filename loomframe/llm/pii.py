@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import free_of, light, small, with_fields
-from loomframe.llm.spans import Span, cards, digest, emails, ips, listed, luhn, phones
+from loomframe.llm.spans import Span, cards, emails, ips, luhn, phones
 
 KINDS = ("email", "ip", "card", "phone", "crf_email", "crf_ip", "crf_card", "crf_phone")
 BASE = KINDS[:4]
@@ -24,14 +24,20 @@ AROUND = 2
 #: Words that have a feature of their own.
 CUES = (
     "at dot com org net phone tel telephone call mobile cell fax sms whatsapp hotline mail email contact write card visa mastercard credit debit "
-    "ip address host server ping ipv version release license id isbn order invoice year page date price section chapter"
+    "ip address host server ping ipv version release license id isbn order invoice year page date price section chapter "
+    "edu gov info io co de fr es it uk"
 ).split()
 EDGE = ".,;:!?\"'"
 #: Digits of an added span, least and most (others are dropped, as base spans that fail their test are).
 DIGITS = {"phone": (7, 15), "card": (13, 19)}
+#: Form of an added e-mail span: something, a sign or word for at, something, and a sign or word for the dot (others are dropped too).
+ADDRESS = re.compile(r"(?ai)[^\x20\x09-\x0D]+?(?:[\x20\x09-\x0D]?(?:@|[(\[{_]at[)\]}_])[\x20\x09-\x0D]?|[\x20\x09-\x0D]at[\x20\x09-\x0D])[^\x20\x09-\x0D]+?(?:[\x20\x09-\x0D]?(?:\.|[(\[{_]dot[)\]}_])|[\x20\x09-\x0D]dot[\x20\x09-\x0D])")
 #: Words with features of their own that a worker remembers; beyond it starts anew.
 REMEMBERED = 50_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SEPARATOR = re.compile(r"[\x20\x09-\x0D]")
+#: Characters that one numpy step takes; a longer text is read in stretches of as many.
+STEP_CHARS = 1 << 18
 
 
 def labelled_table(spark: SparkSession, seed: int = 5, each: int = 20) -> DataFrame:
@@ -46,30 +52,32 @@ def labelled_table(spark: SparkSession, seed: int = 5, each: int = 20) -> DataFr
     syllables = "ba ker lo min ta son ri vel du pa nor ish eth ing ment ou le un der auf schl ja mo que ción ña é ü ö ç st ly".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(1, 5)))
     said = lambda: (w := word()) and r.choice([w, w, w, w.capitalize(), w + ",", w + ".", f"({w})", w + "-" + word()])
-    name = lambda: r.choice([word(), word() + r.choice("._-") + word(), word() + d(r.randrange(1, 4))])
+    cased = lambda: r.choice([str, str, str.capitalize, str.upper])(word())
+    name = lambda: r.choice([cased(), cased() + r.choice("._-") + cased(), word() + d(r.randrange(1, 4)), word()[0] + "." + cased(), word().capitalize() + "." + word().capitalize()])
     host = lambda: r.choice([word(), word() + "-" + word(), word() + d(1)])
     tld = lambda: r.choice("com org net edu gov io de fr es it uk info".split())
     at = lambda: r.choice(["at", "AT", "(at)", "[at]", "{at}"])
     dot = lambda: r.choice(["dot", "DOT", "(dot)", "[dot]"])
-    octet = lambda: str(r.randrange(256))
+    octet = lambda: str(r.choice([r.randrange(256), r.randrange(10)]))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
 
-    def card_number(right: bool = True) -> str:
-        body = r.choice(["4", "5", "37", "6011"])
-        body += d(15 - len(body))
+    def card_number(right: bool = True, size: int = 16) -> str:
+        body = "37" if size == 15 else r.choice(["4", "5", "37", "6011"])
+        body += d(size - 1 - len(body))
         last = next(c for c in "0123456789" if luhn(body + c))
         return body + (last if right else str((int(last) + r.randrange(1, 10)) % 10))
 
     fours = lambda n, by: by.join(n[i : i + 4] for i in range(0, len(n), 4))
+    parts = lambda n, by: by.join([n[:4], n[4:10], n[10:15]])
     some = lambda n: " ".join(said() for _ in range(n))
     made = [
-        ("email", lambda: f"{name()}@{host()}.{tld()}", 2), ("email", lambda: f"{name()} {at()} {host()} {dot()} {tld()}", 3), ("email", lambda: f"{name()}{r.choice(['(at)', '[at]', '{at}', '_at_'])}{host()}.{tld()}", 2),
-        ("email", lambda: f"{name()}[at]{host()}[dot]{tld()}", 1), ("email", lambda: f"<{name()}@{host()}.{word()}.{tld()}>", 1), ("email", lambda: f"{name()} @ {host()} . {tld()}", 1),
-        ("ip", lambda: ".".join(octet() for _ in range(4)), 2), ("ip", lambda: ".".join(octet() for _ in range(4)) + r.choice([":80", ":8443", "/24", "/8"]), 1), ("ip", lambda: "[.]".join(octet() for _ in range(4)), 1),
+        ("email", lambda: f"{name()}@{host()}.{tld()}", 2), ("email", lambda: f"{name()} {at()} {host()} {dot()} {tld()}", 14), ("email", lambda: f"{name()}{r.choice(['(at)', '[at]', '{at}', '_at_'])}{host()}.{tld()}", 12),
+        ("email", lambda: f"{name()}[at]{host()}[dot]{tld()}", 4), ("email", lambda: f"<{name()}@{host()}.{word()}.{tld()}>", 1), ("email", lambda: f"{name()} @ {host()} . {tld()}", 2),
+        ("ip", lambda: ".".join(octet() for _ in range(4)), 2), ("ip", lambda: ".".join(octet() for _ in range(4)) + r.choice([":80", ":8443", "/24", "/8"]), 1), ("ip", lambda: "[.]".join(octet() for _ in range(4)), 3),
         ("ip", lambda: ":".join(hexes(r.randrange(1, 5)) for _ in range(8)), 1), ("ip", lambda: f"{hexes(4)}:{hexes(3)}::{hexes(r.randrange(1, 5))}", 1), ("ip", lambda: f"fe80::{hexes(4)}:{hexes(4)}", 1),
-        ("card", lambda: card_number(), 2), ("card", lambda: fours(card_number(), r.choice(" -")), 2), ("card", lambda: fours(card_number(), r.choice("._/")), 2),
-        ("phone", lambda: f"+{d(2)} {d(2)} {d(4)} {d(4)}", 1), ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}.{d(3)}.{d(4)}", 1), ("phone", lambda: f"1-{r.choice(['800', '888'])}-{d(3)}-{d(4)}", 1),
-        ("phone", lambda: f"{zero(3)} {d(7)}", 1), ("phone", lambda: f"{zero(4)}/{d(7)}", 1), ("phone", lambda: f"{zero(2)} {d(2)} {d(2)} {d(2)} {d(2)}", 2), ("phone", lambda: f"{zero(3)} {d(4)} {d(4)}", 1), ("phone", lambda: f"00{d(2)} {d(2)} {d(7)}", 1),
+        ("card", lambda: card_number(), 2), ("card", lambda: fours(card_number(), r.choice(" -")), 2), ("card", lambda: fours(card_number(r.random() < 0.7), r.choice("._/")), 4), ("card", lambda: fours(card_number(size=15), r.choice("._/")), 2), ("card", lambda: parts(card_number(size=15), r.choice("._/")), 2),
+        ("phone", lambda: f"+{d(2)} {d(2)} {d(4)} {d(4)}", 1), ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}", 2), ("phone", lambda: f"{d(3)}.{d(3)}.{d(4)}" + r.choice(["", "", f" ext {d(2)}"]), 4), ("phone", lambda: f"1-{r.choice(['800', '888'])}-{d(3)}-{d(4)}", 1),
+        ("phone", lambda: f"{zero(3)} {d(7)}", 1), ("phone", lambda: f"{zero(4)}{r.choice('/-')}{d(r.randrange(7, 9))}", 2), ("phone", lambda: f"{zero(2)} {d(2)} {d(2)} {d(2)} {d(2)}", 2), ("phone", lambda: f"{zero(3)} {d(4)} {d(4)}", 1), ("phone", lambda: f"00{d(2)} {d(r.randrange(2, 4))} {d(r.randrange(5, 9))}", 3),
         ("O", lambda: f"{r.choice(['version', 'release', 'v'])} {d(1)}.{d(1)}" + r.choice(["", f".{d(1)}", f".{d(1)}.{d(2)}"]), 2), ("O", lambda: f"{d(4, r.choice('12'))}-{zero(2)}-{d(2, '1')}", 1), ("O", lambda: f"{d(2, '1')}/{zero(2)}/{d(4, '2')}", 1), ("O", lambda: f"{d(2, '1')}:{d(2, '3')}" + r.choice(["", f":{d(2, '2')}"]), 1),
         ("O", lambda: f"{r.choice('$€£')}{d(r.randrange(1, 4))},{d(3)}.{d(2)}", 1), ("O", lambda: f"{d(1)}.{d(3)}.{d(3)},{d(2)} {r.choice(['euros', '€'])}", 1), ("O", lambda: f"page {d(2)} of {d(3)}", 1), ("O", lambda: f"{d(4, '1')}-{d(4, '1')}", 1), ("O", lambda: f"isbn 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", 2),
         ("O", lambda: f"order {d(r.choice([6, 8, 10]))}", 2), ("O", lambda: f"id {d(r.randrange(5, 20))}", 2), ("O", lambda: card_number(False), 3), ("O", lambda: fours(card_number(False), r.choice(" -")), 2), ("O", lambda: d(r.randrange(1, 8)), 3), ("O", lambda: d(r.randrange(8, 22)), 2),
@@ -83,7 +91,7 @@ def labelled_table(spark: SparkSession, seed: int = 5, each: int = 20) -> DataFr
         for _ in range(each * times):
             pairs = [(w, "O") for w in some(r.randrange(0, 5)).split()]
             if tag != "O" and r.random() < 0.3:
-                cue = {"email": ["mail", "email:", "contact"], "ip": ["host", "ip", "address"], "card": ["card", "visa:", "credit card"], "phone": ["tel.", "phone:", "call", "mobile"]}[tag]
+                cue = {"email": ["mail", "email:", "contact"], "ip": ["host", "ip", "address"], "card": ["card", "visa:", "credit card", "paid with", "number"], "phone": ["tel.", "phone:", "call", "mobile"]}[tag]
                 pairs += [(w, "O") for w in r.choice(cue).split()]
             pairs += [(w, tag) for w in make().split()]
             if r.random() < 0.3:
@@ -241,24 +249,18 @@ def train(labelled: DataFrame, epochs: int = 60, rate: float = 0.5, ridge: float
     return Crf(index, emit, move)
 
 
-#: Classes of characters: separator, letter, outer mark, any other.
-_CLASSES: list[np.ndarray] = []
-
-
 def classes() -> tuple[np.ndarray, np.ndarray]:
-    """The class of each code point (0 separator, 1 letter, 2 outer mark, 3 other) and its small letter; made once in each worker."""
-    if not _CLASSES:
-        kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
-        for i in range(0x110000):
-            c = chr(i)
-            if unicodedata.category(c)[0] == "L":
-                kind[i] = 1
-                if len(small_one := c.lower()) == 1:
-                    low[i] = ord(small_one)
-        kind[[32, *range(9, 14)]] = 0
-        kind[[ord(c) for c in EDGE]] = 2
-        _CLASSES.extend((kind, low))
-    return _CLASSES[0], _CLASSES[1]
+    """The class of each code point (0 separator, 1 letter, 2 outer mark, 3 other) and its small letter: 5.5 MB, made once and broadcast."""
+    kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if unicodedata.category(c)[0] == "L":
+            kind[i] = 1
+            if len(small_one := c.lower()) == 1:
+                low[i] = ord(small_one)
+    kind[[32, *range(9, 14)]] = 0
+    kind[[ord(c) for c in EDGE]] = 2
+    return kind, low
 
 
 class Tagger:
@@ -270,8 +272,9 @@ class Tagger:
     so the result is that of decoding whole texts.
     """
 
-    def __init__(self, model: Crf):
+    def __init__(self, model: Crf, tables: tuple[np.ndarray, np.ndarray] | None = None):
         self.model, n = model, 2 * AROUND + 1
+        self.kind_at, self.low_at = tables or classes()
         # Weights by feature without its offset: one table of offsets and tags each.
         self.names: dict[str, int] = {}
         for f in model.index:
@@ -326,7 +329,7 @@ class Tagger:
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and table row of each word of the joined texts, and the index of the first word of each text."""
         joined = "\n".join(texts) + "\n"
-        kind_at, low_at = classes()
+        kind_at, low_at = self.kind_at, self.low_at
         points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         kind = kind_at[points]
         inside = np.concatenate([[False], kind > 0, [False]])
@@ -364,6 +367,21 @@ class Tagger:
             row[i] = k
         return start, end, row, first
 
+    def all_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """words(), for a text of more than STEP_CHARS by stretches that end with a separator, so that only figures of its words are held."""
+        if len(texts) > 1 or len(texts[0]) <= 2 * STEP_CHARS:
+            return self.words(texts)
+        text, lo, found = texts[0], 0, []
+        while lo < len(text):
+            hi = lo + STEP_CHARS
+            m = SEPARATOR.search(text, hi) if hi < len(text) else None
+            hi = m.end() if m else len(text)
+            start, end, row, _ = self.words([text[lo:hi]])
+            found.append((start + lo, end + lo, row))
+            lo = hi
+        start, end, row = (np.concatenate(x) for x in zip(*found))
+        return start, end, row, np.array([0, len(start)])
+
     def tags(self, row: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The tag of each word."""
         out = np.zeros(len(row), np.int64)
@@ -413,7 +431,7 @@ class Tagger:
         out: list[list[Span]] = [[] for _ in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.n = {}, self.fixed
-        start, end, row, first = self.words(texts)
+        start, end, row, first = self.all_words(texts)
         tags = self.tags(row, first)
         hit = np.flatnonzero(tags)
         if not len(hit):
@@ -430,11 +448,21 @@ class Tagger:
             a, b = a + len(own) - len(own.lstrip(EDGE)), b - len(own) + len(own.rstrip(EDGE))
             kind = TAGS[tags[hit[i]]]
             least, most = DIGITS.get(kind, (0, b - a))
-            if a < b and least <= sum(c in "0123456789" for c in texts[k][a:b]) <= most:
+            if a < b and least <= sum(c in "0123456789" for c in texts[k][a:b]) <= most and (kind != "email" or ADDRESS.match(texts[k][a:b])):
                 out[k].append((a, b, f"crf_{kind}"))
         return out
 
 
+def groups(texts: list[str], base: list[list[Span]]) -> Iterator[tuple[list[str], list[list[Span]]]]:
+    """Neighbouring texts, and their base spans, that together have about STEP_CHARS characters."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= STEP_CHARS or i + 1 == len(texts):
+            yield texts[lo : i + 1], base[lo : i + 1]
+            lo, size = i + 1, 0
+
+
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """Spans of tagged words that touch no base span, for all texts at once."""
     out = []
@@ -451,20 +479,22 @@ def find(docs: DataFrame, model: Crf, text_col: str = "text", mask: bool = False
 
     Offsets are code points, ends exclusive. A null or empty text has no spans and stays as it is; ids are not looked at, so null
     and repeated ones are like any other; equal rows give equal spans, and an empty table an empty one. Base spans come
-    first where spans would overlap; added spans of the field never touch them. A very long text is one step, in time that grows with its
-    length. Columns of docs with the name of the added one are replaced.
+    first where spans would overlap; added spans of the field never touch them. A very long text is read in stretches, of which the words'
+    places and tags are held (some 40 bytes a word). Columns of docs with the name of the added one are replaced.
     """
     docs = free_of(docs, "pii_spans")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    shared = light(docs.sparkSession).sparkContext.broadcast((model.index, model.emit, model.move))
+    # A worker keeps its tagger in its copy of the broadcast, so that it is made once, not in each task.
+    shared = light(docs.sparkSession).sparkContext.broadcast({"field": (model.index, model.emit, model.move), "tables": classes()})
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(Crf(*shared.value))
+        mine = shared.value
+        tagger = mine["tagger"] = mine.get("tagger") or Tagger(Crf(*mine["field"]), mine["tables"])
         for batch in small(batches, 128):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             base = [emails(t) + ips(t) + cards(t) + phones(t) for t in texts]
-            more = added_spans(texts, base, tagger)
+            more = [s for part, own in groups(texts, base) for s in added_spans(part, own, tagger)]
             found = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for b, m in zip(base, more)]
             columns = list(batch.columns)
             if mask:
@@ -494,6 +524,3 @@ def digests(found: DataFrame, column: str, base: tuple[str, ...]) -> DataFrame:
         {f"n_{k}": F.size(of_kind(k)).cast("long") for k in base}
         | {"base_sha256": F.sha2(text(own), 256), "spans": text(F.col(column))}
     )
-
-
-__all__ = ["Crf", "digest", "digests", "find", "labelled_table", "listed", "masked", "train"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import Hasher, as_bytes, free_of, light, small, steps, with_fields
+from loomframe.llm.common import STEP_BYTES, Hasher, as_bytes, free_of, light, small, steps, with_fields
 
 #: At most about this many labelled documents of each label are used for fitting.
 MAX_PER_LABEL = 8_000
@@ -25,7 +25,7 @@ FEATURES = 10 + 8
 def features(texts: list[bytes]) -> np.ndarray:
     """One row of text measures per text: shares of character classes, and repetition of words, word pairs and lines."""
     hasher, rows = Hasher(), []
-    kind = np.full(256, len(CLASSES), np.intp)
+    kind = np.full(256, len(CLASSES), np.int64)
     kind[128:] = len(CLASSES) + 1
     for i, members in enumerate(CLASSES):
         kind[list(members)] = i
@@ -35,13 +35,19 @@ def features(texts: list[bytes]) -> np.ndarray:
         n_words = np.diff(bounds)
         buf = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
         length = np.array([len(t) for t in part])
-        doc = np.repeat(np.arange(len(part)), length + 1)
-        counts = np.bincount(doc * (len(CLASSES) + 2) + kind[buf], minlength=len(part) * (len(CLASSES) + 2)).reshape(len(part), -1).astype(float)
+        ends, k = np.cumsum(length + 1), len(CLASSES) + 2
+        counts = np.zeros((len(part), k))
+        for lo in range(0, len(buf), STEP_BYTES):  # a long text in stretches
+            hi = min(lo + STEP_BYTES, len(buf))
+            doc = np.repeat(np.arange(len(part)), ends.clip(lo, hi) - (ends - length - 1).clip(lo, hi))
+            counts += np.bincount(doc * k + kind[buf[lo:hi]], minlength=len(part) * k).reshape(len(part), -1)
         counts[:, 6] -= 1  # the newline that joins the texts
         size, words = np.maximum(length, 1), np.maximum(n_words, 1)
-        owner = np.repeat(np.arange(len(part)), n_words)
+        owner = np.repeat(np.arange(len(part), dtype=np.int32), n_words)
 
         def distinct(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+            if len(part) == 1:
+                return np.array([len(np.unique(keys))])
             order = np.lexsort((keys, own))
             new = np.ones(len(order), bool)
             new[1:] = (keys[order][1:] != keys[order][:-1]) | (own[order][1:] != own[order][:-1])
@@ -126,7 +132,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from SCORE_AT_THRESHOLD on).
 
     Only the text is read. A null text counts as empty; an empty text has all measures 0 and a score like any other. Equal
-    texts get equal scores, whatever their ids, and an empty table gives an empty one; a very long text is measured whole. Columns of docs with the names of the added ones are replaced. Without labels of both
+    texts get equal scores, whatever their ids, and an empty table gives an empty one; a very long text is measured whole, its characters in stretches. Columns of docs with the names of the added ones are replaced. Without labels of both
     kinds the model ranks nothing: every document then gets the same score.
     """
     docs = free_of(docs, "score", "predicted")

@@ -35,8 +35,8 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")  # fixed v
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d", re.ASCII)
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 _KEYS = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-#: Longest dictionary word and longest unit of a repeat that are looked for, and ends at which a keyboard walk may stop short.
-LONGEST, UNIT, WALK = 24, 16, 16
+#: Longest dictionary word that is looked for.
+LONGEST = 24
 
 
 def dictionary(path: str | None = None) -> dict[str, int]:
@@ -64,16 +64,18 @@ def _alphabet(c: str) -> float:
 def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
     """log10 of the tries to guess a value: the cheapest split into words, dates, repeats, keyboard walks and brute force.
 
-    A word costs its rank (and variants of case and of look-alike characters), a date the days of a century, a walk its
-    start, length and turns, and any other character its alphabet. A repeat, of a unit of up to UNIT characters as often as it goes on,
-    costs its unit's alphabets and the times. Each part after the first doubles the tries. Time grows with the value's length; from the
-    place on from which no split stays below limit, the value is not looked at, and the result is limit.
+    A word costs its rank (and variants of case and of look-alike characters), a date the days of a century, a walk, which may stop
+    anywhere, its start, length and turns, and any other character its alphabet. A repeat of a unit as often as it goes on costs its unit's
+    alphabets and the times; units that cost more by themselves than limit, or than a split that is known, are not tried: no split with one is
+    the cheapest. Each part after the first doubles the tries. With a limit, time grows with the value's length, and from the place on from which no split
+    stays below limit the value is not looked at, and the result is limit; without one it may grow with the square.
     """
     n, low = len(value), value.lower() if value.isascii() else value.translate({c: c + 32 for c in range(65, 91)})
-    plain, double, near = low.translate(LEET), math.log10(2), 0
+    plain, double, eight, near = low.translate(LEET), math.log10(2), math.log10(8), 0
     cost = [0.0] + [math.inf] * n
     brute = math.inf  # cheapest split that ends in a brute-force part here
-    same, walk, turns = [0] * (UNIT + 1), 0, [0]
+    same, walk, turns = [0], 0, [0]
+    walks: list[tuple[float, int]] = []  # (cost but for length and later turns, start) of walks that may still be the cheapest, for the stretch up to walk
 
     def offer(end: int, price: float) -> None:
         nonlocal near
@@ -96,8 +98,12 @@ def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> fl
             if value[i].isdigit() and (m := DATE.match(value, i)):
                 offer(m.end(), start + (math.log10(365 * 119) if m.end() - i > 4 else math.log10(119)))
             unit_cost = 0.0
-            for unit in range(1, min(UNIT, n - i - 1) + 1):
+            for unit in range(1, (n - i) // 2 + 1):
                 unit_cost += _alphabet(value[i + unit - 1])
+                if start + unit_cost >= min(limit, cost[n]):
+                    break
+                if unit == len(same):
+                    same.append(0)
                 at = max(same[unit], i)  # up to here each character equals the one a unit later
                 while at + unit < n and value[at] == value[at + unit]:
                     at += 1
@@ -105,14 +111,22 @@ def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> fl
                 times = (at - i) // unit + 1
                 if times >= (3 if unit == 1 else 2):
                     offer(i + unit * times, start + unit_cost + math.log10(times))
-            walk = max(walk, i)
+        if i > walk or not i:
+            walk, walks = i, []
             while walk + 1 < n and _adjacent(low[walk], low[walk + 1]):
                 walk += 1
                 while len(turns) < walk:  # turns[k]: turns up to the step that ends at k
                     turns.append(turns[-1])
                 turns.append(turns[-1] + (walk >= 2 and _step(low, walk) != _step(low, walk - 1)))
-            for end in {*range(i + 3, min(walk, i + WALK) + 2), walk + 1} if walk >= i + 2 else ():
-                offer(end, start + math.log10(47 * (end - i)) + (turns[end - 1] - turns[i + 1]) * math.log10(8))
+        if start < limit and walk >= i + 2:
+            own = start - turns[i + 1] * eight
+            # A walk that began before, and is cheaper at this one's first end, stays cheaper: the longer both go on, the less their lengths differ.
+            if not any(c + math.log10(i + 3 - b) <= own + math.log10(3) for c, b in walks):
+                walks = [(c, b) for c, b in walks if c < own] + [(own, i)]
+                near = max(near, walk + 1)
+        if walk >= i and i + 1 - (walks[0][1] if walks else i) >= 3:
+            # Walks that end behind this character.
+            offer(i + 1, min((c + math.log10(47 * (i + 1 - b)) + turns[i] * eight for c, b in walks if i + 1 - b >= 3), default=math.inf))
         if i >= near and brute >= limit:
             return limit
     return cost[n]

@@ -51,8 +51,8 @@ class Sketch(NamedTuple):
         return out
 
     def frequent(self, keys: np.ndarray, least: int) -> np.ndarray:
-        """Which keys are estimated to occur that often, and also several times as often as a cell holds by chance."""
-        return self.counts[cells(keys, COUNTS.bit_length() - 1, -1)] >= max(least, 8 * int(self.counts.sum()) // COUNTS)
+        """Which keys are estimated to occur that often; in a full row of counts that may be many more than do."""
+        return self.counts[cells(keys, COUNTS.bit_length() - 1, -1)] >= least
 
 
 def cells(keys: np.ndarray, width: int, row: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from loomframe.llm.common import Hasher, U, as_bytes, binaries, free_of, fresh,
 WINDOW = 35
 #: Cells of the sketch for each anchor, in all, and its hash rows.
 CELLS, HASH_ROWS = 16, 2
-#: An anchor estimated as often as this has each of its windows shuffled by its own hash.
+#: An anchor that occurs as often as this has each of its windows shuffled by its own hash. The limit is the same at any size of the input.
 FREQUENT = 10_000
 #: Rows that a task holds while it groups runs of equal anchors.
 HELD_ROWS = 20_000
@@ -59,6 +59,35 @@ def anchors(word_hashes: np.ndarray, hasher: Hasher, bounds: np.ndarray, window:
     return grams[best[at[first]]], at[first], np.diff(np.append(first, len(at))), text[at[first]]
 
 
+def frequent_anchors(texts: DataFrame, bits, counts: np.ndarray, window: int, size: int):
+    """A sketch whose repeated() holds for all anchors that occur FREQUENT times, and for few others; None if there is none.
+
+    Only anchors whose cell in the row of counts has reached the limit are counted, exactly, in each task first. Those that have reached it
+    themselves, at most one in FREQUENT of all, are kept as bits, so that what is broadcast is bounded at any size.
+    """
+    if not len(counts) or counts.max() < FREQUENT:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, sk = Hasher(), sketch.Sketch(*bits.value)
+        for batch in small(batches):
+            data = as_bytes(batch.column(0))
+            for a, b in steps(data):
+                (h,), bounds = hasher.words(data[a:b])
+                keys = anchors(h, hasher, bounds, window)[0]
+                keys, n = np.unique(keys[sk.frequent(keys, FREQUENT)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n)], names=["anchor", "n"])
+
+    sums = texts.select("t").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = sums.filter(F.col("n") >= FREQUENT).select("anchor")
+
+    def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.repeat(batch.column(0).to_numpy().view(U), 2)
+
+    # A cell is set if it is met twice: each anchor is given two times.
+    return sketch.build(often, twice, 2 * size / 60 / FREQUENT, CELLS, 1)
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and kept_text: words of no window that also starts anywhere else.
 
@@ -83,10 +112,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # About 6 bytes a word, and an anchor for ten words.
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = spark.sparkContext.broadcast(sketch.build(texts.select("t"), sketch_keys, size / 60, CELLS, HASH_ROWS, counted=True))
+    found = sketch.build(texts.select("t"), sketch_keys, size / 60, CELLS, HASH_ROWS, counted=True)
+    bits = spark.sparkContext.broadcast(found)
+    hot = spark.sparkContext.broadcast(frequent_anchors(texts, bits, found[2], window, size))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, sk = Hasher(bases=2), {}, sketch.Sketch(*bits.value)
+        hasher, seen, sk, often_at = Hasher(bases=2), {}, sketch.Sketch(*bits.value), hot.value and sketch.Sketch(*hot.value)
         for batch in small(batches):
             data = as_bytes(batch.column(2))
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -102,7 +133,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ends = np.cumsum(n)
                 take = np.repeat(first - np.concatenate([[0], ends[:-1]]), n) + np.arange(ends[-1])
                 w = w[take]
-                often = sk.frequent(anchor, FREQUENT)
+                often = often_at.repeated(anchor) if often_at else np.zeros(len(anchor), bool)
                 if often.any():  # runs of one window each, under an anchor of their own
                     alone = np.repeat(often, n)
                     opens = np.ones(len(take), bool)

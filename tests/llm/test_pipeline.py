@@ -73,4 +73,28 @@ def test_empty_documents(spark):
 
 
 def test_queries_of_all_operators_are_registered():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
+
+
+def test_stages_hand_on_columns_with_the_operators_names(spark):
+    good = "Eren onda the {0} kesto arime duvel sonta pirel {0}x mavor tenis lorum {0}y gadel"
+    clashing = ["n_words", "Kept", "component_id", "pii_spans", "weight", "topic", "sampled", "probability", "_stage_kept", "_own_n_words"]
+    rows = [(i, good.format(f"w{i}"), "en", f"s{i % 3}", 1, *(f"{c} {i}" for c in clashing)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(x[c] == f"{c} {x.doc_id}" for x in got for c in clashing), name
+    assert corpus_pipeline.encoding(spark, docs, "").count() == 9
+
+
+def test_of_rows_that_repeat_an_id_the_same_one_stays(spark):
+    rows = [(1, f"one two three four five six {i}", "en", "s", i) for i in range(6)] + [(1, "one two three four five six 0", "en", "s", 0), (2, "x y z", None, None, None), (None, "a", None, None, 1), (None, "a", None, None, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = set()
+    for n in (1, 3, 7):
+        got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[n:] + rows[:n], schema).repartition(n), "").collect()]
+        assert sorted([x[0] for x in got], key=str) == [1, 2, None, None]
+        kept.add(next(x for x in got if x[0] == 1))
+    assert len(kept) == 1

@@ -77,21 +77,90 @@ def test_field_adds_spans_and_leaves_plain_text_alone(spark, model):
 def test_field_on_sentences_it_was_not_made_from(spark, model):
     """Precision and recall by kind, over written-out sentences."""
     hidden = {
-        "phone": ["Please ring (415) 555-2671 before noon", "fax 030 23125-0 or 0171 4423189 in Berlin", "Appelez le 06 12 34 56 78 demain", "her mobile: 07700 900123", "toll free 1-800-555-0199 today", "dial 020 7946 0958 for support"],
-        "email": ["reach maria.lopez at uni-bonn dot de for papers", "jo[at]example.net is my address", "contact info(at)museum.fr please", "write to Peter.Smith AT gmail DOT com soon", "sales{at}shop.it answers"],
-        "card": ["paid with 4929_1234_5678_9018"[:0] + "visa 4111.1111.1111.1111 yesterday", "card 5500/0000/0000/0004 was charged", "my number 3782_8224_6310_005 is old"[:0] + "number 4012_8888_8888_1881 again"],
-        "ip": ["blocked 10[.]0[.]0[.]7 at the gate", "from 2001:db8:85a3:0:0:8a2e:370:7334 inbound", "router fe80::1ff:fe23:4567:890a replied"],
+        "phone": ["Please ring (415) 555-2671 before noon", "fax 030 23125-0 or 0171 4423189 in Berlin", "Appelez le 06 12 34 56 78 demain", "her mobile: 07700 900123", "toll free 1-800-555-0199 today", "dial 020 7946 0958 for support", "office 212.555.0143 ext 4", "Call 0049 30 901820 now", "ring 555-867-5309 please", "Mobil 0151-23456789", "my cell is (312) 555-0147, thanks", "tel. 04 91 23 45 67", "reach us on 0161 496 0345", "0033 1 42685300 is Paris"],
+        "email": ["reach maria.lopez at uni-bonn dot de for papers", "jo[at]example.net is my address", "contact info(at)museum.fr please", "write to Peter.Smith AT gmail DOT com soon", "sales{at}shop.it answers", "mail anna_k (at) web (dot) org", "her box: k.jones[at]corp[dot]co", "support @ acme . com replies", "a.b-c at mail dot info ok", "ask jonas at hilfe dot org about it", "news(at)zeitung.de comes daily", "try m.rossi [at] studio [dot] it"],
+        "card": ["paid with 4929_1234_5678_9018", "visa 4111.1111.1111.1111 yesterday", "card 5500/0000/0000/0004 was charged", "my number 3782_8224_6310_005 is old", "number 4012_8888_8888_1881 again", "Mastercard 5105.1051.0510.5100, exp 09", "it was 6011/1111/1111/1117 then", "amex 3714.496353.98431 on file", "charged to 5555_5555_5555_4444 twice", "use 4000.0566.5566.5556 instead"],
+        "ip": ["blocked 10[.]0[.]0[.]7 at the gate", "from 2001:db8:85a3:0:0:8a2e:370:7334 inbound", "router fe80::1ff:fe23:4567:890a replied", "peer 192[.]168[.]1[.]20, port", "at 2001:db8::ff00:42:8329 today", "ping 172[.]16[.]254[.]1 fails", "gateway 10[.]20[.]30[.]1 up", "host 2001:0db8:0:1:1:1:1:1 is new"],
     }
     clean = ["We meet at noon at the corner of the street", "the dot at the end and the net result", "Order 20240117 came on 2024-01-17 at 10:45", "ISBN 978-3-16-148410-0 page 12 of 340", "Version 10.4.2 costs $1,299.00 or 1.199,00 euros", "between 1914-1918 and 1939-1945 some 60 million", "at at at at at at", "commit 9f86d081884c7d659a2feaa0c55ad015", "coordinates 52.5200, 13.4050 and 48.8566, 2.3522", "id 4929123456789012345 is no card", "scores were 3-2 and 11-9 in 2019", "a | b | 12 | 3 | 450", "dot com at the end of the net", "look at x at y"]
-    hit = false = 0
+    found_right, found = {k: 0 for k in hidden}, {k: 0 for k in hidden}
+    tagger = pii.Tagger(model)
     for kind, sentences in hidden.items():
-        found = pii.Tagger(model).spans(sentences)
-        hits = sum(any(k == f"crf_{kind}" for *_, k in f) for f in found)
-        assert hits >= 0.6 * len(sentences), (kind, found)
-        hit, false = hit + hits, false + sum(k != f"crf_{kind}" for f in found for *_, k in f)
-    wrong = pii.Tagger(model).spans(clean)
-    false += sum(map(len, wrong))
-    assert hit / (hit + false) > 0.85, wrong
+        spans = tagger.spans(sentences)
+        hits = sum(any(k == f"crf_{kind}" for *_, k in f) for f in spans)
+        assert hits >= 0.9 * len(sentences), (kind, [s for s, f in zip(sentences, spans) if not f])
+        found_right[kind] += hits
+        for f in spans:
+            for *_, k in f:
+                found[k.removeprefix("crf_")] += 1
+    wrong = tagger.spans(clean)
+    for f in wrong:
+        for *_, k in f:
+            found[k.removeprefix("crf_")] += 1
+    for kind, right in found_right.items():
+        assert right >= 0.9 * (found[kind] - (kind == "phone")), (kind, found, wrong)  # one sentence has two phones
+
+
+def test_field_finds_planted_forms_in_documents(spark, model):
+    """Recall by kind of forms that the base patterns miss, planted in the words of the documents."""
+    r = random.Random(21)
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if x.text]
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+
+    def card():
+        body = r.choice(["4", "52", "6011"]) + d(15)
+        body = body[:15]
+        body += next(c for c in "0123456789" if pii.luhn(body + c))
+        return r.choice("._/").join(body[i : i + 4] for i in range(0, 16, 4))
+
+    names = ["lena", "p.marsh", "Otto_K", "ana-maria", "j.b.lee"]
+    forms = {
+        "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(3)} {d(7)}", f"1-800-{d(3)}-{d(4)}"]),
+        "email": lambda: r.choice(names) + r.choice([" at {0} dot {1}", "[at]{0}.{1}", "(at){0}.{1}", " [at] {0} [dot] {1}", "{{at}}{0}.{1}"]).format(r.choice(["mail", "web-box", "post7"]), r.choice(["com", "org", "net", "de"])),
+        "card": card,
+        "ip": lambda: r.choice([lambda: "[.]".join(str(r.randrange(256)) for _ in range(4)), lambda: ":".join(f"{r.randrange(1, 65536):x}" for _ in range(8)), lambda: f"fe80::{r.randrange(4096, 65536):x}:{r.randrange(4096, 65536):x}"])(),
+    }
+    tagger = pii.Tagger(model)
+    for kind, make in forms.items():
+        hits, n = 0, 150
+        for _ in range(n):
+            words = r.choice(docs).split()
+            at = r.randrange(len(words) + 1)
+            before, planted = " ".join(words[:at]), make()
+            text = f"{before} {planted} {' '.join(words[at:])}"
+            lo, hi = len(before) + 1, len(before) + 1 + len(planted)
+            hits += any(a < hi and b > lo and k == f"crf_{kind}" for a, b, k in tagger.spans([text])[0])
+        assert hits >= 0.9 * n, (kind, hits)
+
+
+def test_long_texts_are_read_in_stretches(spark, model, monkeypatch):
+    text = "onden (212) 555-0187 the ou visa of the anna[at]mailbox.net\n" * 300
+    want = pii.Tagger(model).spans([text])
+    assert len(want[0]) >= 300
+    for step in (1, 37, 1000):
+        monkeypatch.setattr(pii, "STEP_CHARS", step)
+        assert pii.Tagger(model).spans([text]) == want
+
+
+def test_planted_secrets_are_found(spark):
+    """Recall of random values planted in credential contexts of the documents, by the base patterns or by guess cost; values that are easy to guess are left alone."""
+    r = random.Random(5)
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if x.text]
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%&*?#"
+    contexts = ["password = {0}", "passphrase: {0}", "login: {0}", "pwd={0}", "the key is {0}", "Authorization: Bearer {0}", "credentials -> {0}", "auth = '{0}'", "secret: \"{0}\"", "my passcode is {0} now"]
+    rows, easy = [], ["password1", "qwertyuiop", "aaaaaaaaaa", "2019-04-01", "letmein123", "abcabcabc"]
+    for i in range(200):
+        words = r.choice(docs).split()[:200]
+        at = r.randrange(len(words) + 1)
+        value = "".join(r.choice(letters) for _ in range(r.randrange(10, 24))) if i < 150 else easy[i % len(easy)]
+        before = " ".join(words[:at])
+        context = r.choice(contexts if i < 150 else ["passphrase: {0}", "login: {0}", "the key is {0}"])
+        rows.append((i, f"{before} {context.format(value)} {' '.join(words[at:])}", len(before) + 1 + context.index("{0}"), len(value)))
+    found = {x.doc_id: x.secret_spans for x in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, lo long, n long")).collect()}
+    guess = lambda i, lo, n: any(s.start < lo + n and s.end > lo and s.kind == "guess" for s in found[i])
+    hits = [any(s.start < lo + n and s.end > lo for s in found[i]) for i, _, lo, n in rows[:150]]
+    assert sum(hits) >= 0.9 * 150, sum(hits)
+    assert sum(guess(i, lo, n) for i, _, lo, n in rows[150:]) <= 2
 
 
 def test_decoding_stretches_equals_decoding_whole_texts(spark, model):
@@ -129,13 +198,13 @@ def plain_cost(value, ranks):
             out.append((math.log10(ranks[plain[i:j]] * (1 + 2 * (part != part.lower()) + 2 * (low[i:j] != plain[i:j])) + 1), False))
         if value[i].isdigit() and (m := secrets.DATE.match(value, i)) and m.end() == j:
             out.append((math.log10(365 * 119 if j - i > 4 else 119), False))
-        for unit in range(1, secrets.UNIT + 1):
+        for unit in range(1, len(value) // 2 + 1):
             times = (j - i) // unit
             goes_on = value[j : j + unit] == value[i : i + unit] and len(value[j : j + unit]) == unit
             if times * unit == j - i and times >= (3 if unit == 1 else 2) and value[i : i + unit] * times == part and not goes_on:
                 out.append((alphabet(value[i : i + unit]) + math.log10(times), False))
         steps = [secrets._step(low, k) for k in range(i + 1, j)]
-        if j - i >= 3 and all(secrets._adjacent(a, b) for a, b in zip(low[i:j], low[i + 1 : j])) and (j - i <= secrets.WALK + 1 or j == n or not secrets._adjacent(low[j - 1], low[j])):
+        if j - i >= 3 and all(secrets._adjacent(a, b) for a, b in zip(low[i:j], low[i + 1 : j])):
             out.append((math.log10(47 * (j - i)) + sum(a != b for a, b in zip(steps, steps[1:])) * math.log10(8), False))
         return out
 
@@ -147,8 +216,8 @@ def plain_cost(value, ranks):
 
 def test_guess_cost_equals_all_splits():
     ranks, r = secrets.dictionary(), random.Random(1)
-    bits = ["pass", "word", "P@ss", "qwe", "rty", "123", "2019", "-04-01", "aaaa", "abab", "xyz", "ß", "Q", "7", "!", "understanding", "asdf"]
-    for _ in range(300):
+    bits = ["pass", "word", "P@ss", "qwe", "rty", "123", "2019", "-04-01", "aaaa", "abab", "xyz", "ß", "Q", "7", "!", "understanding", "asdf", "qwertyuioplkjhgfdsa", "1qaz2wsx3edc", "abcdefghijklmnopqr"]
+    for _ in range(400):
         v = "".join(r.choice(bits) for _ in range(r.randrange(1, 6)))
         want = plain_cost(v, ranks)
         assert math.isclose(secrets.guess_cost(v, ranks), want, abs_tol=1e-9), v
