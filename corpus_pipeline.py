@@ -7,49 +7,90 @@ operator's docstring defines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import jaccard_join, line_rules, mixing, pieces, pii
-from loomframe.llm.common import written
+from loomframe.llm.common import discard, fresh, written
+
+
+def beside(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """What an operator makes of docs, and the names that its columns have there. Columns of docs with such a name go through the operator under another one
+    and come back as they were."""
+    taken = {n.lower() for n in added}
+    own = {c: fresh(docs, f"_own_{c}")[0] for c in docs.columns if c.lower() in taken}
+    names = dict(zip(added, fresh(docs, *(f"_stage_{n}" for n in added))))
+    out = operator(docs.withColumnsRenamed(own)).withColumnsRenamed(names)
+    return out.withColumnsRenamed({hidden: c for c, hidden in own.items()}), names
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and line-frequency rules keep, without the lines above the limits and with n_chars counted again.
 
     Null and empty texts go. Rows that repeat an id and a text stay or go together; documents with null ids or sources are like any other.
+    Very long texts are rows like any other, ties (equal lines) count alike, and an empty table gives an empty one. All columns of docs,
+    whatever their names, are handed on.
     """
-    found = line_rules.line_frequency_rules(docs).filter("kept")
-    return found.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    found, at = beside(docs, line_rules.line_frequency_rules, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept", "kept_text")
+    found = found.filter(F.col(at["kept"])).withColumn("text", F.col(at["kept_text"]))
+    return counted_again(found).select(*docs.columns)
+
+
+def counted_again(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where they have it, as the length of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies.
 
-    Documents without an id stay. Of rows that repeat the smallest id, one stays.
+    Documents without an id stay. Of rows that repeat the smallest id, the one with the smallest hash of all its columns stays, in
+    whatever order tasks run (equal rows are one). Texts without words are in no group and stay; very long ones are compared whole; an empty table gives an
+    empty one. All columns of docs are handed on.
     """
-    found = jaccard_join.jaccard_components(docs).filter("component_id is null or component_id = doc_id").select(*docs.columns)
-    named = found.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(found.filter("doc_id is null"))
+    found, at = beside(docs, jaccard_join.jaccard_components, "n_shingles", "component_id")
+    group = F.col(at["component_id"])
+    found = found.filter(group.isNull() | (group == F.col("doc_id"))).select(*docs.columns)
+    digest, best, times = fresh(docs, "_lf_digest", "_lf_best", "_lf_times")
+    hashed = found.withColumn(digest, F.xxhash64(*docs.columns))
+    # Ids and hashes are grouped, not texts; ids that come once, nearly all, stay as they are.
+    repeated = hashed.groupBy("doc_id").agg(F.min(digest).alias(best), F.count("*").alias(times)).filter(F.col(times) > 1)
+    marked = hashed.join(repeated, "doc_id", "left")
+    once = marked.filter(F.col("doc_id").isNull() | F.col(best).isNull())
+    several = marked.filter(F.col("doc_id").isNotNull() & (F.col(digest) == F.col(best))).dropDuplicates(["doc_id"])
+    return once.unionByName(several).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by <KIND> and n_chars counted again; null texts stay null, with null n_chars."""
-    found = pii.find(docs, pii.train(pii.labelled_table(spark)), mask=True)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, with personal data replaced by <KIND> and n_chars counted again; null texts stay null, with null n_chars.
+
+    Equal rows stay equal, spans that begin at one place (ties) are one mark, very long texts are read in stretches, and an empty table gives an empty
+    one. Ids are not looked at. All columns of docs are handed on.
+    """
+    found, _ = beside(docs, lambda d: pii.find(d, pii.train(pii.labelled_table(spark)), mask=True), "pii_spans")
+    return counted_again(found).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by probabilities that bring sources, languages and topics to their target shares of tokens.
 
-    The draw is a hash of the id: rows that repeat an id stay or go together, null ids count as one id. Texts without words stay.
+    The draw is a hash of the id: rows that repeat an id stay or go together, null ids count as one id. Texts without words stay. Null sources and
+    languages are categories of their own; very long texts are rows like any other; an empty table gives an empty one. All columns of docs
+    are handed on.
     """
-    return mixing.mix_sources(docs).filter("sampled").select(*docs.columns)
+    found, at = beside(docs, mixing.mix_sources, "topic", "n_tokens", "weight", "probability", "sampled")
+    return found.filter(F.col(at["sampled"])).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces and piece_ids: the texts as seeded merge-dropout pieces; a null text has null ids and n_pieces 0."""
-    out = pieces.encode(docs, pieces.Coder.load())
+    """doc_id, source, lang, n_pieces and piece_ids: the texts as seeded merge-dropout pieces; a null text has null ids and n_pieces 0.
+
+    An empty text has an empty list, equal rows have equal ids, very long texts are taken in stretches, and an empty table gives an empty one.
+    Other columns are left out.
+    """
+    out = pieces.encode(docs.select("doc_id", "source", "lang", "text"), pieces.Coder.load())
     return out.select("doc_id", "source", "lang", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids")
 
 
@@ -66,8 +107,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again; a stage's table goes when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
