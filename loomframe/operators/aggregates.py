@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomframe.functions.exprs import ACTIVE, js_round
+from loomframe.operators.places import numbered
 
 #: Tests of a chapter cell, in order; the last is the default.
 CELL_STATES = ["error", "rendered", "rendering", "transcribed", "transcribing", "scraped", "scraping", "pending"]
@@ -52,9 +53,9 @@ def top_voice(jobs: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """Different values in the order of their first rows."""
+    """Different values in the order of their first rows (ties: of the values)."""
     seen = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first_at"))
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("first_at")).cast("bigint"))
+    return numbered(seen, [F.col("first_at"), F.col(value)])
 
 
 def counts_with_zeros(dimension: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ CREDIT_PATTERNS = [
 ]
 #: Phrases that narration must not have.
 FORBIDDEN = [r"\bchapter\s*\d*\b", r"\bwelcome back\b", r"\bin this (chapter|episode|part)\b", r"\b(chapter|episode)\s*(title|recap)\b", r"^\s*(chapter|episode)\s*\d+"]
+#: Fixed value: text that is nothing but such marks.
 PUNCTUATION_ONLY = r"^[\s.,!?…\-–—~*'\"()\[\]]+$"
 CREDITS = "(?i)" + "|".join(CREDIT_PATTERNS)
 #: Every match of a credit pattern has one of these in small letters, so texts without them need no pattern.

@@ -60,6 +60,7 @@ def progress_remap(spark, sf_dir):
     """Progress of a stage as progress of the whole, rounded and clamped."""
     stage = V.pick(["scrape", "transcribe", "slice", "render", "merge", "bgm", "done", "other"], F.col("event_id") % 8)
     r = X.ratio(F.col("event_id") % 13, F.col("event_id") % 4)
+    # Where each stage begins and how much of the whole it is.
     pct = (
         F.when(stage == "scrape", 5 + 25 * r).when(stage == "transcribe", 30 + 15 * r).when(stage == "slice", 40 + 5 * r).when(stage == "render", 45 + 50 * r)
         .when(stage == "merge", 95.0).when(stage == "bgm", 97.0).when(stage == "done", 100.0).otherwise(40.0)

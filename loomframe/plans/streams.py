@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomframe.operators import joins as J
 from loomframe.operators.state import snapshot
 from loomframe.plans.base import query
 from loomframe.plans.extraction import scratch
+from loomframe.plans.payloads import FOLD
 from loomframe.sources import adapters as V
 from loomframe.streaming import events as S
 from loomframe.streaming import state as T
@@ -131,3 +133,38 @@ def stream_catch_up(spark, sf_dir):
     subscribers = S.source(spark, sf_dir).filter("event_type = 'signup'").select("event_id", F.col("user_id").alias("job_id"))
     out = S.run_to_table(S.caught_up(subscribers, snapshot, newest, "job_id"), scratch(spark))
     return out.select("event_id", "job_id", "n", "level", F.array_join("rows.stage", ",").alias("stages"))
+
+
+@query(f"""WITH {V.LOGS}, {FOLD} SELECT job_id, arg_max(stage, (ts, log_id)) FILTER (stage IS NOT NULL) AS stage, arg_max(status, (ts, log_id)) FILTER (status IS NOT NULL) AS status, arg_max(progress, (ts, log_id)) FILTER (progress IS NOT NULL) AS progress, max(ts) AS last_at FROM f GROUP BY 1""")
+def stream_fold(spark, sf_dir):
+    """Partial events folded into one row a job as they come, a few files at a time: of each field the last value that is there."""
+    path = scratch(spark)
+    S.by_batches(V.logs(spark, sf_dir).select("job_id", "ts", "log_id", "stage", "level"), f"{path}/in", "ts", 6)
+    n, rows = F.col("log_id"), spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    rows = rows.select("job_id", "ts", "log_id", F.when(n % 3 == 0, F.col("stage")).alias("stage"), F.when(n % 4 == 1, F.col("level")).alias("status"), F.when(n % 5 == 2, n % 100).alias("progress"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "log_id"))).alias(c)
+    return S.run_to_table(rows.groupBy("job_id").agg(last("stage"), last("status"), last("progress"), F.max("ts").alias("last_at")), path, "update", keys=["job_id"])
+
+
+@query(f"""WITH {V.LOGS}, l AS (SELECT job_id, lower(stage) AS item, max(ts) AS last_at, count(*) AS times FROM logs GROUP BY 1, 2)
+SELECT job_id, item, last_at, times, row_number() OVER (PARTITION BY job_id ORDER BY last_at DESC, item) AS place FROM l QUALIFY place <= 3""")
+def stream_mru(spark, sf_dir):
+    """Move-to-front lists kept by a stream: the latest use of each item, of which each list's newest few are read."""
+    uses = S.source(spark, sf_dir).groupBy(F.col("user_id").alias("job_id"), F.lower("event_type").alias("item")).agg(F.max("ts").alias("last_at"), F.count("*").alias("times"))
+    items = S.run_to_table(uses, scratch(spark), "update", keys=["job_id", "item"])
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("last_at"), "item")).cast("bigint")
+    return items.withColumns({"last_at": F.col("last_at").cast(NTZ), "place": place}).filter("place <= 3")
+
+
+@query("""SELECT user_id AS job_id, arg_max(CAST(floor(value) AS BIGINT) % 100, (ts, event_id)) AS done, max(ts) AS last_at FROM events WHERE event_id % 10 <> 3 GROUP BY 1""")
+def stream_progress(spark, sf_dir):
+    """Progress files polled as they land: the newest snapshot of each job; one that is cut off is passed over."""
+    path, n = scratch(spark), F.col("event_id")
+    body = F.to_json(F.struct(F.col("user_id").alias("job"), (F.floor("value") % 100).alias("done"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), n.alias("seq")))
+    rows = V.table(spark, sf_dir, "events").select("ts", F.when(n % 10 == 3, F.left(body, F.length(body) - 5)).otherwise(body).alias("value"))
+    rows.repartitionByRange(4, "ts").select("value").write.text(f"{path}/in")
+    read = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{path}/in").select(F.from_json("value", "job long, done long, at long, seq long, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("p"))
+    whole = read.filter("p._broken is null and p.job is not null").select("p.*")
+    newest = whole.groupBy(F.col("job").alias("job_id")).agg(F.max_by("done", F.struct("at", "seq")).alias("done"), F.max("at").alias("at"))
+    out = S.run_to_table(newest, path, "update", keys=["job_id"])
+    return out.select("job_id", "done", F.timestamp_micros("at").cast(NTZ).alias("last_at"))

@@ -74,6 +74,9 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: list[
 
     def step(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if mode == "complete":  # the batch before is kept until this one counts as done
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/batch={n - 2}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         if die_after is not None and n >= die_after:
             raise Stopped(f"behind the write of batch {n}")
 
