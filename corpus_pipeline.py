@@ -53,14 +53,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found, at = beside(docs, jaccard_join.jaccard_components, "n_shingles", "component_id")
     group = F.col(at["component_id"])
     found = found.filter(group.isNull() | (group == F.col("doc_id"))).select(*docs.columns)
-    digest, best, times = fresh(docs, "_lf_digest", "_lf_best", "_lf_times")
-    hashed = found.withColumn(digest, F.xxhash64(*docs.columns))
-    # Ids and hashes are grouped, not texts; ids that come once, nearly all, stay as they are.
-    repeated = hashed.groupBy("doc_id").agg(F.min(digest).alias(best), F.count("*").alias(times)).filter(F.col(times) > 1)
-    marked = hashed.join(repeated, "doc_id", "left")
-    once = marked.filter(F.col("doc_id").isNull() | F.col(best).isNull())
-    several = marked.filter(F.col("doc_id").isNotNull() & (F.col(digest) == F.col(best))).dropDuplicates(["doc_id"])
-    return once.unionByName(several).select(*docs.columns)
+    # Ids that several rows have are looked for among ids alone; there are none in most corpora, and then no text moves.
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return found
+    digest, best = fresh(docs, "_lf_digest", "_lf_best")
+    hashed = written(found.withColumn(digest, F.xxhash64(*docs.columns)))
+    several = hashed.join(repeated, "doc_id", "left_semi")
+    least = several.groupBy("doc_id").agg(F.min(digest).alias(best))
+    one = several.join(least, "doc_id").filter(F.col(digest) == F.col(best)).dropDuplicates(["doc_id"])
+    return hashed.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
