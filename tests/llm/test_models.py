@@ -3,6 +3,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loomframe.llm import langid, mixing, quality
 
@@ -141,3 +142,50 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
     named = odd.selectExpr("*", "1 as _p", "2 as _lf_p", "3 as _lf_source", "4 as _s", "5 as _LF_W")
     assert [x[5:10] for x in mixing.mix_sources(named).select("doc_id", "text", "source", "lang", "text", "_p", "_lf_p", "_lf_source", "_s", "_LF_W").collect()] == [(1, 2, 3, 4, 5)] * 4
+
+
+def test_mixing_to_given_targets(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randrange(20, 60)), r.choice("aaab"), r.choice(["en", "fr"]), r.choice(["x", "y", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string")
+    langs = spark.createDataFrame([("en", 3.0), ("fr", 1.0), ("never", 5.0), ("null", None)], "lang string, share double")
+    out = mixing.mix_sources(df, topic_col="subject", targets={"source": {"a": 0.5, "b": 0.5}, "lang": langs, "topic": {"x": 1, "y": 1, "(none)": 2}}, budget=0.3, strict=True).collect()
+    total = sum(x.n_tokens * x.weight for x in out)
+    share = lambda f: sum(x.n_tokens * x.weight for x in out if f(x)) / total
+    assert abs(share(lambda x: x.source == "a") - 0.5) < 0.01 and abs(share(lambda x: x.lang == "en") - 0.75) < 0.01
+    assert abs(share(lambda x: x.subject is None) - 0.5) < 0.01 and {x.topic for x in out} == {"x", "y", "(none)"}
+    assert abs(sum(x.n_tokens * x.probability for x in out) / sum(x.n_tokens for x in out) - 0.3) < 0.01
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, targets={"colour": {"red": 1}})
+    apart = df.filter("source = 'a' and lang = 'en' or source = 'b' and lang = 'fr'")
+    with pytest.raises(ValueError):  # the two margins are one, so they cannot have two targets
+        mixing.mix_sources(apart, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}, strict=True)
+    with pytest.warns(UserWarning, match="not converged"):
+        assert mixing.mix_sources(apart, targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}}).count() == apart.count()
+
+
+def test_measures_of_long_texts_in_stretches(monkeypatch):
+    from loomframe.llm import common, quality
+
+    texts = [b"Some words, and some more.\nsome words again 12 #* " * 60, b"", b"x", b"A b. " * 500, "\u00e9t\u00e9 ".encode() * 99]
+    want = quality.features(texts)
+    for step in (16, 100):
+        monkeypatch.setattr(common, "STEP_BYTES", step)
+        monkeypatch.setattr(quality, "STEP_BYTES", step)
+        assert np.allclose(quality.features(texts), want)
+
+
+def test_measures_one_by_one():
+    from loomframe.llm import quality
+
+    text = "Ab c1, c1!\nAb c1, c1!\nzz #"
+    (row,) = quality.features([text.encode()])
+    words, lines = text.split(), text.split("\n")
+    n, size = len(words), len(text)
+    # A character in two classes (a capital vowel) counts in the later one.
+    of = lambda c: max((i for i, members in enumerate(quality.CLASSES) if c in members.decode()), default=None)
+    shares = [sum(of(c) == i for c in text) / size for i in range(len(quality.CLASSES))]
+    assert np.allclose(row[:9], shares) and row[9] == 0
+    pairs = list(zip(words, words[1:]))
+    rest = [np.log1p(n), (size - text.count("\n") - n) / n, sum(a == b for a, b in pairs) / n, len(set(words)) / n, len(set(pairs)) / (n - 1), len(set(lines)) / len(lines), np.log1p(size / len(lines)), sum(c in ".,!?" for c in text) / n]
+    assert np.allclose(row[10:], rest)

@@ -65,3 +65,28 @@ def test_stretches_of_long_texts_change_nothing(monkeypatch):
     cut = common.Hasher(bases=2).words(texts)
     assert all((a == b).all() for a, b in zip(plain[0], cut[0])) and (plain[1] == cut[1]).all()
     assert all((a == b).all() for a, b in zip(windows, common.Hasher(bases=2).windows(cut[0], 5)))
+
+
+def test_a_full_row_of_counts_makes_no_anchor_hot(spark, monkeypatch):
+    """With very few cells all anchors are estimated frequent; those that are, are counted, and the result is the same."""
+    from loomframe.llm import sketch
+
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 15)
+    monkeypatch.setattr(sketch, "COUNTS", sketch.SLICES)
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(4000))
+    phrase, passage = [word() for _ in range(20)], [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(30)] + (passage if i % 4 == 0 else phrase) + [word() for _ in range(30)])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = remove_repeated(df)
+    assert sorted([(x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got.collect()], key=str) == brute(rows, 35)
+    texts = df.selectExpr("doc_id k1", "doc_id k2", "text t")
+    every = sketch.Sketch(16, sketch.np.full((2, 1 << 13), 255, "u1"), sketch.np.full(sketch.COUNTS, 1000))
+    width, bits, _ = substring_dedup.frequent_anchors(texts, spark.sparkContext.broadcast(tuple(every)), every.counts, 35, 10**6)
+    hasher, n = common.Hasher(), Counter()
+    for _, t in rows:
+        (h,), bounds = hasher.words([t.encode()])
+        n.update(substring_dedup.anchors(h, hasher, bounds, 35)[0].tolist())
+    keys = sketch.np.array(list(n), sketch.np.uint64)
+    hot = sketch.Sketch(width, bits, sketch.np.zeros(0)).repeated(keys)
+    assert all(h for h, k in zip(hot, n.values()) if k >= 15) and any(k >= 15 for k in n.values()) and hot.mean() < 0.2
