@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import free_of, fresh, row_key
+from loomframe.llm.common import free_of, fresh, row_key, written
 
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -18,8 +18,8 @@ MAX_SHARE = 0.1
 #: A document is depleted if more than this share of its words is in boilerplate lines.
 MAX_REMOVED = 0.5
 NGRAM = 5
-#: Parts into which the rows of a line above the limits are dealt out.
-SALTS = 32
+#: Lines above the limits (two numbers each) that are broadcast at most, and parts into which the rows of one are dealt out where there are more.
+MAX_BROADCAST, SALTS = 200_000, 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,10 +86,14 @@ def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.select("k1", "k2", "host", "pos", F.xxhash64("line").alias("line"), (spaces + 1).alias("n"))
     hosts = keyed.groupBy(F.col(host).alias("host")).agg(F.count_distinct(k1).alias("docs"))
     common = rows.groupBy("host", "line").agg(F.count_distinct("k1").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    common = common.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("docs")).select("host", "line")
-    # A line above the limits is a hot key by definition: its rows go by a part of their document's hash too, and meet one of SALTS copies of it.
-    copies = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    removed = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS).cast("long"))).join(copies, ["host", "line", "salt"])
+    common = written(common.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("docs")).select("host", "line"))
+    # A line above the limits is a hot key by definition. As long as they are few they are broadcast, and no row moves; beyond that
+    # their rows go by a part of their document's hash too, and meet one of SALTS copies of the line.
+    if common.count() <= MAX_BROADCAST:
+        removed = rows.join(F.broadcast(common), ["host", "line"])
+    else:
+        copies = common.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        removed = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS).cast("long"))).join(copies, ["host", "line", "salt"])
     # A set of (place, words): equal rows add the same members, so nothing is counted twice.
     removed = removed.groupBy(F.col("k1").alias(r1), F.col("k2").alias(r2)).agg(F.collect_set(F.struct("pos", "n")).alias("set"))
     removed = removed.select(r1, r2, F.aggregate("set", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias(removed_), F.transform("set", lambda x: x["pos"]).alias(gone))

@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import pytest
+
+from loomframe.llm import line_rules
 from loomframe.llm.line_rules import line_frequency_rules
 
 
@@ -60,12 +63,13 @@ def test_odd_tables(spark):
     assert row.kept is False and (row["_lf_k1"], row["_LF_R1"], row["_lf_gone"], row["_lf_host"]) == (4, 5, 6, 7)
 
 
-def test_a_line_that_a_third_of_all_rows_have(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_a_line_that_a_third_of_all_rows_have(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_rules, "MAX_BROADCAST", broadcast)
     own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda w{0}"
     rows = [(i, f"Home | Page {i}\n{own.format(i)}\nsecond {i % 7} line" if i % 3 else own.format(i) + "\nHome | Page 1\n" * 3, "hot" if i % 2 else "other") for i in range(600)]
     got = line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "base_failed", "kept")
     assert sorted((tuple(x[n] for n in names) for x in got.collect()), key=str) == brute(rows, least=10)
-    # The join has the salt among its keys, so the rows of one line go to many tasks.
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "salt" in plan
+    # Where the lines are not broadcast, the join has the salt among its keys, so the rows of one line go to many tasks.
+    assert ("salt" in got._jdf.queryExecution().optimizedPlan().toString()) == (broadcast == 0)
