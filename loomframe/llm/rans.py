@@ -27,7 +27,7 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.first = np.concatenate([np.zeros(1, U), np.cumsum(self.freq)[:-1]]) if len(freq) else np.zeros(0, U)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
-        self._ids: np.ndarray | None = None
+        self._slots: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Table:
@@ -50,11 +50,13 @@ class Table:
         return cls(freq)
 
     @property
-    def ids(self) -> np.ndarray:
-        """The id of each of the 2**BITS slots; made when something is decoded."""
-        if self._ids is None:
-            self._ids = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
-        return self._ids
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each of the 2**BITS slots, and the slot's place among its id's; made when something is decoded."""
+        if self._slots is None:
+            n = self.freq.astype(np.int64)
+            ids = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            self._slots = ids, np.arange(len(ids), dtype=np.uint64) - np.repeat(self.first, n)
+        return self._slots
 
 
 @dataclass
@@ -101,7 +103,7 @@ def decode(part: Section, table: Table, lanes: int = LANES) -> np.ndarray:
     """The ids of a section; an error if they don't have its checksum."""
     x, at = part.states.copy(), 0
     out = np.empty(part.n, np.uint32)
-    slots, mask = table.ids, U((1 << BITS) - 1)
+    (slots, places), mask = table.slots, U((1 << BITS) - 1)
     for lo in range(0, part.n, lanes):
         y = x[: min(lanes, part.n - lo)]
         slot = y & mask
@@ -109,7 +111,7 @@ def decode(part: Section, table: Table, lanes: int = LANES) -> np.ndarray:
         out[lo : lo + len(y)] = found
         y >>= U(BITS)
         y *= table.freq[found]
-        y += slot - table.first[found]
+        y += places[slot]
         low = np.flatnonzero(y < LOW)
         if len(low):
             more = part.words[at : at + len(low)]

@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ MAGIC = b"LFRANS01"
 HEAD, SECTION_HEAD, TAIL = "<8sII", "<IIIIII", "<QI8s"
 END_ID = 2
 #: Bytes of text that one step of tokenizing takes, different pieces that a task remembers, ids of a file (it ends with a document) and of a reading task.
-STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 23, 1_000_000, 1 << 26, 1 << 22
+STEP, REMEMBERED, FILE_IDS, TASK_IDS = 1 << 23, 1_000_000, 1 << 26, 1 << 23
 #: Kinds of ASCII characters; others are 0.
 SPACE, LINE_END, PUNCTUATION, LETTER, DIGIT = 1, 2, 3, 4, 5
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
@@ -130,15 +130,17 @@ class Pieces:
         """The place of each text's ids in flat, between upto[i] and upto[i + 1]; texts not met before are encoded."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        new = [t for t in texts if t not in known]
+        found = np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.flatnonzero(found < 0)
+        new = [texts[i] for i in missing.tolist()]
         # A word behind a space, put behind a character that is none, is cut off again: such pieces are encoded as one text.
-        column = pa.array(new, pa.string())
-        at, data, _ = buffers(column)
+        at, data, _ = buffers(pa.array(new, pa.string()))
         plain = np.diff(at) > 1
         begins, ends = at[:-1][plain], at[1:][plain]
         plain[plain] = (self.kind[data[begins]] == SPACE) & ((self.kind[data[begins + 1]] >= LETTER) | (data[begins + 1] == 0xC3)) & (self.kind[data[ends - 1]] >= LETTER)
         one, rest = [list(compress(new, flags.tolist())) for flags in (plain, ~plain)]
+        found[missing[plain]] = len(self.known) + np.arange(len(one))
+        found[missing[~plain]] = len(self.known) + len(one) + np.arange(len(rest))
         sizes = np.diff(at)[plain]
         for lo in range(0, len(one), 10_000):
             part = one[lo : lo + 10_000]
@@ -149,7 +151,7 @@ class Pieces:
             coded = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
             n = np.cumsum([len(x) for x in coded])
             self.learn(part, np.fromiter(chain.from_iterable(coded), np.uint32, int(n[-1])), n)
-        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+        return found
 
     def learn(self, texts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         first, begin = len(self.known), int(self.upto[len(self.known)])
@@ -443,7 +445,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         raise ValueError(f"{path} holds token files already")
     size = max(Pieces(tokenizer).size, end_id + 1)
     width = 2 if size <= 1 << 16 else 4
-    tokens = written(tokenized(docs, tokenizer, size, end_id, width, id_col, text_col), codec="zstd")
+    tokens = written(tokenized(docs, tokenizer, size, end_id, width, id_col, text_col))
     table = rans.Table.of(counted(tokens, size))
     put(files, f"{folder}/_table", table.freq.astype("<u4").tobytes() + struct.pack("<I", table.crc))
     # One row for each part, of which there are as many as shuffle partitions.
