@@ -6,6 +6,7 @@ import functools
 import json
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,6 +85,14 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
+def _class(characters: Iterable[str]) -> str:
+    """A pattern for any of the characters, neighbours as ranges."""
+    codes = sorted(map(ord, characters))
+    first = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    last = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last)) + "]"
+
+
 def title_key(title: Column) -> Column:
     """Lower case, compatibility decomposition (NFKD), no accents, anything else than a-z and 0-9 as one space.
 
@@ -94,8 +103,8 @@ def title_key(title: Column) -> Column:
     low = F.lower(title)
     names = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    # Most texts have nothing beyond Latin-1, where three fractions and no other letters become several.
-    wide = F.when(low.rlike("[" + "".join(many) + "]"), spelled).otherwise(low)
+    # Most texts have nothing beyond Latin-1, of which only three fractions become several characters: a short look decides for them.
+    wide = F.when(low.rlike("[^\\x00-\\xBB\\xBF-\\xFF]") & low.rlike(_class(many)), spelled).otherwise(low)
     plain = F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(wide, one + MARKS, to)).otherwise(low)
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
