@@ -13,6 +13,8 @@ LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedp
 #: Source codes by search priority, then one that is unknown.
 SOURCES = ["mh", "ff", "wt", "as", "md", "mp", "tl", "mal", "al", "zz"]
 LANGS = ["en", "fr", "de", "es"]
+#: Boxes that one task folds, about: sorts and folds hold no more at any size of the input.
+TASK_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,9 +115,13 @@ OCR = """ocr AS (SELECT doc_id AS page, doc_id // 25 AS chapter, text, lang, sou
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy(*LINE_KEY)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("page"), F.row_number().over(order).cast("bigint").alias("box"), (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"),
+    """Boxes of pages, dealt out by page: what goes on by page needs no other exchange. The partitions' number goes by the rows, not by a setting."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS))
+    order = Window.partitionBy("page").orderBy(*LINE_KEY)
+    numbered = lines.select("page", *LINE_KEY).repartition(n, "page").withColumn("box", F.row_number().over(order).cast("bigint"))
+    return numbered.select(
+        "page", "box", (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"),
         (1 + F.col("l_quantity")).cast("bigint").alias("w"), (1 + F.col("l_linenumber") * 7).cast("bigint").alias("h"),
     )
 
