@@ -115,7 +115,7 @@ def durations_shortfall(spark, sf_dir):
 @query(f"WITH {V.BOXES} SELECT page, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2 FROM boxes GROUP BY 1")
 def bbox_bounds(spark, sf_dir):
     corners = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct((F.col("x") + F.col("w")).alias("x"), (F.col("y") + F.col("h")).alias("y")))
-    polygons = V.boxes(spark, sf_dir).select("page", corners.alias("points"))
+    polygons = V.boxes(spark, sf_dir, dealt=False).select("page", corners.alias("points"))
     each = polygons.select("page", *[f(F.col(f"points.{axis}")).alias(f"{axis}{i}") for f, i in ((F.array_min, 1), (F.array_max, 2)) for axis in ("x", "y")])
     return each.groupBy("page").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
@@ -167,7 +167,7 @@ SELECT page, count(*) FILTER (kind = 'text') AS texts, count(*) FILTER (kind = '
 def component_classes(spark, sf_dir):
     aspect = F.greatest(F.col("w").cast("double") / F.col("h"), F.col("h").cast("double") / F.col("w"))
     kind = F.when(aspect > 6, "line").when(F.col("w") * F.col("h") < 300, "text").otherwise("art")
-    counts = V.boxes(spark, sf_dir).select("page", kind.alias("kind")).groupBy("page").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("text", "art", "line")])
+    counts = V.boxes(spark, sf_dir, dealt=False).select("page", kind.alias("kind")).groupBy("page").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("text", "art", "line")])
     return counts.withColumn("busy", (F.col("texts") >= 2) & (F.col("arts") >= 1) & (F.col("lines") >= 1))
 
 

@@ -56,7 +56,7 @@ SELECT page, CASE WHEN n >= 2 AND n >= m THEN 'contour' WHEN m >= 2 THEN 'model'
 def detector_choice(spark, sf_dir):
     """Which detector's boxes a page takes: the one with more of two or more; the whole page if one box nearly fills it."""
     n, m = F.col("n"), F.col("m")
-    rows = V.boxes(spark, sf_dir).groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("w") > 25).alias("m"), F.max(F.col("w") * F.col("h")).alias("biggest"))
+    rows = V.boxes(spark, sf_dir, dealt=False).groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("w") > 25).alias("m"), F.max(F.col("w") * F.col("h")).alias("biggest"))
     return rows.select("page", F.when((n >= 2) & (n >= m), "contour").when(m >= 2, "model").when((n == 0) | ((n == 1) & (F.col("biggest") >= 0.7 * 2500)), "whole").otherwise("contour").alias("chosen"))
 
 

@@ -114,13 +114,15 @@ OCR = """ocr AS (SELECT doc_id AS page, doc_id // 25 AS chapter, text, lang, sou
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of pages, dealt out by page: what goes on by page needs no other exchange. The partitions' number goes by the rows, not by a setting."""
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
-    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS))
+def boxes(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """Boxes of pages. dealt: by page, in partitions whose number goes by the rows, not by a setting, so that what goes on by page needs no other
+    exchange; not for what needs no numbers of boxes and sums before an exchange.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page").select("page", *LINE_KEY)
     order = Window.partitionBy("page").orderBy(*LINE_KEY)
-    numbered = lines.select("page", *LINE_KEY).repartition(n, "page").withColumn("box", F.row_number().over(order).cast("bigint"))
-    return numbered.select(
+    if dealt:
+        lines = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS)), "page")
+    return lines.withColumn("box", F.row_number().over(order).cast("bigint")).select(
         "page", "box", (F.col("l_partkey") % 100).alias("x"), (F.col("l_suppkey") % 100).alias("y"),
         (1 + F.col("l_quantity")).cast("bigint").alias("w"), (1 + F.col("l_linenumber") * 7).cast("bigint").alias("h"),
     )

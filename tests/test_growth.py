@@ -22,3 +22,10 @@ def test_folds_of_pages_go_on_in_the_tasks_that_number_boxes(spark, name, monkey
     assert len(by_task) == 12 and max(x["count"] for x in by_task) < 1000
     assert len(rows.select(F.spark_partition_id()).distinct().collect()) == 12
     compare(spark, name, SF, QUERIES, ORACLES)
+
+
+@pytest.mark.parametrize("name", ["bbox_bounds", "component_classes", "detector_choice"])
+def test_sums_over_boxes_are_made_before_the_exchange(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange", plan)) == 1 and "Window" not in plan
+    assert "partial_" in plan.split("Exchange")[1]
