@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from loomframe.llm import rans
-from loomframe.llm.common import binaries, discard, light, shared_dir, small, written
+from loomframe.llm.common import binaries, discard, light, place_of, shared_dir, small, written
 from loomframe.llm.fim import buffers
 
 MAGIC = b"LFRANS01"
@@ -220,12 +220,6 @@ def counted(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def place_of(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and the path in it of a URI or a local path."""
-    path = path.replace("s3a://", "s3://", 1)
-    return pa.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pa.fs.LocalFileSystem(), path)
-
-
 def put(files: pa.fs.FileSystem, path: str, data: bytes) -> None:
     """The file at once and whole: under another name first."""
     name = f"{path}.{uuid.uuid4().hex}.tmp"
